@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Blanks between words: space and the five ASCII controls from tab to carriage return.
 BLANKS = r"[\\x20\\x09-\\x0D]+"
+BLANK_CHARS = r" \t\n\u000B\u000C\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: No side larger than this is broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -22,7 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def words_sql(text: str) -> str:
     """SQL for the array of blank-separated words of a text; none for a null."""
-    return f"filter(split(coalesce({text}, ''), '{BLANKS}'), x -> x <> '')"
+    trimmed = f"trim(BOTH '{BLANK_CHARS}' FROM coalesce({text}, ''))"
+    return f"if({trimmed} = '', cast(array() AS array<string>), split({trimmed}, '{BLANKS}'))"
 
 
 def ascii_lower_sql(text: str) -> str:

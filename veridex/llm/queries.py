@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
+from veridex.llm.quality import quality_rules
 from veridex.llm.url_filter import url_filter
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -15,4 +16,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-NAMES = ["op3_url_filter"]
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+NAMES = ["op3_url_filter", "op9_quality_rules"]
