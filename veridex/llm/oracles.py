@@ -24,3 +24,35 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM m
 """
+
+#: The water level is searched by rounds here: sources above their cap are held, the rest share anew.
+ORACLES["op1_mix_sources"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, cast(length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('0:' || coalesce(cast(doc_id AS VARCHAR), 'null')) AS digest
+  FROM documents
+), s AS (
+  SELECT source, cast(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM d GROUP BY source
+), rounds AS (
+  SELECT 0 AS i, source, source_size, weight, false AS held FROM s
+  UNION ALL
+  SELECT i + 1, source, source_size, weight,
+         held OR weight * (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (held) OVER (), 0)) / nullif(sum(weight) FILTER (NOT held) OVER (), 0) > 3 * source_size
+  FROM rounds WHERE i < 30
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN held THEN 3.0::DOUBLE * source_size
+              ELSE weight * (((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (held) OVER (), 0))) / sum(weight) FILTER (NOT held) OVER ()) END AS target
+  FROM rounds WHERE i = 30
+), p AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE cast(floor(target / source_size) AS BIGINT) END AS whole FROM t
+), k AS (
+  SELECT source, digest, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(size) / 2 AS middle
+  FROM d GROUP BY source, digest
+)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       cast(d.size * (p.whole + CASE WHEN p.target - p.whole * p.source_size > 0 AND k.middle <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.digest = k.digest
+"""

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
+from veridex.llm.mixing import mix_sources
 from veridex.llm.quality import quality_rules
 from veridex.llm.url_filter import url_filter
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -20,4 +25,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
-NAMES = ["op3_url_filter", "op9_quality_rules"]
+NAMES = ["op1_mix_sources", "op3_url_filter", "op9_quality_rules"]
