@@ -56,3 +56,20 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
        cast(d.size * (p.whole + CASE WHEN p.target - p.whole * p.source_size > 0 AND k.middle <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.digest = k.digest
 """
+
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')""" % (UPPER, LOWER)
+
+ORACLES["op5_decontaminate"] = f"""
+WITH b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+b1 AS (SELECT item_id, w, unnest(CASE WHEN len(w) > 10 THEN range(1, len(w) - 8) ELSE [1] END) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM b1),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+lens AS (SELECT DISTINCT n FROM win),
+d1 AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, win.n, item_id FROM d1 JOIN win ON d1.n = win.n AND array_to_string(w[i:i + d1.n - 1], ' ') = win.s),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
+from veridex.llm.decontaminate import decontaminate
 from veridex.llm.mixing import mix_sources
 from veridex.llm.quality import quality_rules
 from veridex.llm.url_filter import url_filter
@@ -21,8 +23,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
-NAMES = ["op1_mix_sources", "op3_url_filter", "op9_quality_rules"]
+NAMES = ["op1_mix_sources", "op3_url_filter", "op5_decontaminate", "op9_quality_rules"]
