@@ -10,8 +10,17 @@ from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
 from veridex.llm.mixing import mix_sources
 from veridex.llm.quality import quality_rules
+from veridex.llm.token_files import token_files
+from veridex.llm.tokens import token_counts
 from veridex.llm.url_filter import url_filter
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -23,6 +32,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -31,8 +44,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
-NAMES = ["op1_mix_sources", "op3_url_filter", "op5_decontaminate", "op9_quality_rules"]
+NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op8_token_files", "op9_quality_rules"]
