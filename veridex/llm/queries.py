@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
+from veridex.llm.language import fit, identify_languages
 from veridex.llm.mixing import mix_sources
 from veridex.llm.quality import quality_rules
 from veridex.llm.token_files import token_files
@@ -52,4 +53,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
-NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op8_token_files", "op9_quality_rules"]
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
+    model = fit(docs.where(fold != 1), "doc_id", "text", "lang")
+    found = identify_languages(docs, model)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op8_token_files", "op9_quality_rules", "op10_language"]
