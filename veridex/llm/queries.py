@@ -10,6 +10,7 @@ from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
 from veridex.llm.language import fit, identify_languages
 from veridex.llm.mixing import mix_sources
+from veridex.llm.near_dup import near_duplicates
 from veridex.llm.quality import quality_rules
 from veridex.llm.token_files import token_files
 from veridex.llm.tokens import token_counts
@@ -45,6 +46,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -61,4 +66,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op8_token_files", "op9_quality_rules", "op10_language"]
+NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op8_token_files", "op9_quality_rules", "op10_language"]
