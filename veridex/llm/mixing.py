@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,38 +53,78 @@ def targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
     return free.withColumn("first", first).select("source", "source_size", F.least("cap", F.coalesce(F.col("first") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] | DataFrame = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source",
-    max_epochs: int = 3, seed: int = 0,
-) -> DataFrame:
-    """One row per document: key, source, size, source_size, target, repeats and taken (repeats * size).
+def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    size = F.expr(f"cast(size({words_sql(f'`{text}`')}) AS bigint)")
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), _digest(F.col(key), seed).alias("digest"))
 
-    weights: a list dealt out in turn to the sources by code point, or a table (source, weight) that has
-    every source."""
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.expr(f"cast(size({words_sql(f'`{text}`')}) AS bigint)").alias("size"))
-    sized = cut(sized.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("null"))))), "mix")
+
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null"))))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def mix_plan(sized: DataFrame, weights: Sequence[float] | DataFrame, max_epochs: int) -> DataFrame:
+    """A row per source: mix_source, source_size, target, whole (repetitions of every document), need (words
+    beyond them), and the slice and the last digest up to which documents are taken once more."""
     slices = cut(sized.groupBy("source", F.expr(f"substring(digest, 1, {SLICE_DIGITS})").alias("slice")).agg(F.sum("size").alias("slice_size")), "mix-slices")
     totals = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     given = weights if isinstance(weights, DataFrame) else cyclic_weights(totals, weights)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    plan = targets(totals.join(given.select(F.col("source").alias("g"), "weight"), same("source", "g")).drop("g"), max_epochs)
+    plan = targets(totals.join(given.select(F.col("source").alias("g"), "weight"), _same("source", "g")).drop("g"), max_epochs)
     plan = plan.withColumn("whole", F.expr("if(source_size = 0, 0, cast(floor(target / source_size) AS int))"))
     plan = cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", F.expr("target - whole * source_size").alias("need")), "mix-plan")
 
     # the slice of each source in which the fraction ends: at most one, and what lies before it
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0))).join(plan, same("source", "s"))
-    ends = ends.where("before <= need AND need < before + slice_size").select("s", "slice", "before")
-    few = lambda df: F.broadcast(df) if df.count() * 256 <= BROADCAST_BYTES else df
-    plan = plan.join(cut(ends.withColumnRenamed("s", "e"), "mix-ends"), same("s", "e"), "left").drop("e")
-    plan = cut(plan, "mix-cuts")
-    j = sized.join(few(plan), same("source", "s"), "left").withColumn("place", F.expr(f"substring(digest, 1, {SLICE_DIGITS})"))
-
-    inside = j.where("place = slice").groupBy("s", "digest", "before", "need").agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("s").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    last = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.col("n") / 2).where("at <= need")
-    last = cut(last.groupBy("s").agg(F.max("digest").alias("last")).withColumnRenamed("s", "l"), "mix-last")
-    j = j.join(few(last), same("s", "l"), "left")
-    more = "CASE WHEN need <= 0 THEN 0 WHEN slice IS NULL THEN 1 WHEN place < slice THEN 1 WHEN place > slice THEN 0 ELSE if(digest <= last, 1, 0) END"
-    j = j.withColumn("repeats", F.expr(f"whole + coalesce({more}, 0)"))
+    ends = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0))).join(plan, _same("source", "s"))
+    ends = cut(ends.where("before <= need AND need < before + slice_size").select(F.col("s").alias("e"), "slice", "before", F.col("need").alias("e_need")), "mix-ends")
+
+    inside = sized.join(few(ends), _same("source", "e") & F.expr(f"substring(digest, 1, {SLICE_DIGITS}) = slice"))
+    inside = inside.groupBy("e", "digest", "before", "e_need").agg(F.sum("size").alias("n"))
+    upto = Window.partitionBy("e").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    last = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.col("n") / 2).where("at <= e_need")
+    last = last.groupBy("e").agg(F.max("digest").alias("last")).withColumnRenamed("e", "l")
+    plan = plan.join(ends.select("e", "slice"), _same("s", "e"), "left").join(last, _same("s", "l"), "left")
+    return cut(plan.select(F.col("s").alias("mix_source"), "source_size", "target", "whole", "need", "slice", "last"), "mix-cuts")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A row per source: broadcast if a count shows that it fits."""
+    return F.broadcast(df) if df.count() * 256 <= BROADCAST_BYTES else df
+
+
+def _repeats(digest: str, plan: str = "") -> str:
+    p = f"{plan}." if plan else ""
+    place = f"substring({digest}, 1, {SLICE_DIGITS})"
+    return f"""{p}whole + CASE WHEN {p}need <= 0 THEN 0 WHEN {p}slice IS NULL THEN 1 WHEN {place} < {p}slice THEN 1
+        WHEN {place} > {p}slice THEN 0 ELSE coalesce(if({digest} <= {p}last, 1, 0), 0) END"""
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[float] | DataFrame = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source",
+    max_epochs: int = 3, seed: int = 0,
+) -> DataFrame:
+    """One row per document: key, source, size, source_size, target, repeats and taken (repeats * size).
+
+    weights: a list dealt out in turn to the sources by code point, or a table (source, weight) that has
+    every source."""
+    sized = cut(_sized(docs, key, text, source, seed), "mix")
+    j = sized.join(few(mix_plan(sized, weights, max_epochs)), _same("source", "mix_source"), "left").withColumn("repeats", F.expr(_repeats("digest")))
     return j.select(F.col("key").alias(key), "source", "size", "source_size", "target", "repeats", F.expr("repeats * size").alias("taken"))
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[float] | DataFrame = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source",
+    max_epochs: int = 3, seed: int = 0,
+) -> DataFrame:
+    """The mix itself: the documents, each as often as it is repeated, with their columns as they were.
+    Texts are read a second time rather than shuffled."""
+    plan = mix_plan(cut(_sized(docs, key, text, source, seed), "mix"), weights, max_epochs).select(F.struct("*").alias("_mix_plan"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row"))
+    rows = rows.withColumn("_mix_digest", _digest(F.col(f"_mix_row.`{key}`"), seed))
+    rows = rows.join(few(plan), F.col(f"_mix_row.`{source}`").eqNullSafe(F.col("_mix_plan.mix_source")))
+    repeats = F.expr(_repeats("_mix_digest", "_mix_plan"))
+    rows = rows.withColumn("_mix_n", repeats).where("_mix_n > 0").select("_mix_row", F.explode(F.expr("sequence(1, _mix_n)")))
+    return rows.select("_mix_row.*")
