@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from veridex.llm.common import LOWER, UPPER
+from veridex.llm.licenses import TEMPLATES
+from veridex.llm.quality import COMMON_WORDS
 
 ORACLES: dict[str, str] = {}
 
@@ -73,3 +75,48 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+_VALUES = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+
+#: Every window is compared with every template that shares a shingle with it.
+ORACLES["op2_license_scan"] = f"""
+WITH t0 AS (SELECT license, {_ITEM_WORDS} AS w FROM (VALUES {_VALUES}) v(license, text)),
+t1 AS (SELECT license, len(w) - 4 AS places, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM t0),
+t AS (SELECT license, sh, len(sh) AS m, greatest(1, places // 4) AS step, places + greatest(1, places // 4) - 1 AS width FROM t1),
+ts AS (SELECT license, m, step, width, unnest(sh) AS s FROM t),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, license, m, step, width, pos, ds.s FROM ds JOIN ts ON ds.s = ts.s),
+win AS (SELECT doc_id, license, m, (pos // step - k) * step AS start, width, s, pos FROM (SELECT *, unnest(range(0, (width - 1) // step + 1)) AS k FROM hit)),
+held AS (SELECT doc_id, license FROM win WHERE start >= 0 AND start + width > pos GROUP BY doc_id, license, m, start HAVING 100 * count(DISTINCT s) >= 80 * m),
+g AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS l FROM (SELECT DISTINCT doc_id, license FROM held) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_licenses, coalesce(l, '') AS licenses FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+_BLANK = r"[\x20\x09-\x0D]"
+#: The seven classes are named by what they count; the distances compare a document with its language.
+ORACLES["op9_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, lang, t, w, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+   cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1) r USING (doc_id, s)),
+rc AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM rep GROUP BY doc_id),
+lex AS (SELECT * FROM (VALUES {", ".join("('%s', %d, '%s')" % (k, i, x) for k, v in COMMON_WORDS.items() for i, x in enumerate(v))}) v(lang, bin, word)),
+cw AS (SELECT doc_id, d.lang, bin, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) d JOIN lex ON d.lang = lex.lang AND (d.x = lex.word OR d.x = upper(lex.word[1:1]) || lex.word[2:]) GROUP BY ALL),
+bins AS (SELECT doc_id, lang, 'w' AS h, bin, n FROM cw
+  UNION ALL SELECT f.doc_id, f.lang, 'w', 99, n_words - coalesce(sum(n), 0) FROM f LEFT JOIN cw USING (doc_id) GROUP BY f.doc_id, f.lang, n_words
+  UNION ALL SELECT doc_id, lang, 'c', unnest([0, 1, 2, 3, 4, 5, 6]), unnest([up, dig, n_symbols, pun, length(t) - word_chars, strlen(t) - length(t), word_chars - up - dig - n_symbols - pun])
+    FROM (SELECT *, len(regexp_extract_all(t, '[A-Z]')) AS up, len(regexp_extract_all(t, '[0-9]')) AS dig, len(regexp_extract_all(t, '[.,;:!?()"\\x27-]')) AS pun FROM f)),
+many AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+ref AS (SELECT lang, h, bin, sum(n) AS rn, sum(sum(n)) OVER (PARTITION BY lang, h) AS rt FROM bins JOIN many USING (lang) GROUP BY lang, h, bin),
+pq AS (SELECT x.doc_id, x.h, coalesce(b.n, 0) / nullif(sum(coalesce(b.n, 0)) OVER (PARTITION BY x.doc_id, x.h), 0)::DOUBLE AS p, rn / rt::DOUBLE AS q
+  FROM (SELECT doc_id, ref.* FROM f JOIN ref USING (lang) WHERE n_words >= 50) x LEFT JOIN bins b ON b.doc_id = x.doc_id AND b.h = x.h AND b.bin = x.bin),
+js AS (SELECT doc_id, h, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END))) AS dist FROM pq GROUP BY doc_id, h),
+far AS (SELECT DISTINCT js.doc_id FROM js JOIN f USING (doc_id) WHERE (h = 'c' AND dist > 0.3) OR (h = 'w' AND dist > 0.31 AND lang IN (SELECT lang FROM lex)))
+SELECT f.doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words) AND far.doc_id IS NULL AS kept
+FROM f LEFT JOIN rc USING (doc_id) LEFT JOIN far ON f.doc_id = far.doc_id
+"""

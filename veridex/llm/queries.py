@@ -9,8 +9,10 @@ from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
 from veridex.llm.language import fit, identify_languages
+from veridex.llm.licenses import scan_licenses
 from veridex.llm.mixing import mix_sources
 from veridex.llm.near_dup import near_duplicates
+from veridex.llm.pii import pseudonymise
 from veridex.llm.quality import quality_rules
 from veridex.llm.token_files import token_files
 from veridex.llm.tokens import token_counts
@@ -30,6 +32,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -50,6 +57,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymise(read(spark, sf_dir, "documents"), secret="veridex")
+    return done.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join(F.transform("found", lambda m: m["kind"]), ",").alias("kinds"), "text")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -66,4 +78,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-NAMES = ["op1_mix_sources", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op8_token_files", "op9_quality_rules", "op10_language"]
+NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language"]
