@@ -1,4 +1,6 @@
 """Queries over the driver tables and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from veridex.plans import metric_queries, oracles
+
+QUERIES = {**metric_queries.QUERIES}
+ORACLES = {**oracles.ORACLES}
