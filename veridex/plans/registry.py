@@ -1,6 +1,6 @@
 """Queries over the driver tables and their SQL oracles."""
 
-from veridex.plans import metric_queries, oracles
+from veridex.plans import curation_queries, metric_queries, oracles, text_queries
 
-QUERIES = {**metric_queries.QUERIES}
-ORACLES = {**oracles.ORACLES}
+QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES, **curation_queries.QUERIES}
+ORACLES = {**oracles.ORACLES, **text_queries.ORACLES, **curation_queries.ORACLES}

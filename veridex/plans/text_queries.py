@@ -1,0 +1,220 @@
+"""Row-level queries: for each a Spark expression and, for the oracle, a DuckDB one over the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridex.functions import answers, pages, retrieval, text
+from veridex.plans import oracles as o
+from veridex.plans.binding import answered, log_probs, responses, results, sources, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+TEXTS = "transform(retrieved_docs, d -> coalesce(d.text, ''))"
+ST, SP = o.arr(text.STOP_WORDS), o.arr([*text.STOP_WORDS, *text.PRONOUNS])
+
+
+def _share(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}), 0)::DOUBLE, 0)"
+
+
+def _content(x: str, stop: str) -> str:
+    return f"list_distinct(list_filter({o.toks(x)}, lambda w: NOT list_contains({stop}, w)))"
+
+
+def _boost(r: str) -> str:
+    return f"CASE WHEN {r} > 0.3 THEN least(1, {r} * 1.2) ELSE {r} END"
+
+
+def _overlap(a: str, b: str) -> str:
+    return _boost(_share(_content(a, SP), _content(b, SP)))
+
+
+def _ngrams(x: str) -> str:
+    t = o.toks(x)
+    return f"list_distinct(list_transform(range(1, greatest(len({t}) - 1, 1)), lambda i: array_to_string(({t})[i:i + 2], ' ')))"
+
+
+def _claims(x: str, n: int) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({x}, ''), '.'), lambda c: {o.strip('c')}), lambda c: length(c) > {n})"
+
+
+def _held(claims: str, sets: str) -> str:
+    """Claims that one of the sources' word sets holds."""
+    c = _content("c", ST)
+    return f"list_filter({claims}, lambda c: len({c}) > 0 AND len(list_filter({sets}, lambda s: len(list_intersect({c}, s)) >= 0.25 * len({c}))) > 0)"
+
+
+def _rate(part: str, whole: str) -> str:
+    return f"coalesce(len({part}) / nullif(len({whole}), 0)::DOUBLE, 0)"
+
+
+_FACTS = "[0-9]+%|[0-9]+\\.[0-9]+|[0-9]{4}|\\$[0-9]+|[0-9]+\\s+(years?|months?|days?)"
+DUCK = f"""WITH {o.RESULTS},
+y0 AS (SELECT *, list_transform(retrieved_docs, lambda d: coalesce(d.text, '')) AS texts, {_claims('prediction_text', 10)} AS c10, {_claims('prediction_text', 0)} AS c0 FROM results),
+y1 AS (SELECT *, list_filter(texts, lambda s: length({o.strip('s')}) > 10) AS kept, list_filter(texts, lambda s: s <> '') AS filled FROM y0),
+y2 AS (SELECT *, list_transform(kept, lambda s: {_content('s', ST)}) AS ks, list_transform(filled, lambda s: {_content('s', ST)}) AS fs, list_transform(kept, lambda s: list_distinct({o.toks('s')})) AS kt,
+  array_to_string(kept, ' ') AS joined, list_distinct({o.toks('prediction_text')}) AS pt, list_transform(kept, lambda s: {_overlap('prediction_text', 's')}) AS v FROM y1),
+y3 AS (SELECT *, {_held('c10', 'ks')} AS h10, {_held('c0', 'fs')} AS h0 FROM y2),
+x AS (SELECT *, {_overlap('prediction_text', 'joined')} AS f_overlap, {_rate('h10', 'c10')} AS f_coverage,
+  coalesce(len(list_filter(kt, lambda s: len(list_intersect(pt, s)) >= greatest(3, 0.1 * len(s)))) / nullif(len(kt), 0)::DOUBLE, 0) AS f_utilization,
+  {_rate("list_filter(c0, lambda c: NOT list_contains(h0, c) AND regexp_matches(lower(c), '" + _FACTS + "'))", 'c0')} AS f_halluc, {_rate('list_filter(c0, lambda c: NOT list_contains(h0, c))', 'c0')} AS f_unsup,
+  coalesce(len(list_intersect(pt, list_distinct({o.toks('gold_answer')}))) / nullif(len(list_distinct(list_concat(pt, {o.toks('gold_answer')}))), 0)::DOUBLE, 0) AS f_fact, coalesce(list_avg(v), 0) AS f_ground,
+  coalesce(len(list_filter(v, lambda z: z > 0.05)) / nullif(len(v), 0)::DOUBLE, 0) AS f_gcov, CASE WHEN len(v) = 0 THEN 0 WHEN len(v) = 1 THEN 1 ELSE 1 - list_aggregate(v, 'var_pop') END AS f_gcon, coalesce(list_avg(list_filter(v, lambda z: z > 0.05)), 0) AS f_grel FROM y3)
+"""
+
+
+def faithfulness_rows(df: DataFrame) -> DataFrame:
+    """model, entry_id and the row metrics of faithfulness."""
+    d = df.select("model", "entry_id", "prediction_text", "gold_answer", F.expr(TEXTS).alias("texts"))
+    d = d.select(
+        "model", "entry_id", F.expr(text.answer_source_overlap("prediction_text", "texts")).alias("overlap"), F.expr(text.attribution("prediction_text", "texts")).alias("a"),
+        F.expr(text.hallucination("prediction_text", "texts", "gold_answer")).alias("h"), F.expr(text.grounding("prediction_text", "texts")).alias("g"),
+    )
+    d = d.select("model", "entry_id", "overlap", "a.*", "h.*", F.col("g.score").alias("grounding"), F.col("g.coverage").alias("grounding_coverage"), F.col("g.consistency").alias("grounding_consistency"), F.col("g.relevance").alias("relevance"))
+    return d.withColumn("faithfulness", F.expr("0.3D * overlap + 0.3D * coverage + 0.2D * (1 - hallucination_rate) + 0.2D * grounding"))
+
+
+def add(name: str, spark_sql: str | None, duck_sql: str | None, source: Callable[[SparkSession, str], DataFrame], duck_from: str, key: str = "entry_id", duck_with: str | None = None) -> None:
+    """Queries of one value per row. Doubles are rounded on both sides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = source(spark, sf_dir).select(key, F.expr(spark_sql).alias("value"))
+        kind = df.schema["value"].dataType.simpleString()
+        return df.withColumn("value", F.round("value", 6)) if kind == "double" else df.withColumn("value", F.col("value").cast("long")) if kind == "int" else df
+
+    QUERIES[name] = run
+    if duck_sql:
+        ORACLES[name] = f"{DUCK if duck_with is None else duck_with} SELECT {key}, {duck_sql} AS value FROM {duck_from}"
+
+
+def _d(x: str) -> str:
+    return f"round(cast({x} AS DOUBLE), 6)"
+
+
+def _n(x: str) -> str:
+    return f"cast({x} AS BIGINT)"
+
+
+P, G, E = "prediction_text", "gold_answer", "prediction_explanation"
+_LS = lambda c: o.strip(f"lower({c})")
+_LW = lambda c: f"list_distinct(list_filter(regexp_split_to_array({_LS(c)}, '\\s+'), lambda w: w <> ''))"
+SOFT = f"CASE WHEN {_LS(P)} = '' OR {_LS(G)} = '' THEN 0 WHEN {_LS(P)} = {_LS(G)} THEN 1 WHEN contains({_LS(G)}, {_LS(P)}) OR contains({_LS(P)}, {_LS(G)}) THEN 0.8 ELSE len(list_intersect({_LW(P)}, {_LW(G)})) / greatest(len({_LW(P)}), len({_LW(G)}))::DOUBLE END"
+TEXT_ROWS = {
+    "normalize_text": (text.normalize_text("question"), o.norm("question")),
+    "hedge_count": (text.term_count(P, text.HEDGE_TERMS), _n(o.terms(P, text.HEDGE_TERMS))),
+    "word_count": (text.word_count(P), _n(o.wc(P))),
+    "hedge_density": (text.term_density(P, text.HEDGE_TERMS), _d(f"{o.terms(P, text.HEDGE_TERMS)} / greatest({o.wc(P)}, 1)::DOUBLE")),
+    "confident_density": (text.term_density(P, text.CONFIDENT_TERMS), _d(f"{o.terms(P, text.CONFIDENT_TERMS)} / greatest({o.wc(P)}, 1)::DOUBLE")),
+    "is_refusal": (text.is_refusal(P), f"contains(lower({P}), 'i don''t know')"),
+    "is_uncertain": ("confidence < 0.6D", "confidence < 0.6::DOUBLE"),
+    "soft_accuracy": (text.soft_accuracy(P, G), _d(SOFT)),
+    "token_overlap": (text.token_overlap(P, G), _d(_overlap(P, G))),
+    "ngram_overlap": (text.ngram_overlap(P, G), _d(_share(_ngrams(P), _ngrams(G)))),
+    "semantic_overlap": (text.semantic_overlap(P, G), _d(_share(f"list_distinct({o.toks(P)})", f"list_distinct({o.toks(G)})"))),
+    "factual_consistency": (text.factual_consistency(P, G), _d(f"coalesce(len(list_intersect({o.toks(P)}, {o.toks(G)})) / nullif(len(list_distinct(list_concat({o.toks(P)}, {o.toks(G)}))), 0)::DOUBLE, 0)")),
+    "claims_attr": (f"size({text.claims(P, 10)})", _n(f"len({_claims(P, 10)})")),
+    "claims_halluc": (f"array_join({text.claims(P)}, '|')", f"array_to_string({_claims(P, 0)}, '|')"),
+    "fact_regex": (text.states_fact(E), f"regexp_matches(lower({E}), '{_FACTS}')"),
+    "accuracy_assign": (answers.assigned_accuracy(P, E, G), _d(f"CASE WHEN contains(lower({P}), 'i don''t know') THEN 0.4 WHEN coalesce({G}, '') <> '' AND coalesce({P}, '') <> '' THEN CASE WHEN {_LS(P)} = {_LS(G)} THEN 1 ELSE 0 END ELSE 0.5 END")),
+    "truncate_display": (text.truncated("question", 100), "CASE WHEN length(question) > 100 THEN substring(question, 1, 100) || '...' ELSE question END"),
+    "topic_extract": (text.topic("question"), "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {o.q(w)})' for w in ws)} THEN {o.q(k)}" for k, ws in text.TOPIC_WORDS.items()) + " ELSE 'public_health' END"),
+    "keywords_finder": (f"array_join({text.keywords('question', text.STOP_WORDS)}, ' ')", f"array_to_string(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w)), ' ')"),
+    "relevance_hits": (text.keyword_hits(text.keywords("question", text.STOP_WORDS), G), _d(f"coalesce(len(list_filter(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w)), lambda w: contains(lower({G}), w))) / nullif(len(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w))), 0)::DOUBLE, 0)")),
+    "query_diverse": (text.same_question("question", P), _d(f"coalesce(len(list_intersect({_LW('question')}, {_LW(P)})) / nullif(greatest(len({_LW('question')}), len({_LW(P)})), 0)::DOUBLE, 0)") + " > 0.7"),
+    "model_router": (answers.model_client("model"), "CASE WHEN model LIKE 'gpt%' THEN 'openai' WHEN model LIKE 'mistral%' OR model LIKE 'deepseek%' OR model LIKE 'Qwen%' THEN 'mistral' END"),
+    "sink_summary": (answers.output_name("model", "_evaluation.json"), "replace(model, '/', '_') || '_evaluation.json'"),
+    "sink_report": (answers.output_name("model", "_bluff_rag_report.json"), "replace(model, '/', '_') || '_bluff_rag_report.json'"),
+    "grading_prompt": (f"md5({answers.grading_prompt('question', G, P)})", "md5(replace(replace(replace(" + o.q(answers.GRADING_PROMPT) + f", '{{question}}', question), '{{gold}}', {G}), '{{answer}}', {P}))"),
+}
+for _name, (_s, _k) in TEXT_ROWS.items():
+    add(_name, _s, _k, answered, "answered")
+
+_BLOCK = "array_to_string(list_transform(retrieved_docs, lambda s, i: 'Source ' || i || ':' || chr(10) || 'Title: ' || s.title || chr(10) || 'URL: ' || s.url || chr(10) || 'Date: Unknown' || chr(10) || 'Text: ' || s.text || chr(10) || chr(10)), '')"
+_ASK = f"CASE WHEN model LIKE 'gpt%' OR model LIKE 'mistral%' OR model LIKE 'llama%' THEN {o.q(answers.ASK_ANSWER)} ELSE {o.q(answers.ASK_CONFIDENCE)} END"
+DOC_ROWS = {
+    "retrieval_recall": (retrieval.recall("retrieved_docs", "relevant_docs"), _d(f"CASE WHEN len(relevant_docs) = 0 THEN 1 ELSE len(list_intersect({o.ids('retrieved_docs')}, {o.ids('relevant_docs')})) / len({o.ids('relevant_docs')})::DOUBLE END")),
+    "retrieval_precision": (retrieval.precision("retrieved_docs", "relevant_docs"), _d(f"len(list_intersect({o.ids('retrieved_docs')}, {o.ids('relevant_docs')})) / len({o.ids('retrieved_docs')})::DOUBLE")),
+    "source_quality": (retrieval.quality("retrieved_docs"), _d("list_avg(list_transform(retrieved_docs, lambda d: CASE d.category WHEN 'reliable' THEN 1.0 WHEN 'unreliable' THEN 0.0 ELSE 0.5 END))")),
+    "diversity": (retrieval.diversity("retrieved_docs"), _d("len(list_distinct(list_transform(retrieved_docs, lambda d: lower(d.domain)))) / len(retrieved_docs)::DOUBLE")),
+    "answer_source_overlap": (text.answer_source_overlap(P, TEXTS), _d("f_overlap")),
+    "source_selection": ("array_join(transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE concat(relevant_docs, retrieved_docs) END, d -> d.url), ' ')", "array_to_string(list_transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE list_concat(relevant_docs, retrieved_docs) END, lambda d: d.url), ' ')"),
+    "project_docs": ("to_json(transform(retrieved_docs, d -> named_struct('url', d.url, 'domain', d.domain, 'category', d.category)))", "cast(to_json(list_transform(retrieved_docs, lambda d: {'url': d.url, 'domain': d.domain, 'category': d.category})) AS VARCHAR)"),
+    "format_prompt": (f"md5({answers.answer_prompt('question', 'retrieved_docs', 'model')})", f"md5(replace(replace(replace({o.q(answers.ANSWER_PROMPT)}, '{{question}}', question), '{{threshold}}', '0.1'), '{{sources}}', {_BLOCK}) || {_ASK})"),
+    "ptrue_prompt": (f"md5({answers.truth_prompt('question', P, 'retrieved_docs')})", f"md5(replace(replace(replace({o.q(answers.TRUTH_PROMPT)}, '{{question}}', question), '{{answer}}', {P}), '{{sources}}', 'Sources:' || chr(10) || {_BLOCK}))"),
+}
+for _name, (_s, _k) in DOC_ROWS.items():
+    add(_name, _s, _k, results, "x")
+
+
+def _faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.plans.metric_queries import rounded
+
+    return rounded(faithfulness_rows(results(spark, sf_dir)))
+
+
+_F = {"overlap": "f_overlap", "coverage": "f_coverage", "utilization": "f_utilization", "hallucination_rate": "f_halluc", "unsupported_rate": "f_unsup", "factual_consistency": "f_fact", "grounding": "f_ground", "grounding_coverage": "f_gcov", "grounding_consistency": "f_gcon", "relevance": "f_grel"}
+_FAITH = "0.3 * f_overlap + 0.3 * f_coverage + 0.2 * (1 - f_halluc) + 0.2 * f_ground"
+QUERIES["faithfulness_row"] = _faithful
+ORACLES["faithfulness_row"] = f"{DUCK} SELECT model, entry_id, {', '.join(f'{_d(v)} AS {k}' for k, v in _F.items())}, {_d(_FAITH)} AS faithfulness FROM x"
+for _name, _cols in {"attribution": ["coverage", "utilization"], "hallucination": ["hallucination_rate", "unsupported_rate", "factual_consistency"], "grounding": ["grounding", "grounding_coverage", "grounding_consistency", "relevance"]}.items():
+    QUERIES[_name] = lambda spark, sf_dir, c=tuple(_cols): _faithful(spark, sf_dir).select("entry_id", *c)
+    ORACLES[_name] = f"{DUCK} SELECT entry_id, {', '.join(f'{_d(_F[k])} AS {k}' for k in _cols)} FROM x"
+
+
+def _faithful_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.operators.metrics import faithfulness_summary
+    from veridex.plans.metric_queries import rounded
+
+    return rounded(faithfulness_summary(faithfulness_rows(results(spark, sf_dir)), ["model"]))
+
+
+QUERIES["faithfulness_batch"] = _faithful_batch
+_all = {**_F, "faithfulness": _FAITH}
+ORACLES["faithfulness_batch"] = f"{DUCK} SELECT model, {', '.join(f'{_d(f"avg({v})")} AS avg_{k}, {_d(f"stddev_pop({v})")} AS std_{k}' for k, v in _all.items())}, {_d('0.3 * avg(f_overlap) + 0.2 * (1 - avg(f_halluc)) + 0.3 * avg(f_coverage) + 0.2 * avg(f_ground)')} AS overall_faithfulness FROM x GROUP BY model"
+
+# log probabilities and responses, by rule on both sides
+_TOP = """list_value({'token': CASE WHEN entry_id % 5 IN (0, 1) THEN ' A' ELSE 'x' END, 'logprob': -0.1 * (1 + conv_id % 7)}, {'token': CASE WHEN entry_id % 5 IN (0, 2) THEN 'b' ELSE 'y' END, 'logprob': -0.3 * (1 + turn % 5)}, {'token': CASE WHEN entry_id % 10 = 0 THEN 'a' ELSE 'z' END, 'logprob': -2.5})"""
+_LP = f"""WITH {o.RESULTS}, l0 AS (SELECT entry_id, entry_id % 5 = 4 AS empty, CASE WHEN entry_id % 4 = 0 THEN 'A' WHEN entry_id % 4 = 1 THEN 'B' ELSE 'MAYBE' END AS u, -0.2::DOUBLE * (1 + turn % 4) AS own, {_TOP} AS l FROM answered),
+l1 AS (SELECT *, list_transform(list_filter(l, lambda t: upper(trim(t.token)) = 'A'), lambda t: t.logprob::DOUBLE) AS a, list_transform(list_filter(l, lambda t: upper(trim(t.token)) = 'B'), lambda t: t.logprob::DOUBLE) AS b FROM l0)"""
+
+
+def _two(a: str, b: str, said: str) -> str:
+    return _d(f"least(0.99, greatest(0.01, CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN exp({a}) / (exp({a}) + exp({b})) WHEN {a} IS NOT NULL THEN exp({a}) WHEN {b} IS NOT NULL THEN 1 - exp({b}) ELSE {said} END))")
+
+
+_SAID = "CASE u WHEN 'A' THEN 0.9 WHEN 'B' THEN 0.1 ELSE 0.5 END"
+add("ptrue_openai", answers.truth_from_first_token("log_probs", "letter"), f"CASE WHEN empty THEN 0.5 ELSE {_two('a[-1]', 'b[-1]', _SAID)} END", log_probs, "l1", duck_with=_LP)
+add("ptrue_gemini", answers.truth_from_any_token("log_probs", "letter"), f"CASE WHEN empty THEN {_two('NULL::DOUBLE', 'NULL::DOUBLE', _SAID)} ELSE {_two('coalesce(a[1], -1.5)', 'coalesce(b[1], -0.7)', _SAID)} END", log_probs, "l1", duck_with=_LP)
+add("ptrue_together", answers.truth_from_base_two("log_probs"), f"CASE WHEN empty THEN 0.5 ELSE {_d('least(0.99, greatest(0.01, pow(2, own)))')} END", log_probs, "l1", duck_with=_LP)
+_RS = f"""WITH {o.RESULTS}, rs AS (SELECT entry_id, chr(10) || '  ' || prediction_text || chr(10) || chr(10) || prediction_explanation || chr(10) || CASE entry_id % 6 WHEN 0 THEN 'Confidence: 85' WHEN 1 THEN 'confidence = .4' WHEN 2 THEN '0.7 confidence' WHEN 3 THEN 'CONFIDENCE level is 0.25' WHEN 4 THEN 'Confidence: 0' ELSE '' END || chr(10) || 'End. ' AS response, prediction_text, prediction_explanation FROM answered),
+ls AS (SELECT *, list_filter(list_transform(list_filter(string_split({o.strip('response')}, chr(10)), lambda l: NOT regexp_matches(lower(l), 'confidence:\\s*[0-9]*\\.?[0-9]+')), lambda l: {o.strip('l')}), lambda l: l <> '') AS k FROM rs)"""
+add("extract_confidence", answers.stated_confidence("response"), "CASE entry_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.25 WHEN 4 THEN 0.0 END::DOUBLE", responses, "ls", duck_with=_RS)
+add("parse_answer", answers.parsed_response("response") + ".answer", f"CASE WHEN len(k) = 0 THEN {o.strip('response')} ELSE k[1] END", responses, "ls", duck_with=_RS)
+add("parse_explanation", answers.parsed_response("response") + ".explanation", "CASE WHEN len(k) < 2 THEN 'No explanation provided' ELSE array_to_string(k[2:], chr(10)) END", responses, "ls", duck_with=_RS)
+
+# whole documents and pages
+_CLEAN = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({o.strip('text')}, '\\s+', ' ', 'g'), '({text.WEB_WORDS})', '', 'gi'), '\\[.*?\\]', '', 'g'), '\\{{.*?\\}}', '', 'g'), '<.*?>', '', 'g')"""
+_docs = lambda spark, sf_dir: table(spark, sf_dir, "documents")
+_pages = lambda spark, sf_dir: table(spark, sf_dir, "pages")
+add("clean_text", f"md5({text.clean_text('text')})", f"md5({_CLEAN})", _docs, "documents", "doc_id", "")
+add("sentence_split", f"md5(array_join({text.sentences('text')}, '|'))", f"md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: {o.strip('s')}), lambda s: s <> ''), '|'))", _docs, "documents", "doc_id", "")
+add("seq_chunk", f"md5(array_join({text.chunks(text.sentences('text'))}, '|'))", None, _docs, "documents", "doc_id", "")
+add("doc_id_norm", retrieval.document_id("url"), o.doc_id("url"), _pages, "pages", "page_id", "")
+_HOST = o.net("url")
+add("page_fetch_filter", pages.fetchable(retrieval.netloc("url")), "NOT (" + " OR ".join(f"contains(lower({_HOST}), {o.q(h)})" for h in pages.SKIPPED_HOSTS) + ")", _pages, "pages", "page_id", "")
+_LONG = f"len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: length({o.strip('s')}) > 20))"
+add("content_quality", pages.good_content("source", "text"), f"length({o.strip('text')}) >= 200 AND {_LONG} >= 3 AND len(list_filter({o.arr(pages.NAVIGATION)}, lambda t: contains(lower(text), t))) <= {_LONG} / 2.0", _docs, "documents", "doc_id", "")
+_KW = "array('the', 'with', 'health', 'para')"
+_KWD = "['the', 'with', 'health', 'para']"
+add("link_filter", pages.follow_link("url", "substring(html, 1, 200)", retrieval.netloc("url"), _KW),
+    f"url LIKE 'http%' AND NOT ({' OR '.join(f'contains(lower(url), {o.q(t)})' for t in pages.SKIPPED_LINKS)}) AND ({' OR '.join(f'contains({_HOST}, {o.q(t)})' for t in pages.HEALTH_HOSTS)} OR len(list_filter({_KWD}, lambda k: contains(lower(substring(html, 1, 200)), k))) > 0)", _pages, "pages", "page_id", "")
+add("link_relevance", pages.link_relevance("url", "html", _KW),
+    _d(f"least(1, list_sum(list_transform({_KWD}, lambda k: CASE WHEN contains(lower(html), k) THEN 0.15 WHEN contains(lower(url || ' ' || html), k) THEN 0.1 ELSE 0 END::DOUBLE)) + " + " + ".join(f"CASE WHEN contains(lower(url || ' ' || html), {o.q(t)}) THEN {b} ELSE 0 END" for t, b in pages.LINK_TERMS.items()) + ")"), _pages, "pages", "page_id", "")
+_TW = ["health", "research", "treatment", "nutrition", "and", "the"]
+add("topic_relevant", pages.on_topic("lower(text)", _TW), "list_sum(list_transform(" + o.arr(_TW) + ", lambda k: CASE WHEN contains(lower(text), k) THEN 1.0 WHEN length(k) > 5 AND contains(lower(text), k[1:5]) THEN 0.5 ELSE 0 END)) >= 2", _docs, "documents", "doc_id", "")
