@@ -1 +1,29 @@
+"""Row-level functions, also for use from SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from veridex.functions import answers, retrieval, text
+
+_DOCS = "ARRAY<STRUCT<url: STRING, domain: STRING, category: STRING>>"
+#: name: (parameters, body)
+SQL_FUNCTIONS = {
+    "normalize_text": ("x STRING", text.normalize_text("x")),
+    "hedge_count": ("x STRING", text.term_count("x", text.HEDGE_TERMS)),
+    "is_refusal": ("x STRING", text.is_refusal("x")),
+    "soft_accuracy": ("p STRING, g STRING", text.soft_accuracy("p", "g")),
+    "token_overlap": ("p STRING, q STRING", text.token_overlap("p", "q")),
+    "document_id": ("url STRING", retrieval.document_id("url")),
+    "retrieval_recall": (f"r {_DOCS}, g {_DOCS}", retrieval.recall("r", "g")),
+    "retrieval_precision": (f"r {_DOCS}, g {_DOCS}", retrieval.precision("r", "g")),
+    "source_quality": (f"d {_DOCS}", retrieval.quality("d")),
+    "source_diversity": (f"d {_DOCS}", retrieval.diversity("d")),
+    "stated_confidence": ("x STRING", answers.stated_confidence("x")),
+}
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the functions temporary SQL functions; Spark inlines their bodies."""
+    for name, (parameters, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURN {body}")
