@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veridex.functions.pages import fetchable
 from veridex.functions.retrieval import netloc
@@ -84,7 +85,7 @@ def page_text(html: str | None) -> tuple[str, str]:
     return (titles[0] if titles else "No Title Found"), " ".join(" ".join(p.body).split())
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
 def page_text_udf(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_text(h) for h in html], columns=["title", "text"])
 
