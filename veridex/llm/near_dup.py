@@ -9,9 +9,10 @@
 3. Candidates are confirmed on their full sets; components follow by label propagation.
 4. All trees are then cut at depth ``least``. Only regions in which components still differ matter. A
    region of more than ``region_rows`` is cut one value deeper, down to ``depth``. In each region the
-   classes outside its largest component meet all of other components. Pairs whose signatures agree in
-   less than ``percent`` minus 15 of a hundred values are dropped, the others confirmed, and the
-   components merged.
+   classes outside its largest component meet all of other components, blocks of rows against blocks.
+   Each class has the counts of its shingles by 256 buckets; the sum of the counts' differences is a lower
+   bound of how many shingles are in one set alone, so a pair above what the similarity allows cannot
+   be a link, and is not brought up. The others are confirmed, and the components merged.
 
 A pair of similarity s shares the first ``least`` values in one of the trees with probability
 1 - (1 - s^least)^trees: with 20 trees and 4 values all but 4 in ten million at 0.85, 3 in a hundred
@@ -40,6 +41,8 @@ from pyspark.sql.window import Window
 from veridex.llm.common import BROADCAST_BYTES, cut, ship
 
 SLICE_ROWS = 1024
+#: Buckets of the counts that bound differences, and rows of a region that are compared at once.
+BUCKETS, BLOCK_ROWS = 256, 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -162,11 +165,7 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = cut(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    ids = cut(ids, "candidate-ids")
-    side = F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
-    texts = texts.join(side, F.col("id") == F.col("i"), "left_semi")
+    texts = _texts(docs, pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))), key, text)
     a = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
     both = pairs.join(a, F.col("a") == F.col("ia")).select("a", "fa", "b", "fb", "ta").join(b, F.col("b") == F.col("ib")).select("a", "fa", "b", "fb", "ta", "tb")
@@ -211,6 +210,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels once further links are added: only components are linked anew."""
+    to = lambda c: labels.select(F.col("id").alias(f"v{c}"), F.col("label").alias(f"l{c}"))
+    j = more.join(to("a"), F.col("a") == F.col("va"), "left").join(to("b"), F.col("b") == F.col("vb"), "left")
+    between = j.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    if between.isEmpty():
+        return labels
+    over = components(between)
+    up = over.select(F.col("id").alias("u"), F.col("label").alias("top"))
+    old = labels.join(up, F.col("label") == F.col("u"), "left").select("id", F.coalesce("top", "label").alias("label"))
+    return cut(old.union(over.join(labels.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti")), "labels")
+
+
 def _regions(classes: DataFrame, trees: int, depth: int, least: int, region_rows: int) -> DataFrame | None:
     """(region, fp, rep, n, comp) of the regions in which components differ."""
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), "sig", "fp", "rep", "n", "comp")
@@ -232,30 +244,65 @@ def _regions(classes: DataFrame, trees: int, depth: int, least: int, region_rows
     return done
 
 
-def _across(regions: DataFrame) -> DataFrame:
-    """Pairs of different components that share a region: those outside its largest with all others."""
-    regions = cut(regions, "mixed")
-    sizes = regions.groupBy("region", "comp").agg(F.count("*").alias("k"))
-    major = sizes.groupBy("region").agg(F.max(F.struct("k", "comp"))["comp"].alias("major"))
-    r = cut(regions.join(major, "region"), "mixed-major")
-    x = r.where("comp <> major").select("region", F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("an"), F.col("comp").alias("ca"))
-    y = r.select(F.col("region").alias("ry"), F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("bn"), F.col("comp").alias("cb"), "major")
-    return x.join(y, (F.col("region") == F.col("ry")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("fa") < F.col("fb")))).select("a", "fa", "an", "b", "fb", "bn")
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the rows whose key is among ids (i)."""
+    ids = cut(ids.distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return texts.join(side, F.col("id") == F.col("i"), "left_semi")
+
+
+def bucket_counts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.uint8), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """The pairs whose signatures agree in at least that share of values."""
+def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """The regions' rows with the bucket counts of their sets."""
+    play = regions.select("fp", "rep").distinct()
+    texts = _texts(docs, play.select(F.col("rep").alias("i")), key, text)
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        n = len(x.iloc[0]) // 4 if len(x) else 1
-        to = lambda s: np.frombuffer(b"".join(s), dtype=np.uint32).reshape(-1, n)
-        return pd.Series((to(x) == to(y)).mean(axis=1) >= share) if len(x) else pd.Series([], dtype=bool)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(i, SLICE_ROWS)
+                # of rows with one key, only the class's own
+                kept = [(fp, bucket_counts(x)) for x, fp in zip(shingle_sets(rows.column(1), shingle), rows.column(0).to_pylist(), strict=True) if digest(x) == fp]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in kept], pa.binary()) for j in (0, 1)], names=["v", "counts"])
+
+    counts = play.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(count, "v binary, counts binary").dropDuplicates(["v"])
+    return regions.join(counts, F.col("fp") == F.col("v")).drop("v")
+
+
+def _across(regions: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a region and that the bucket counts allow: those outside
+    a region's largest component with all others."""
+    regions = cut(regions, "mixed")
+    sizes = regions.groupBy("region", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "comp"))["comp"].alias("major"), F.sum("k").alias("rows")).withColumnRenamed("region", "m")
+    r = regions.join(sizes, F.col("region") == F.col("m")).withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + rows div {BLOCK_ROWS})"))
+    block = lambda df, p: df.groupBy("region", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
+    x, y = block(r.where("comp <> major"), "x"), block(r, "y").select(F.col("region").alias("ry"), "y")
+    both = x.join(y, F.col("region") == F.col("ry")).select("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(col: pa.Array, i: int) -> tuple:
+            rep, fp, n, comp, counts, is_major = col[i].values.flatten()
+            grid = np.frombuffer(b"".join(counts.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+            return rep.to_numpy(), fp.to_pylist(), n.to_numpy().astype(np.int64), comp.to_numpy(), grid, is_major.to_numpy(zero_copy_only=False)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                ra, fa, na, ca, va, _ = side(batch.column(0), i)
+                rb, fb, nb, cb, vb, mb = side(batch.column(1), i)
+                for j in range(len(ra)):
+                    apart = (np.maximum(vb, va[j]) - np.minimum(vb, va[j])).sum(axis=1, dtype=np.int64)
+                    fits = ((100 + percent) * apart <= (100 - percent) * (nb + na[j])) & (cb != ca[j])
+                    out += [(ra[j], fa[j], na[j], rb[k], fb[k], nb[k]) for k in np.flatnonzero(fits) if mb[k] or fa[j] < fb[k]]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["a", "fa", "an", "b", "fb", "bn"])
 
-    pairs = cut(pairs, "pairs")
-    s = lambda name: classes.select(F.col("fp").alias(f"f{name}_"), F.col("sig").alias(f"s{name}"))
-    j = pairs.join(s("a"), F.col("fa") == F.col("fa_")).join(s("b"), F.col("fb") == F.col("fb_"))
-    return j.where(alike("sa", "sb")).select("a", "fa", "b", "fb")
+    return both.mapInArrow(compare, "a long, fa binary, an long, b long, fb binary, bn long")
 
 
 def near_duplicates(
@@ -278,10 +325,10 @@ def near_duplicates(
     placed = classes.join(labels, F.col("rep") == F.col("id"), "left").select("fp", "rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
     regions = _regions(cut(placed, "placed"), trees, depth, least, region_rows)
     if regions is not None:
-        pairs = _alike(_ordered(_across(regions), percent), classes, (percent - 15) / 100)
+        pairs = _ordered(_across(_with_counts(docs, regions, key, text, shingle), percent), percent)
         more = cut(_confirmed(docs, pairs, key, text, shingle, percent), "links-2")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = merged(labels, more)
     final = member.groupBy("id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
     final = final.select(F.col("id").alias("m"), F.coalesce("label", "rep").alias("comp"))
     out = rows.select("id", "n").join(final, F.col("id") == F.col("m"), "left")
