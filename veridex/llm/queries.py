@@ -79,3 +79,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language"]
+
+QUERIES_BY_NAME = {name: globals()[name] for name in NAMES}
