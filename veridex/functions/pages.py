@@ -60,7 +60,7 @@ def link_relevance(href: str, anchor: str, keywords: str) -> str:
 def question_keywords(question: str, stop_words: Sequence[str]) -> str:
     """Words of three characters and more that are no stop words, then neighbours that together exceed five."""
     stop = array_of(list(stop_words))
-    words = f"regexp_extract_all(lower({question}), '\\\\b[\\\\w]+\\\\b', 0)"
+    words = f"regexp_extract_all(lower({question}), '[\\\\p{{L}}\\\\p{{N}}_]+', 0)"
     single = f"filter(w, x -> length(x) > 2 AND NOT array_contains({stop}, x))"
     pair = f"filter(transform(sequence(1, size(w) - 1), i -> if(array_contains({stop}, w[i - 1]) OR array_contains({stop}, w[i]), '', concat(w[i - 1], ' ', w[i]))), p -> length(p) > 5)"
     return let(words, "w", f"concat({single}, if(size(w) > 1, {pair}, cast(array() AS array<string>)))")
