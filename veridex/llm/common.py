@@ -1,14 +1,13 @@
-"""What several operators share: words, scratch tables, broadcast bounds, shipping the package."""
+"""What several operators share: words, scratch tables, broadcast bounds."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridex.shipping import ship  # noqa: F401
+
 #: Blanks between words: space and the five ASCII controls from tab to carriage return.
 BLANKS = r"[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = r" \t\n\u000B\u000C\r"
@@ -54,19 +53,3 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, once for each application, whatever their path is."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        with tempfile.TemporaryDirectory() as own:
-            (tree := Path(own, "tree")).mkdir()
-            shutil.copytree(root, tree / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-            packed = shutil.make_archive(str(Path(tempfile.mkdtemp(), "veridex_src")), "zip", tree)
-        sc.addPyFile(packed)
-        _shipped.add(sc.applicationId)
