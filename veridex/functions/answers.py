@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridex.functions.text import is_refusal, let, quoted, strip
+from veridex.functions.text import is_refusal, let, quoted, soft_accuracy, strip
 
 #: The formats of the prompts. The threshold is printed as 0.1, which is how 0.15 rounds.
 ANSWER_PROMPT = """You are an expert assistant tasked with answering questions based on provided source materials.
@@ -153,7 +153,8 @@ def truth_from_any_token(log_probs: str, text: str) -> str:
     """p(true) from the first A and the first B among all tokens' alternatives."""
     first = lambda x: f"try_element_at(transform(filter(l, t -> upper({strip('t.token')}) = '{x}'), t -> t.logprob), 1)"
     u = f"upper({strip(text)})"
-    said = f"CASE WHEN {u} LIKE '%A' OR {u} LIKE 'A%' THEN 0.9D WHEN {u} LIKE '%B' OR {u} LIKE 'B%' THEN 0.1D ELSE 0.5D END"
+    near = lambda x: f"contains({u}, '\\n({x})') OR endswith({u}, '{x}') OR contains({u}, '\\n{x}\\n') OR endswith({u}, '({x})')"
+    said = f"CASE WHEN {near('A')} THEN 0.9D WHEN {near('B')} THEN 0.1D WHEN startswith({u}, 'A') THEN 0.9D WHEN startswith({u}, 'B') THEN 0.1D ELSE 0.5D END"
     body = let(f"named_struct('a', {first('A')}, 'b', {first('B')})", "p", _two_way("p.a", "p.b", said))
     return let(f"flatten(transform(coalesce({log_probs}, array()), t -> t.top_logprobs))", "l", body)
 
@@ -168,5 +169,18 @@ def truth_from_samples(votes: str) -> str:
     return f"coalesce(try_divide(cast(size(filter({votes}, v -> v = 'A')) AS double), size(filter({votes}, v -> v IN ('A', 'B')))), 0.5D)"
 
 
+def truth(client: str, log_probs: str, text: str) -> str:
+    """p(true) as the model's client allows it; null without a client, so that a caller can fall back."""
+    return f"""CASE {client} WHEN 'openai' THEN {truth_from_first_token(log_probs, text)} WHEN 'google' THEN {truth_from_any_token(log_probs, text)}
+        WHEN 'mistral' THEN {truth_from_base_two(log_probs)} WHEN 'llama' THEN {truth_from_base_two(log_probs)} END"""
+
+
+def graded_accuracy(grade: str, prediction: str, gold: str) -> str:
+    """A grader's number from 0 to 1; what is no number, or missing, falls back to the words in common."""
+    soft = soft_accuracy(prediction, gold)
+    number = f"try_cast({strip(grade)} AS DOUBLE)"
+    return f"CASE WHEN coalesce({prediction}, '') = '' OR coalesce({gold}, '') = '' THEN 0.0D WHEN {number} IS NULL OR isnan({number}) THEN {soft} ELSE greatest(0.0D, least(1.0D, {number})) END"
+
+
 def output_name(model: str, suffix: str) -> str:
     return f"concat(replace({model}, '/', '_'), {quoted(suffix)})"

@@ -117,3 +117,17 @@ def collection_stats(sources: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts by category, mean score, domains and the best source."""
     n = lambda c: F.count(F.when(F.col("category") == c, 1)).alias(c)
     return sources.groupBy(*by).agg(F.count("*").alias("total"), n("reliable"), n("unreliable"), n("unknown"), F.avg("score").alias("avg_score"), F.countDistinct("domain").alias("domains"), F.max(F.struct("score", "url"))["url"].alias("best"))
+
+
+def still_failed(failed: DataFrame, built: DataFrame) -> DataFrame:
+    """Failures (entry_id, ...) whose entry has not been built since; none is lost."""
+    return failed.join(built.select(F.col("id").alias("_id")).distinct(), F.col("entry_id") == F.col("_id"), "left_anti")
+
+
+def without(sources: DataFrame, used: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sources that aren't among the used ones."""
+    u = used.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return sources.join(u, cond, "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import fuzzy, pages, retrieval, text, topics
 from veridex.plans import oracles as o
+from veridex.plans import text_queries
 from veridex.plans.binding import answered, features, results, sources, table
 from veridex.plans.metric_queries import rounded, rows
 from veridex.sources import connectors, sinks
@@ -191,3 +192,45 @@ def _(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.expr("transform(sort_array(collect_list(struct(turn, text))), x -> x.text)"), "\n\n").alias("title"))
     posts = t.select("conv_id", "title", F.lit("").alias("selftext"), (F.col("conv_id") % 10).alias("score"), (F.col("conv_id") % 4).alias("num_comments"), F.array().cast("array<string>").alias("comments"))
     return connectors.reddit_posts(posts).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """The whole way of an evaluation: entries of two sets, prompts, recorded responses and judgements."""
+    from veridex.operators import evaluation
+    from veridex.plans.binding import log_probs, responses
+
+    r = results(spark, sf_dir)
+    models = r.select("model", F.col("entry_id").alias("id"))
+    sets = r.select(F.col("entry_id").alias("id"), "question", "gold_answer", F.expr("stack(2, 'clear', relevant_docs, 'ambiguous', retrieved_docs) AS (set_type, retrieved_docs)"), "relevant_docs")
+    asked = evaluation.requests(sets, models)
+    both = F.explode(F.array(F.lit("clear"), F.lit("ambiguous"))).alias("set_type")
+    said = responses(spark, sf_dir).join(models.withColumnRenamed("id", "i"), F.col("entry_id") == F.col("i")).select("model", F.col("i").alias("id"), both, "response", F.lit(True).alias("success"))
+    said = said.where("id % 11 <> 0 OR set_type = 'clear'")
+    judged = log_probs(spark, sf_dir).select("model", F.col("entry_id").alias("id"), both, "log_probs", "letter")
+    return evaluation.evaluate(asked, said, judged)
+
+
+_EVAL = text_queries._LP + """, ls AS (SELECT entry_id, model, gold_answer, prediction_text, CASE entry_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.25 END AS stated FROM answered),
+ev AS (SELECT ls.*, s.set_type, CASE WHEN model = 'gpt-4o' THEN CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, CASE WHEN a[-1] IS NOT NULL AND b[-1] IS NOT NULL THEN exp(a[-1]) / (exp(a[-1]) + exp(b[-1])) WHEN a[-1] IS NOT NULL THEN exp(a[-1]) WHEN b[-1] IS NOT NULL THEN 1 - exp(b[-1]) ELSE CASE u WHEN 'A' THEN 0.9 WHEN 'B' THEN 0.1 ELSE 0.5 END END)) END
+  ELSE CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, pow(2, own))) END END AS c, CASE WHEN contains(lower(prediction_text), 'i don''t know') THEN 0.4 WHEN lower(regexp_replace(prediction_text, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(gold_answer, '^\\s+|\\s+$', '', 'g')) THEN 1.0 ELSE 0.0 END AS acc
+  FROM ls JOIN l1 USING (entry_id), (VALUES ('clear'), ('ambiguous')) s(set_type) WHERE entry_id % 11 <> 0 OR s.set_type = 'clear')"""
+
+
+@query("evaluate_single_entry", _EVAL + " SELECT model, entry_id, set_type, round(cast(c AS DOUBLE), 6) AS confidence, round(cast(acc AS DOUBLE), 6) AS accuracy, c < 0.6 AS is_uncertain FROM ev")
+def _(spark, sf_dir):
+    return rounded(_evaluated(spark, sf_dir).select("model", "entry_id", "set_type", "confidence", "accuracy", "is_uncertain"))
+
+
+@query("evaluate_model", _EVAL + " SELECT model, count(*) AS answered, count(DISTINCT entry_id) AS entries, count(*) - count(DISTINCT entry_id) AS successful, round(avg(cast(c AS DOUBLE)), 6) AS mean_confidence FROM ev GROUP BY model")
+def _(spark, sf_dir):
+    """Successful entries are those answered on both sets."""
+    g = _evaluated(spark, sf_dir).groupBy("model", "entry_id").agg(F.count("*").alias("sets"), F.sum("confidence").alias("c"))
+    return rounded(g.groupBy("model").agg(F.sum("sets").alias("answered"), F.count("*").alias("entries"), F.count(F.when(F.col("sets") == 2, 1)).alias("successful"), (F.sum("c") / F.sum("sets")).alias("mean_confidence")))
+
+
+@query("regenerate_failed", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND doc_id % 30 <> 0")
+def _(spark, sf_dir):
+    from veridex.operators.curation import still_failed
+
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return still_failed(d.where("doc_id % 10 = 0").withColumn("entry_id", F.col("doc_id")), d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))).select("doc_id")
