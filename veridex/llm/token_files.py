@@ -11,7 +11,7 @@ word is encoded on its own, once for each worker, and texts become gathers from
 sign of ``,.;:!?`` behind an ASCII letter is a token stretch of its own and is looked up apart.
 
 Defined results: a null text is empty, so it has the end id alone. Null keys come first. Rows of equal
-keys are ordered by text. Other columns are not read. An empty table gives an empty result.
+keys are ordered by a hash of their texts, then by text. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridex.llm import simple8b
-from veridex.llm.common import new_path, ship
+from veridex.llm.common import BROADCAST_BYTES, new_path, ship
 from veridex.llm.tokens import KEPT_PIECES, PLAIN, pretoken, tokenizer
 
 IMAGE_TOKENS = 1 << 20
@@ -156,7 +156,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, k
         if keys:
             yield image()
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    # ranges are found from a sample of their columns, so texts stand in it by their hashes
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    ordered = ordered.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h")
     images = ordered.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, image binary")
     # images are large rows: the writer looks at its buffer after each
     images.write.option("compression", "none").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(path)
@@ -167,9 +169,13 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     and ids_crc32 (of the ids as little-endian 32-bit integers)."""
     ship(spark)
     files = spark.read.schema("part int, seq int, n_docs long, n_tokens long, image binary").parquet(path)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    placed = files.select("part", "seq", "image").join(F.broadcast(first), ["part", "seq"]).select("first", "image")
+    # sums over parts, which are as many as tasks, then within each part
+    over = lambda w, by: F.coalesce(F.sum("n_tokens").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select(F.col("part").alias("p"), over(Window.partitionBy(), "part").alias("base"))
+    inner = files.select("part", "seq", over(Window.partitionBy("part"), "seq").alias("inner"))
+    first = inner.join(parts, F.col("part") == F.col("p")).select("part", "seq", (F.col("base") + F.col("inner")).alias("first"))
+    side = F.broadcast(first) if files.count() * 64 <= BROADCAST_BYTES else first
+    placed = files.select("part", "seq", "image").join(side, ["part", "seq"]).select("first", "image")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
