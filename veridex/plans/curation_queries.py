@@ -24,13 +24,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(topic, reliable, misleading): hosts without their first label, by the page's number."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.expr(f"regexp_replace({retrieval.netloc('url')}, '^[^.]*[.]', '')").alias("d"))
-    return p.groupBy((F.col("page_id") % 10).alias("topic")).agg(F.collect_set(F.when(F.col("page_id") % 5 == 0, F.col("d"))).alias("reliable"), F.collect_set(F.when(F.col("page_id") % 5 == 1, F.col("d"))).alias("misleading"))
+    """(topic, reliable, misleading): hosts without their first label; those met over https count as reliable."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"regexp_replace({retrieval.netloc('url')}, '^[^.]*[.]', '')").alias("d"))
+    safe = F.col("url").startswith("https")
+    return p.groupBy((F.col("page_id") % 10).alias("topic")).agg(F.collect_set(F.when(safe, F.col("d"))).alias("reliable"), F.collect_set(F.when(~safe, F.col("d"))).alias("misleading"))
 
 
 _CAND = f"""WITH {o.RESULTS}, cand AS (SELECT doc_id // 50 AS entry, doc_id, url, domain, CASE WHEN doc_id % 3 = 0 THEN 'reliable' WHEN doc_id % 3 = 1 AND doc_id % 4 <> 0 THEN 'unreliable' ELSE 'unknown' END AS category, ((doc_id * 37) % 101) / 100.0::DOUBLE AS score FROM src),
-tl AS (SELECT DISTINCT regexp_replace({o.net('url')}, '^[^.]*[.]', '') AS domain, CASE page_id % 5 WHEN 0 THEN 'reliable' ELSE 'misleading' END AS trust FROM pages WHERE page_id % 5 < 2)"""
+tl AS (SELECT DISTINCT regexp_replace({o.net('url')}, '^[^.]*[.]', '') AS domain, CASE WHEN url LIKE 'https%' THEN 'reliable' ELSE 'misleading' END AS trust FROM pages)"""
 
 
 def query(name: str, oracle: str | None = None):
@@ -126,39 +127,45 @@ def _(spark, sf_dir):
     return rounded(c.collection_stats(candidates(spark, sf_dir), ["entry"]))
 
 
-_DONE = "done AS (SELECT 't' || (doc_id % 7) AS topic, 't' || (doc_id % 7) || '_' || lpad(cast(doc_id // 14 AS VARCHAR), 3, '0') AS id FROM documents WHERE doc_id % 7 <> 6 AND doc_id < 600 AND doc_id % 2 = 0)"
+_DONE = "done AS (SELECT 't' || (doc_id % 7) AS topic, 't' || (doc_id % 7) || '_' || CASE WHEN doc_id // 7 < 1000 THEN lpad(cast(doc_id // 7 AS VARCHAR), 3, '0') ELSE cast(doc_id // 7 AS VARCHAR) END AS id FROM documents)"
+_PAD = "CASE WHEN {0} < 1000 THEN lpad(cast({0} AS VARCHAR), 3, '0') ELSE cast({0} AS VARCHAR) END"
+#: More than any topic has at the scales of the tests.
+_TARGET = 2000
 
 
 def _done(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 <> 6 AND doc_id < 600 AND doc_id % 2 = 0")
-    topic = F.expr("concat('t', doc_id % 7)")
-    return d.select(topic.alias("topic"), F.expr("concat('t', doc_id % 7, '_', format_string('%03d', doc_id div 14))").alias("id"))
+    """Every document as an entry of one of seven topics."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.expr("concat('t', doc_id % 7)").alias("topic"), F.expr("concat('t', doc_id % 7, '_', format_string('%03d', doc_id div 7))").alias("id"))
 
 
 def _topics(spark):
-    return spark.range(7).select(F.concat(F.lit("t"), F.col("id")).alias("topic"))
+    return spark.range(8).select(F.concat(F.lit("t"), F.col("id")).alias("topic"))
+
+
+_NEXT = _PAD.format("(coalesce(max(cast(string_split(id, '_')[-1] AS INTEGER)), -1) + 1)")
 
 
-@query("quota_remaining", f", {_DONE} SELECT t.topic, count(id) AS done, 50 - count(id) AS missing, t.topic || '_' || lpad(cast(coalesce(max(cast(string_split(id, '_')[-1] AS INTEGER)), -1) + 1 AS VARCHAR), 3, '0') AS next_id FROM (SELECT 't' || i AS topic FROM range(7) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < 50")
+@query("quota_remaining", f", {_DONE} SELECT t.topic, count(id) AS done, {_TARGET} - count(id) AS missing, t.topic || '_' || {_NEXT} AS next_id FROM (SELECT 't' || i AS topic FROM range(8) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < {_TARGET}")
 def _(spark, sf_dir):
-    return c.quota(_topics(spark), _done(spark, sf_dir), 50)
+    return c.quota(_topics(spark), _done(spark, sf_dir), _TARGET)
 
 
-@query("skip_existing", f", {_DONE}, qs AS (SELECT t.topic, 50 - count(id) AS missing FROM (SELECT 't' || i AS topic FROM range(7) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < 50), ids AS (SELECT topic, topic || '_' || lpad(cast(unnest(range(0, missing)) AS VARCHAR), 3, '0') AS id FROM qs) SELECT topic, id FROM ids WHERE id NOT IN (SELECT id FROM done)")
+@query("skip_existing", f", {_DONE}, qs AS (SELECT t.topic, {_TARGET} - count(id) AS missing FROM (SELECT 't' || i AS topic FROM range(8) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < {_TARGET}), n AS (SELECT topic, unnest(range(0, missing)) AS i FROM qs), ids AS (SELECT topic, topic || '_' || {_PAD.format('i')} AS id FROM n) SELECT topic, id FROM ids WHERE id NOT IN (SELECT id FROM done)")
 def _(spark, sf_dir):
     done = _done(spark, sf_dir)
-    return c.planned_ids(c.quota(_topics(spark), done, 50), done)
+    return c.planned_ids(c.quota(_topics(spark), done, _TARGET), done)
 
 
-@query("topic_counts", f", {_DONE} SELECT topic, count(*) AS n FROM done GROUP BY topic HAVING count(*) < 50")
+@query("topic_counts", f", {_DONE} SELECT topic, count(*) AS n FROM done GROUP BY topic HAVING count(*) < {_TARGET}")
 def _(spark, sf_dir):
-    return _done(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n")).where("n < 50")
+    return _done(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n")).where(f"n < {_TARGET}")
 
 
-@query("least_used", ", u AS (SELECT lang, source, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents GROUP BY ALL) SELECT lang, source, n FROM u QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n, md5('0|' || source), source) = 1")
+@query("least_used", ", u AS (SELECT lang, source, count(*) FILTER (n_chars > 1000) AS n FROM documents GROUP BY ALL) SELECT lang, source, n FROM u QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n, md5('0|' || source), source) = 1")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return c.least_used(d.select("lang", "source").distinct(), d.where("doc_id % 2 = 0").groupBy("lang", "source").agg(F.count("*").alias("n")), "lang", "source")
+    return c.least_used(d.select("lang", "source").distinct(), d.where("n_chars > 1000").groupBy("lang", "source").agg(F.count("*").alias("n")), "lang", "source")
 
 
 @query("distraction_dedupe", "SELECT doc_id FROM cand a WHERE category = 'unknown' AND NOT EXISTS (SELECT 1 FROM cand b WHERE b.entry = a.entry AND b.url = a.url AND b.category <> 'unknown')")

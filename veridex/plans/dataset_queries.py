@@ -200,12 +200,13 @@ def _evaluated(spark, sf_dir) -> DataFrame:
     from veridex.plans.binding import log_probs, responses
 
     r = results(spark, sf_dir)
-    models = r.select("model", F.col("entry_id").alias("id"))
+    models = r.select("model", F.col("entry_id").alias("id"), F.length("prediction_text").alias("n"))
     sets = r.select(F.col("entry_id").alias("id"), "question", "gold_answer", F.expr("stack(2, 'clear', relevant_docs, 'ambiguous', retrieved_docs) AS (set_type, retrieved_docs)"), "relevant_docs")
     asked = evaluation.requests(sets, models)
     both = F.explode(F.array(F.lit("clear"), F.lit("ambiguous"))).alias("set_type")
-    said = responses(spark, sf_dir).join(models.withColumnRenamed("id", "i"), F.col("entry_id") == F.col("i")).select("model", F.col("i").alias("id"), both, "response", F.lit(True).alias("success"))
-    said = said.where("id % 11 <> 0 OR set_type = 'clear'")
+    said = responses(spark, sf_dir).join(models.withColumnRenamed("id", "i"), F.col("entry_id") == F.col("i")).select("model", F.col("i").alias("id"), both, "response", F.lit(True).alias("success"), "n")
+    # short answers were recorded for the clear set alone
+    said = said.where("n > 200 OR set_type = 'clear'").drop("n")
     judged = log_probs(spark, sf_dir).select("model", F.col("entry_id").alias("id"), both, "log_probs", "letter")
     return evaluation.evaluate(asked, said, judged)
 
@@ -213,7 +214,7 @@ def _evaluated(spark, sf_dir) -> DataFrame:
 _EVAL = text_queries._LP + """, ls AS (SELECT entry_id, model, gold_answer, prediction_text, CASE entry_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.25 END AS stated FROM answered),
 ev AS (SELECT ls.*, s.set_type, CASE WHEN model = 'gpt-4o' THEN CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, CASE WHEN a[-1] IS NOT NULL AND b[-1] IS NOT NULL THEN exp(a[-1]) / (exp(a[-1]) + exp(b[-1])) WHEN a[-1] IS NOT NULL THEN exp(a[-1]) WHEN b[-1] IS NOT NULL THEN 1 - exp(b[-1]) ELSE CASE u WHEN 'A' THEN 0.9 WHEN 'B' THEN 0.1 ELSE 0.5 END END)) END
   ELSE CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, pow(2, own))) END END AS c, CASE WHEN contains(lower(prediction_text), 'i don''t know') THEN 0.4 WHEN lower(regexp_replace(prediction_text, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(gold_answer, '^\\s+|\\s+$', '', 'g')) THEN 1.0 ELSE 0.0 END AS acc
-  FROM ls JOIN l1 USING (entry_id), (VALUES ('clear'), ('ambiguous')) s(set_type) WHERE entry_id % 11 <> 0 OR s.set_type = 'clear')"""
+  FROM ls JOIN l1 USING (entry_id), (VALUES ('clear'), ('ambiguous')) s(set_type) WHERE length(prediction_text) > 200 OR s.set_type = 'clear')"""
 
 
 @query("evaluate_single_entry", _EVAL + " SELECT model, entry_id, set_type, round(cast(c AS DOUBLE), 6) AS confidence, round(cast(acc AS DOUBLE), 6) AS accuracy, c < 0.6 AS is_uncertain FROM ev")
@@ -228,9 +229,10 @@ def _(spark, sf_dir):
     return rounded(g.groupBy("model").agg(F.sum("sets").alias("answered"), F.count("*").alias("entries"), F.count(F.when(F.col("sets") == 2, 1)).alias("successful"), (F.sum("c") / F.sum("sets")).alias("mean_confidence")))
 
 
-@query("regenerate_failed", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND doc_id % 30 <> 0")
+@query("regenerate_failed", "SELECT doc_id FROM documents WHERE n_chars < 1000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _(spark, sf_dir):
+    """Short documents as failures, documents of good quality as entries built since."""
     from veridex.operators.curation import still_failed
 
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return still_failed(d.where("doc_id % 10 = 0").withColumn("entry_id", F.col("doc_id")), d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))).select("doc_id")
+    failed = table(spark, sf_dir, "documents").where("n_chars < 1000").select("doc_id", F.col("doc_id").alias("entry_id"))
+    return still_failed(failed, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))).select("doc_id")

@@ -27,7 +27,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    other = answered(spark, sf_dir).withColumn("doc", F.col("entry_id") % n).join(docs.select("doc_id", F.expr("substring(text, 1, 600)").alias("at")), F.col("doc") == F.col("doc_id"))
+    other = answered(spark, sf_dir).withColumn("doc", F.col("entry_id") % n).join(docs.select("doc_id", F.col("text").alias("at")), F.col("doc") == F.col("doc_id"))
     other = other.select("model", "entry_id", F.expr("((conv_id * 37 + (turn + 1) * 11) % 101) / cast(100.0 AS double)").alias("confidence"),
                          F.expr(text.term_count("at", text.HEDGE_TERMS)).alias("hedges"), F.expr(text.word_count("at")).alias("words"), F.expr(text.is_refusal("at")).alias("refuses"))
     return m.asi_pairs(rows(spark, sf_dir), other, BY)

@@ -131,7 +131,7 @@ rf0 AS (SELECT model, count(*) FILTER (is_refusal) AS total_refusals, avg(CASE W
   coalesce(count(*) FILTER (is_refusal AND set_type = 'clear') / nullif(count(*) FILTER (set_type = 'clear'), 0), 0) AS clear_refusal_rate, coalesce(count(*) FILTER (is_refusal AND set_type = 'ambiguous') / nullif(count(*) FILTER (set_type = 'ambiguous'), 0), 0) AS ambiguous_refusal_rate FROM feat GROUP BY model),
 rf AS (SELECT *, ambiguous_refusal_rate - clear_refusal_rate AS refusal_sensitivity FROM rf0),
 ac AS (SELECT model, avg(accuracy) AS answer_correctness, count(*) FILTER (accuracy < 0.15 AND NOT is_refusal) AS missed_refusals, count(*) FILTER (accuracy IS NULL) AS pending FROM feat GROUP BY model),
-other AS (SELECT entry_id, ((conv_id * 37 + (turn + 1) * 11) % 101) / 100.0::DOUBLE AS ac, substring(d.text, 1, 600) AS opening FROM answered JOIN documents d ON d.doc_id = entry_id % (SELECT count(*) FROM documents)),
+other AS (SELECT entry_id, ((conv_id * 37 + (turn + 1) * 11) % 101) / 100.0::DOUBLE AS ac, d.text AS opening FROM answered JOIN documents d ON d.doc_id = entry_id % (SELECT count(*) FROM documents)),
 ah AS (SELECT entry_id, ac, {terms('opening', HEDGE_TERMS)} / greatest({wc('opening')}, 1)::DOUBLE AS ah, {REFUSES.format(x='opening')} AS ar FROM other),
 prs AS (SELECT model, entry_id, CASE WHEN confidence - ac < 0 THEN 2 * (confidence - ac) ELSE confidence - ac END AS confidence_sensitivity, CASE WHEN ah - hd < 0 THEN 2 * (ah - hd) ELSE ah - hd END AS hedge_sensitivity FROM feat JOIN ah USING (entry_id) WHERE NOT refuses AND NOT ar),
 asi AS (SELECT *, (confidence_sensitivity + hedge_sensitivity) / 2 AS asi FROM prs),

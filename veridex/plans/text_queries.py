@@ -212,8 +212,8 @@ _LONG = f"len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: lengt
 add("content_quality", pages.good_content("source", "text"), f"length({o.strip('text')}) >= 200 AND {_LONG} >= 3 AND len(list_filter({o.arr(pages.NAVIGATION)}, lambda t: contains(lower(text), t))) <= {_LONG} / 2.0", _docs, "documents", "doc_id", "")
 _KW = "array('the', 'with', 'health', 'para')"
 _KWD = "['the', 'with', 'health', 'para']"
-add("link_filter", pages.follow_link("url", "substring(html, 1, 200)", retrieval.netloc("url"), _KW),
-    f"url LIKE 'http%' AND NOT ({' OR '.join(f'contains(lower(url), {o.q(t)})' for t in pages.SKIPPED_LINKS)}) AND ({' OR '.join(f'contains({_HOST}, {o.q(t)})' for t in pages.HEALTH_HOSTS)} OR len(list_filter({_KWD}, lambda k: contains(lower(substring(html, 1, 200)), k))) > 0)", _pages, "pages", "page_id", "")
+add("link_filter", pages.follow_link("url", "html", retrieval.netloc("url"), _KW),
+    f"url LIKE 'http%' AND NOT ({' OR '.join(f'contains(lower(url), {o.q(t)})' for t in pages.SKIPPED_LINKS)}) AND ({' OR '.join(f'contains({_HOST}, {o.q(t)})' for t in pages.HEALTH_HOSTS)} OR len(list_filter({_KWD}, lambda k: contains(lower(html), k))) > 0)", _pages, "pages", "page_id", "")
 add("link_relevance", pages.link_relevance("url", "html", _KW),
     _d(f"least(1, list_sum(list_transform({_KWD}, lambda k: CASE WHEN contains(lower(html), k) THEN 0.15 WHEN contains(lower(url || ' ' || html), k) THEN 0.1 ELSE 0 END::DOUBLE)) + " + " + ".join(f"CASE WHEN contains(lower(url || ' ' || html), {o.q(t)}) THEN {b} ELSE 0 END" for t, b in pages.LINK_TERMS.items()) + ")"), _pages, "pages", "page_id", "")
 _TW = ["health", "research", "treatment", "nutrition", "and", "the"]
