@@ -270,7 +270,8 @@ def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shing
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in kept], pa.binary()) for j in (0, 1)], names=["v", "counts"])
 
     counts = play.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(count, "v binary, counts binary").dropDuplicates(["v"])
-    return regions.join(counts, F.col("fp") == F.col("v")).drop("v")
+    where = regions.groupBy("fp").agg(F.collect_set("region").alias("own")).withColumnRenamed("fp", "u")
+    return regions.join(where, F.col("fp") == F.col("u")).join(counts, F.col("fp") == F.col("v")).drop("u", "v")
 
 
 def _across(regions: DataFrame, percent: int) -> DataFrame:
@@ -280,25 +281,26 @@ def _across(regions: DataFrame, percent: int) -> DataFrame:
     sizes = regions.groupBy("region", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "comp"))["comp"].alias("major"), F.sum("k").alias("rows")).withColumnRenamed("region", "m")
     r = regions.join(sizes, F.col("region") == F.col("m")).withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + rows div {BLOCK_ROWS})"))
-    block = lambda df, p: df.groupBy("region", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
+    block = lambda df, p: df.groupBy("region", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", "own", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
     x, y = block(r.where("comp <> major"), "x"), block(r, "y").select(F.col("region").alias("ry"), "y")
-    both = x.join(y, F.col("region") == F.col("ry")).select("x", "y")
+    both = x.join(y, F.col("region") == F.col("ry")).select("x", "y", "region")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(col: pa.Array, i: int) -> tuple:
-            rep, fp, n, comp, counts, is_major = col[i].values.flatten()
+            rep, fp, n, comp, counts, own, is_major = col[i].values.flatten()
             grid = np.frombuffer(b"".join(counts.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-            return rep.to_numpy(), fp.to_pylist(), n.to_numpy().astype(np.int64), comp.to_numpy(), grid, is_major.to_numpy(zero_copy_only=False)
+            return rep.to_numpy(), fp.to_pylist(), n.to_numpy().astype(np.int64), comp.to_numpy(), grid, is_major.to_numpy(zero_copy_only=False), own
 
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                ra, fa, na, ca, va, _ = side(batch.column(0), i)
-                rb, fb, nb, cb, vb, mb = side(batch.column(1), i)
-                for j in range(len(ra)):
+                ra, fa, na, ca, va, _, own_a = side(batch.column(0), i)
+                rb, fb, nb, cb, vb, mb, own_b = side(batch.column(1), i)
+                at, sets_b = batch.column(2)[i].as_py(), [frozenset(x) for x in own_b.to_pylist()]
+                for j, mine in enumerate(own_a.to_pylist()):
                     apart = (np.maximum(vb, va[j]) - np.minimum(vb, va[j])).sum(axis=1, dtype=np.int64)
                     fits = ((100 + percent) * apart <= (100 - percent) * (nb + na[j])) & (cb != ca[j])
-                    out += [(ra[j], fa[j], na[j], rb[k], fb[k], nb[k]) for k in np.flatnonzero(fits) if mb[k] or fa[j] < fb[k]]
+                    out += [(ra[j], fa[j], na[j], rb[k], fb[k], nb[k]) for k in np.flatnonzero(fits) if (mb[k] or fa[j] < fb[k]) and min(sets_b[k].intersection(mine)) == at]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["a", "fa", "an", "b", "fb", "bn"])
 
