@@ -129,7 +129,7 @@ TEXT_ROWS = {
     "query_diverse": (text.same_question("question", P), _d(f"coalesce(len(list_intersect({_LW('question')}, {_LW(P)})) / nullif(greatest(len({_LW('question')}), len({_LW(P)})), 0)::DOUBLE, 0)") + " > 0.7"),
     "model_router": (answers.model_client("model"), "CASE WHEN model LIKE 'gpt%' THEN 'openai' WHEN model LIKE 'mistral%' OR model LIKE 'deepseek%' OR model LIKE 'Qwen%' THEN 'mistral' END"),
     "sink_summary": (answers.output_name("model", "_evaluation.json"), "replace(model, '/', '_') || '_evaluation.json'"),
-    "sink_report": (answers.output_name("model", "_bluff_rag_report.json"), "replace(model, '/', '_') || '_bluff_rag_report.json'"),
+    "sink_report": (answers.output_name("model", "_report.json"), "replace(model, '/', '_') || '_report.json'"),
     "grading_prompt": (f"md5({answers.grading_prompt('question', G, P)})", "md5(replace(replace(replace(" + o.q(answers.GRADING_PROMPT) + f", '{{question}}', question), '{{gold}}', {G}), '{{answer}}', {P}))"),
 }
 for _name, (_s, _k) in TEXT_ROWS.items():
