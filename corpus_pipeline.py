@@ -40,8 +40,8 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    judged = quality_rules(_narrow(docs), key="row")
+    """Documents that the quality rules reject go, and those with more than a symbol for ten words."""
+    judged = quality_rules(_narrow(docs), key="row", max_symbol_percent=10)
     return _without(docs, judged.where("NOT kept").select(F.col("row").alias("gone")))
 
 

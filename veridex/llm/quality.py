@@ -92,13 +92,14 @@ def _distance(p: str, q: str) -> str:
 def quality_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     min_words: int = 10, max_repeat_percent: int = 20, judged_words: int = 50, judged_documents: int = 20,
-    max_char_distance: float = 0.3, max_word_distance: float = 0.31,
+    max_char_distance: float = 0.3, max_word_distance: float = 0.31, max_symbol_percent: int | None = None,
 ) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance (null where not judged) and kept.
 
     ``judged_words`` and ``judged_documents`` guard the distances: shorter documents and languages
-    with fewer documents than that are left alone."""
+    with fewer documents than that are left alone. ``max_symbol_percent``, where given, bounds the symbols
+    for a hundred words, of documents of any length and language."""
     counts = cut(document_counts(docs, key, text, lang), "quality")
     sums = lambda c, n: [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(n)]
     n_common = 1 + max(map(len, COMMON_WORDS.values()))
@@ -118,4 +119,6 @@ def quality_rules(
     j = j.withColumn("word_distance", F.expr(f"if({judged} AND size(common) > 1, {_distance('common', 'ref_common')}, null)"))
     j = j.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"))
     j = j.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(char_distance <= {max_char_distance}D, true) AND coalesce(word_distance <= {max_word_distance}D, true)"))
+    if max_symbol_percent is not None:
+        j = j.withColumn("kept", F.expr(f"kept AND 100 * n_symbols <= {max_symbol_percent} * n_words"))
     return j.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
