@@ -7,9 +7,9 @@
    next to each other are candidates if they share ``least`` values or more, so each class meets the
    neighbours of the longest common prefix, at whatever depth its region has.
 3. Candidates are confirmed on their full sets; components follow by label propagation.
-4. All trees are then cut at depth ``least``. Only regions in which components still differ matter. A
-   region of more than ``region_rows`` is cut one value deeper, down to ``depth``. In each region the
-   classes outside its largest component meet all of other components, blocks of rows against blocks.
+4. All trees are then cut at depth ``least``. Only regions in which components still differ matter. In
+   each, of whatever size, the classes outside its largest component meet all of other components, blocks
+   of rows against blocks, dealt out by runs of ``RUN_BLOCKS`` blocks.
    Each class has the counts of its shingles by 256 buckets; the sum of the counts' differences is a lower
    bound of how many shingles are in one set alone, so a pair above what the similarity allows cannot
    be a link, and is not brought up. The others are confirmed, and the components merged.
@@ -41,8 +41,9 @@ from pyspark.sql.window import Window
 from veridex.llm.common import BROADCAST_BYTES, cut, ship
 
 SLICE_ROWS = 1024
-#: Buckets of the counts that bound differences, and rows of a region that are compared at once.
-BUCKETS, BLOCK_ROWS = 256, 256
+#: Buckets of the counts that bound differences, rows of a region that are compared at once, and blocks of
+#: the classes outside a region's largest component that meet the region in one task.
+BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -223,25 +224,16 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.union(over.join(labels.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti")), "labels")
 
 
-def _regions(classes: DataFrame, trees: int, depth: int, least: int, region_rows: int) -> DataFrame | None:
+def _regions(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame | None:
     """(region, fp, rep, n, comp) of the regions in which components differ."""
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), "sig", "fp", "rep", "n", "comp")
-    done = None
-    for d in range(least, depth + 1):
-        at = rows.withColumn("region", F.expr(f"xxhash64(t, substring(sig, t * {4 * depth} + 1, {4 * d}))"))
-        mixed = cut(at.groupBy("region").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "regions")
-        fits = mixed if d == depth else mixed.where(f"rows <= {region_rows}")
-        n_fits = fits.count()
-        side = lambda df, n: F.broadcast(df) if n * 32 <= BROADCAST_BYTES else df
-        if n_fits:
-            part = at.join(side(fits.select("region"), n_fits), "region", "left_semi").select("region", "fp", "rep", "n", "comp")
-            done = part if done is None else done.union(part)
-        deeper = mixed.where(f"rows > {region_rows}")
-        n_deeper = 0 if d == depth else deeper.count()
-        if not n_deeper:
-            return done
-        rows = cut(at.join(side(deeper.select("region"), n_deeper), "region", "left_semi").drop("region"), "deeper")
-    return done
+    at = rows.withColumn("region", F.expr(f"xxhash64(t, substring(sig, t * {4 * depth} + 1, {4 * least}))"))
+    mixed = cut(at.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region"), "regions")
+    n = mixed.count()
+    if not n:
+        return None
+    side = F.broadcast(mixed) if n * 32 <= BROADCAST_BYTES else mixed
+    return at.join(side, "region", "left_semi").select("region", "fp", "rep", "n", "comp")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -279,11 +271,14 @@ def _across(regions: DataFrame, percent: int) -> DataFrame:
     a region's largest component with all others."""
     regions = cut(regions, "mixed")
     sizes = regions.groupBy("region", "comp").agg(F.count("*").alias("k"))
-    sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "comp"))["comp"].alias("major"), F.sum("k").alias("rows")).withColumnRenamed("region", "m")
-    r = regions.join(sizes, F.col("region") == F.col("m")).withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + rows div {BLOCK_ROWS})"))
-    block = lambda df, p: df.groupBy("region", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", "own", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
-    x, y = block(r.where("comp <> major"), "x"), block(r, "y").select(F.col("region").alias("ry"), "y")
-    both = x.join(y, F.col("region") == F.col("ry")).select("x", "y", "region")
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("rows"))
+    sizes = sizes.select(F.col("region").alias("m"), F.col("most.comp").alias("major"), "rows", (F.col("rows") - F.col("most.k")).alias("outside"))
+    sizes = sizes.withColumn("runs", F.expr(f"1 + outside div {BLOCK_ROWS * RUN_BLOCKS}"))
+    r = regions.join(sizes, F.col("region") == F.col("m"))
+    block = lambda df, n, p: df.withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + {n} div {BLOCK_ROWS})")).groupBy("region", "runs", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", "own", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
+    x = block(r.where("comp <> major"), "outside", "x").select("region", F.expr("pmod(block, runs)").alias("run"), "x")
+    y = block(r, "rows", "y").select(F.col("region").alias("ry"), "y", F.explode(F.expr("sequence(0L, runs - 1)")).alias("turn"))
+    both = x.join(y, (F.col("region") == F.col("ry")) & (F.col("run") == F.col("turn"))).select("x", "y", "region")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(col: pa.Array, i: int) -> tuple:
@@ -309,7 +304,7 @@ def _across(regions: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85,
-    trees: int = 20, depth: int = 6, least: int = 4, sorted_trees: int = 4, region_rows: int = 4096,
+    trees: int = 20, depth: int = 6, least: int = 4, sorted_trees: int = 4,
 ) -> DataFrame:
     """One row per document: key, n_shingles, component_id and kept (key = component_id)."""
     ship(docs.sparkSession)
@@ -325,7 +320,7 @@ def near_duplicates(
     links = cut(first.union(tied).distinct(), "links-1")
     labels = components(links)
     placed = classes.join(labels, F.col("rep") == F.col("id"), "left").select("fp", "rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
-    regions = _regions(cut(placed, "placed"), trees, depth, least, region_rows)
+    regions = _regions(cut(placed, "placed"), trees, depth, least)
     if regions is not None:
         pairs = _ordered(_across(_with_counts(docs, regions, key, text, shingle), percent), percent)
         more = cut(_confirmed(docs, pairs, key, text, shingle, percent), "links-2")
