@@ -19,8 +19,8 @@ STOP_WORDS = (
 PRONOUNS = "i you he she it we they me him her us them".split()
 #: Words of confidence.
 CONFIDENT_TERMS = ["definitely", "certainly", "absolutely", "clearly", "obviously", "undoubtedly", "without doubt", "for sure"]
-#: Frequent hedges. A term counts wherever it occurs, also inside words, and as often as it
-#: is listed. Longer lists are a parameter of every function that counts hedges.
+#: All hedges of the original. A term counts wherever it occurs, also inside words, and as often
+#: as it is listed. Other lists are a parameter of every function that counts hedges.
 HEDGE_TERMS = [
     "likely", "probably", "possibly", "perhaps", "maybe", "might", "could", "may", "would", "should", "can",
     "might be", "could be", "may be", "would be", "should be", "can be",
@@ -38,6 +38,46 @@ HEDGE_TERMS = [
     "except", "barring", "limited evidence", "limited information", "based on available", "as far as", "to my knowledge", "to the best of",
     "in my understanding", "from what I can tell", "uncertain", "unsure", "not certain", "not sure", "hard to say",
     "difficult to determine", "cannot say for certain", "unclear whether",
+    "it is unclear", "it is uncertain", "it is difficult to say", "it is hard to determine", "there is no clear evidence",
+    "the evidence is limited", "the evidence is mixed", "the evidence suggests", "the sources indicate", "the sources suggest",
+    "the information suggests", "based on the available information", "based on the sources provided", "according to the sources",
+    "the sources are unclear", "this is not entirely clear", "this is somewhat uncertain", "there is some uncertainty",
+    "there is some ambiguity", "it may be that", "it could be that", "it might be that", "it appears that", "it seems that",
+    "it looks like", "one could argue", "one might say", "one interpretation is", "this suggests that", "this indicates that",
+    "this implies that", "the data suggests", "the data indicates", "the research suggests", "studies suggest", "evidence suggests",
+    "research indicates", "it is believed that", "it is thought that", "it is assumed that", "it is generally believed",
+    "it is widely thought", "it is commonly assumed", "to the best of my knowledge", "as far as i know", "as far as i can tell",
+    "from what i understand", "in my understanding", "in my view", "it would seem", "it would appear", "it would suggest",
+    "there seems to be", "there appears to be", "there may be", "possibly due to", "likely due to", "probably because",
+    "might be explained by", "could be attributed to", "may result from", "not entirely certain", "not completely clear",
+    "not fully understood", "remains unclear", "remains uncertain", "is still debated", "is under debate", "is open to interpretation",
+    "is subject to interpretation", "depending on how you interpret", "depending on the definition", "with some caveats",
+    "with certain limitations", "with reservations", "to varying degrees", "in varying degrees", "to different extents",
+    "more or less likely", "reasonably likely", "fairly probable", "quite possible", "rather uncertain", "somewhat ambiguous", "the exact",
+    "the precise", "the specific", "while the sources suggest", "although the sources indicate", "the sources do not provide enough detail",
+    "the sources are not specific about", "it is difficult to say with certainty", "it is challenging to determine",
+    "there is insufficient information to", "there is not enough evidence to", "the available information suggests",
+    "the available data indicates", "based on what is provided", "based on what is available", "from the information given",
+    "from what is stated", "without more information", "without additional context", "given the limited information",
+    "given the constraints", "this interpretation", "one possible interpretation", "an alternative view", "another perspective",
+    "it is reasonable to assume", "it is fair to say", "one could reasonably conclude", "one might reasonably infer",
+    "the most likely explanation", "a plausible explanation", "this may vary", "this could vary", "this might differ",
+    "under certain conditions", "in certain cases", "in some instances", "to some degree", "to a certain extent", "to a limited extent",
+    "not definitively", "not conclusively", "not with certainty", "cannot be stated with certainty", "cannot be confirmed",
+    "is difficult to verify", "is hard to confirm", "appears to suggest", "seems to indicate", "tends to suggest", "would seem to indicate",
+    "would appear to suggest", "may or may not", "might or might not", "could or could not", "possibly but not certainly",
+    "probably but not definitely", "there is reason to believe", "there is some indication", "some evidence suggests",
+    "certain evidence indicates", "it has been suggested", "it has been reported", "it has been claimed", "according to some sources",
+    "some sources indicate", "certain sources suggest", "the literature suggests", "research tends to show", "findings indicate",
+    "preliminary evidence", "initial findings", "early research", "tentative conclusion", "preliminary conclusion", "working hypothesis",
+    "subject to change", "subject to revision", "pending further research", "requires further investigation", "needs more study",
+    "warrants further examination", "interpretation may vary", "results may differ", "findings may change", "generally speaking",
+    "broadly speaking", "in general terms", "as a general rule", "as a rough estimate", "as an approximation", "within the margin of error",
+    "within certain limits", "within reasonable bounds", "to a first approximation", "at first glance", "on the surface",
+    "at least in part", "at least partially", "in part due to", "among other factors", "among other things", "among other reasons",
+    "it's worth noting that", "it should be noted that", "it's important to note", "with the caveat that", "with the understanding that",
+    "bearing in mind that", "taking into account", "considering that", "given that", "insofar as", "inasmuch as", "to the extent that",
+    "if one assumes", "if we assume", "assuming that", "granted that", "given the assumption", "under the assumption",
 ]
 
 
