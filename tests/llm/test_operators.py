@@ -16,8 +16,8 @@ from veridex.llm import simple8b
 from veridex.llm.licenses import TEMPLATES, scan_licenses
 from veridex.llm.pii import KINDS, pseudonymise
 from veridex.llm.queries import QUERIES_BY_NAME, tokenizer_path
-from veridex.llm.token_files import token_files
-from veridex.llm.tokens import PieceCounts
+from veridex.llm.token_files import WordIds, stretches, token_files
+from veridex.llm.tokens import TokenCounts
 from veridex.llm.url_filter import UrlTrie, split_url
 
 SF = "/root/testdata/sf0.001"
@@ -39,18 +39,62 @@ def test_simple8b_blocks():
     assert len(image) < 2.4 * len(v)
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (100, 10), (7, 1)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (100, 40), (100, 10), (7, 1)])
 def test_token_counts_resynchronise(chunk, overlap):
-    c = PieceCounts(tokenizer_path("byte_bpe_50k.json"))
+    c = TokenCounts(tokenizer_path("byte_bpe_50k.json"), chunk, overlap)
     want = [len(e.ids) for e in c.tok.encode_batch(NASTY, add_special_tokens=False)]
-    assert c.counts(NASTY, chunk, overlap) == want
+    assert c.counts(NASTY) == want
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="ab ,.'s\n\t 1é漢\x85", max_size=120))
+def test_token_counts_splice_and_widen(monkeypatch):
+    """Long prose is encoded in chunks and spliced, none encoded whole; an unbroken text widens to its end."""
+    from veridex.llm import tokens
+
+    seen = []
+    real = tokens.Encoded
+
+    def watched(tok, text, begin, end):
+        seen.append((begin, end))
+        return real(tok, text, begin, end)
+
+    monkeypatch.setattr(tokens, "Encoded", watched)
+    c = TokenCounts(tokenizer_path("byte_bpe_50k.json"), 1000, 100)
+    text = "Some words, and 12 more; it's late<|endoftext|>now. " * 400
+    assert c.counts([text]) == [len(c.tok.encode(text, add_special_tokens=False).ids)]
+    assert len(seen) > 15 and max(b - a for a, b in seen) <= 1100
+    seen.clear()
+    unbroken = "abcdefg" * 1000
+    assert c.counts([unbroken]) == [len(c.tok.encode(unbroken, add_special_tokens=False).ids)]
+    assert max(b - a for a, b in seen) == len(unbroken)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="ab ,.'s\n\t 1é漢。\x85<|", max_size=160) | st.lists(st.sampled_from(["<|endoftext|>", "word", " it's", "漢字。", "  \n", "12", "..."]), max_size=40).map("".join))
 def test_token_counts_random(text):
-    c = PieceCounts(tokenizer_path("byte_bpe_50k.json"))
-    assert c.counts([text], 11, 3) == [len(c.tok.encode(text, add_special_tokens=False).ids)]
+    c = TokenCounts(tokenizer_path("byte_bpe_50k.json"), 31, 29)
+    assert c.counts([text]) == [len(c.tok.encode(text, add_special_tokens=False).ids)]
+
+
+def test_word_memory_is_bounded():
+    """However small the memory and however long the words, the ids are the library's."""
+    import pyarrow as pa
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [*NASTY, " ".join(f"w{i}x{i * i}" for i in range(3000)), None, "y" * 70 + " " + "z" * 300]
+    for kept in (1 << 30, 1 << 16, 1):
+        w = WordIds(path, kept)
+        got = []
+        for ids, sizes in w.encode(pa.array(texts), 2):
+            got += np.split(ids, np.cumsum(sizes)[:-1])
+        want = [[*w.tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert [g.tolist() for g in got] == want
+        assert not any(len(x) > 64 for x in w.at) and (kept > 1 or len(w.pool) <= 1 << 17)
+
+
+def test_stretches_cut_at_blanks_only():
+    text = "ab cd" * 50 + "x" * 500 + " end\nof it "
+    parts = list(stretches(text, 20))
+    assert "".join(parts) == text and all(p[0] in " \n" for p in parts[1:]) and len(parts) > 5
 
 
 def test_token_files_against_library(spark):

@@ -1,7 +1,8 @@
 """Token-ID output: documents encoded in ascending key order into Simple-8b images, and read back.
 
 Rows are dealt into key ranges and sorted; each task encodes its rows and emits an image whenever enough
-tokens have gathered, so memory is bounded by an image and a slice of a batch. Spark's own writer
+tokens have gathered, so memory is bounded by an image, a slice of a batch and a memory of words that is
+bounded by bytes. Spark's own writer
 commits the images to the shared folder, so lost executors and repeated attempts leave no stray file.
 A file of the output has one image a row, in order; ``first`` values come from a sum over images alone.
 
@@ -16,6 +17,7 @@ keys are ordered by a hash of their texts, then by text. Other columns are not r
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,22 +32,54 @@ from pyspark.sql.window import Window
 
 from veridex.llm import simple8b
 from veridex.llm.common import BROADCAST_BYTES, new_path, ship
-from veridex.llm.tokens import KEPT_PIECES, PLAIN, pretoken, tokenizer
+from veridex.llm.tokens import tokenizer
 
+#: What a worker's memory of words may take, by the estimate below. When full, it starts anew.
+KEPT_BYTES = 128 << 20
+#: Longer words are encoded whenever they are met.
+KEPT_CHARS = 64
+#: Measured: at most what a kept word takes besides its characters, and for each of them, its ids included.
+ENTRY_BYTES, CHAR_BYTES = 300, 4
+#: Latin letters: their case, composition and class are the same to Python and the library.
+LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+#: A word of Latin letters, with one sign behind it at most: the sign is a stretch of its own.
+PLAIN = re.compile(f"([{LETTERS}]+)([,.;:!?]?)")
+#: The byte-level alphabet writes bytes that aren't printable as the characters from 256 on.
+_BYTES = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
 IMAGE_TOKENS = 1 << 20
-SLICE_ROWS = 1024
+#: Bytes of text that are split into words at once; of a longer text, stretches of so many characters.
+SLICE_BYTES = 2 << 20
+BLANK = re.compile(r"[ \t-\r]")
+
+
+def stretches(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
+    """The text in parts cut at blanks; a word is never cut, however long."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + size)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
+def pretoken(text: str) -> str:
+    """A stretch that the pattern keeps whole, in the byte-level alphabet that the model reads."""
+    return text.encode().decode("latin-1").translate(_BYTES)
 
 
 class WordIds:
-    """Ids of words in one pool, with where each word's begin and how many they are. 0 is no word."""
+    """Ids of words in one pool, with where each word's begin and how many they are. 0 is no word.
+
+    Its size is bounded by bytes: words of over ``KEPT_CHARS`` are forgotten after their slice, and when
+    what is kept would exceed ``kept_bytes``, all of it is."""
 
-    def __init__(self, path: str):
-        self.tok = tokenizer(path)
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
+        self.tok, self.kept_bytes = tokenizer(path), kept_bytes
         self.forget()
 
     def forget(self) -> None:
-        self.at, self.pool, self.n_pool = {"": 0}, np.zeros(1 << 20, dtype=np.uint32), 0
-        self.start, self.size, self.n = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 1
+        self.at, self.pool, self.n_pool, self.held = {"": 0}, np.zeros(1 << 16, dtype=np.uint32), 0, 0
+        self.start, self.size, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 1
 
     def _add(self, words: list[str], ids: list[list[int]] | np.ndarray, flat: np.ndarray | None = None) -> None:
         """ids: of each word, or how many each has in ``flat``."""
@@ -69,11 +103,15 @@ class WordIds:
         return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[entries] - ends + sizes, sizes)]
 
     def learn(self, words: list[str]) -> None:
+        """Words of at most ``KEPT_CHARS``."""
         at = self.at
         new = [w for w in words if w not in at]
-        if len(at) + len(new) > KEPT_PIECES:
+        more = sum(map(len, new)) * CHAR_BYTES + len(new) * ENTRY_BYTES
+        if self.held and self.held + more > self.kept_bytes:
             self.forget()
             at, new = self.at, [w for w in words if w]
+            more = sum(map(len, new)) * CHAR_BYTES + len(new) * ENTRY_BYTES
+        self.held += more
         plain, stems, signed, other = PLAIN.fullmatch, {}, [], []
         alike = []
         for w in new:
@@ -102,23 +140,45 @@ class WordIds:
             sizes = self.size[pairs]
             self._add([w for w, _, _ in signed], sizes.sum(axis=1), self._gather(pairs.ravel(), sizes.ravel()))
 
-    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each slice of the texts their ids without a break, and each text's number of ids; the end
-        id closes each."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids without a break, and how many stand before each text and in all."""
+        split = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(split.offsets)
-        offsets = offsets - offsets[0]
         found = split.flatten().dictionary_encode()
         unique = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(unique)
-        known = np.fromiter(map(self.at.__getitem__, unique), dtype=np.int32, count=len(unique))
-        codes = np.asarray(found.indices)
-        for i in range(0, len(texts), SLICE_ROWS):
-            cuts = offsets[i : i + SLICE_ROWS + 1]
-            words = known[codes[cuts[0] : cuts[-1]]] if len(unique) else np.zeros(0, dtype=np.int32)
-            sizes = self.size[words]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[cuts - cuts[0]]
-            yield np.insert(self._gather(words, sizes), ends[1:], np.uint32(end_id)), np.diff(ends) + 1
+        long = [w for w in unique if len(w) > KEPT_CHARS]
+        self.learn([w for w in unique if len(w) <= KEPT_CHARS] if long else unique)
+        kept = self.n, self.n_pool
+        if long:
+            self._add(long, [self.tok.encode(w, add_special_tokens=False).ids for w in long])
+        known = np.fromiter(map(self.at.__getitem__, unique), dtype=np.int64, count=len(unique))
+        words = known[np.asarray(found.indices)] if len(unique) else np.zeros(0, dtype=np.int64)
+        sizes = self.size[words]
+        out = self._gather(words, sizes), np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
+        if long:
+            self.n, self.n_pool = kept
+            for w in long:
+                del self.at[w]
+            if len(self.pool) * 4 > self.kept_bytes:
+                self.forget()
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of the texts their ids without a break, and each text's number of ids; the end
+        id closes each."""
+        texts = texts.fill_null("")
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + SLICE_BYTES, side="right")) - 1)
+            if upto[b] - upto[a] > SLICE_BYTES:  # one long text
+                parts = [self.ids(pa.array([x]))[0] for x in stretches(texts[a].as_py())]
+                v = np.concatenate([*parts, np.array([end_id], dtype=np.uint32)])
+                yield v, np.array([len(v)])
+            else:
+                flat, ends = self.ids(texts.slice(a, b - a))
+                yield np.insert(flat, ends[1:], np.uint32(end_id)), np.diff(ends) + 1
+            a = b
 
 
 @lru_cache(maxsize=4)

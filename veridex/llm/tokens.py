@@ -1,16 +1,16 @@
-"""Token counts by overlap resynchronisation, and the memories that both token operators use.
+"""Token counts by overlap resynchronisation.
 
-A text longer than a chunk is encoded in overlapping chunks, each with the offsets at which runs of
-tokens begin. Two neighbouring encodings are spliced at an offset in their overlap that is a boundary
-of both and provably one of the whole text's. Where the overlap has none, it is doubled and the chunk
-encoded again, up to the whole rest of the text.
+A text longer than a chunk and its overlap is encoded in overlapping chunks, each by the library and with
+the offsets of its tokens. Two neighbouring encodings are spliced at an offset in their overlap at which a
+token begins in both and which is provably a boundary of the whole text's encoding. Where the overlap has
+none, it is doubled and both chunks are encoded again, up to the whole rest of the text. Shorter texts
+are encoded whole, in batches; a worker holds no more than a batch of chunks.
 
-Why a boundary is stable: the byte-level pattern lets a blank only begin a token, so a blank between two
-characters that are no white space always begins one, and what follows is matched by what stands to its
-right alone. Special tokens hold no blank, so none can reach over such a place.
-
-The same argument cuts a chunk into pieces that are encoded on their own. A corpus repeats its words far
-more often than it brings new ones, so each worker keeps the pieces it has met, up to a bound.
+Why a boundary is stable: no stretch that the byte-level pattern keeps whole holds a letter followed by
+something else than a letter. So the place between a letter and a blank, digit or sign ends a stretch in
+every encoding that sees both characters, and what follows is matched by what stands to its right alone.
+Special strings are found before the pattern applies; a place inside one is no token's beginning in an
+encoding that sees all of it, so places nearer to a chunk's edge than the longest of them aren't used.
 
 Defined results: a null text counts as empty, with no tokens. Repeated rows are counted one by one.
 Other columns are not read. An empty table gives an empty result.
@@ -21,23 +21,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from bisect import bisect_left
-from collections.abc import Iterable
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm.common import ship
 
-#: Pieces that one worker keeps, at about 200 bytes each. When full, the memory starts anew.
-KEPT_PIECES = 1_500_000
-#: Unicode's white space, as the tokenizers' patterns have it.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-STABLE = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+#: Letters, and what else may follow one, of which Python and the library are of one mind in every version:
+#: Latin, kana, Chinese and Hangul; blanks, digits and signs of ASCII and of Chinese.
+STABLE = re.compile(r"(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xffぁ-ゖァ-ヺ一-龥가-힣])[\t-\r -@\[-`{-~、。！，：；？]")
+#: Texts that are handed to the library at once.
+BATCH = 64
 
 
 @lru_cache(maxsize=4)
@@ -48,113 +45,75 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Latin letters: their case, composition and class are the same to Python and the library.
-LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-#: A word of Latin letters, with a blank before it or one sign behind: the sign is a stretch of its own.
-PLAIN = re.compile(f"( ?[{LETTERS}]+)([,.;:!?]?)")
-#: The byte-level alphabet writes bytes that aren't printable as the characters from 256 on.
-_BYTES = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
-
-
-def pretoken(text: str) -> str:
-    """A stretch that the pattern keeps whole, in the byte-level alphabet that the model reads."""
-    return text.encode().decode("latin-1").translate(_BYTES)
-
-
 @lru_cache(maxsize=4)
 def specials(path: str) -> tuple[str, ...]:
     with open(path, encoding="utf-8") as f:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
-class PieceCounts:
-    """How many tokens each piece has, as the library says."""
-
-    def __init__(self, path: str):
-        self.tok, self.specials, self.n = tokenizer(path), specials(path), {}
-
-    def learn(self, found: Iterable[str]) -> None:
-        found = set(found)
-        new = list(found.difference(self.n))
-        if len(self.n) + len(new) > KEPT_PIECES:
-            self.n.clear()
-            new = list(found)
-        n, encode, plain, other = self.n, self.tok.model.tokenize, PLAIN.fullmatch, []
-        for p in new:
-            m = plain(p)
-            if m is None:
-                other.append(p)
-                continue
-            stem, sign = m.groups()
-            k = n.get(stem)
-            if k is None:
-                k = n[stem] = len(encode(pretoken(stem)))
-            if sign:
-                if sign not in n:
-                    n[sign] = len(encode(sign))
-                n[p] = k + n[sign]
-        for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            n.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-
-    def boundaries(self, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
-        """Offsets in ``text`` at which runs of tokens of ``text[begin:end]`` begin, the end included, and
-        how many tokens stand before each."""
-        part = text[begin:end]
-        if any(s in part for s in self.specials):
-            e = self.tok.encode(part, add_special_tokens=False)
-            first = {}
-            for i, (a, _) in enumerate(e.offsets):
-                first.setdefault(a, i)
-            stable = [m.start() for m in STABLE.finditer(part) if m.start() in first]
-            return [begin, *(begin + a for a in stable), end], [0, *(first[a] for a in stable), len(e.ids)]
-        pieces = PIECE.findall(part)
-        self.learn(pieces)
-        return list(accumulate(map(len, pieces), initial=begin)), list(accumulate(map(self.n.__getitem__, pieces), initial=0))
-
-    def spliced(self, text: str, chunk: int, overlap: int) -> int:
-        n, begin, end, total, spliced_at = len(text), 0, min(len(text), chunk + overlap), 0, 0
-        at, before = self.boundaries(text, begin, end)
-        while end < n:
-            wide, common = overlap, None
-            while common is None:
-                nxt = max(begin, end - wide)
-                nxt_end = min(n, nxt + chunk + wide)
-                right_at, right_before = self.boundaries(text, nxt, nxt_end)
-                both = set(at).intersection(right_at)
-                # the middle of the overlap first: it is farthest from either edge
-                places = sorted((m.start() for m in STABLE.finditer(text, max(nxt, spliced_at), end)), key=lambda p: abs(2 * p - nxt - end))
-                common = next((p for p in places if nxt < p < end - 1 and p > spliced_at and p in both), None)
-                if common is None:
+class Encoded:
+    """The encoding of ``text[begin:end]``: where its tokens begin in the text, and how many stand before."""
+
+    def __init__(self, tok, text: str, begin: int, end: int):
+        e = tok.encode(text[begin:end], add_special_tokens=False)
+        at, self.before = np.unique(np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e)), return_index=True)
+        self.at, self.n, self.begin, self.end = at + begin, len(e), begin, end
+
+    def upto(self, place: int) -> int:
+        """Tokens before a place at which one begins."""
+        return int(self.before[np.searchsorted(self.at, place)]) if place > self.begin else 0
+
+
+class TokenCounts:
+    def __init__(self, path: str, chunk: int = 16_384, overlap: int = 512):
+        self.tok, self.chunk, self.overlap = tokenizer(path), chunk, overlap
+        self.edge = max(map(len, specials(path)), default=0)
+
+    def splice(self, text: str, left: Encoded, right: Encoded, after: int) -> int | None:
+        """The stable place behind ``after`` at which a token begins in both, nearest to the overlap's middle."""
+        low, high = max(right.begin + self.edge, after + 1), left.end - self.edge
+        if low >= high:
+            return None
+        both = np.intersect1d(left.at, right.at, assume_unique=True)
+        stable = np.fromiter((m.start() for m in STABLE.finditer(text, low, high)), dtype=np.int64)
+        places = np.intersect1d(both, stable, assume_unique=True)
+        return int(places[np.abs(2 * places - low - high).argmin()]) if len(places) else None
+
+    def spliced(self, text: str) -> int:
+        """Tokens of a long text."""
+        n, total, last = len(text), 0, 0
+        left = Encoded(self.tok, text, 0, min(n, self.chunk + self.overlap))
+        while left.end < n:
+            wide, place = self.overlap, None
+            while place is None and left.end < n:
+                begin = max(last, left.end - wide)
+                right = Encoded(self.tok, text, begin, min(n, begin + self.chunk + wide))
+                place = self.splice(text, left, right, last)
+                if place is None:
                     wide *= 2
-                    end = min(n, end + wide)
-                    at, before = self.boundaries(text, begin, end)
-                    if end == n:
-                        break
-            if common is None:
+                    left = Encoded(self.tok, text, left.begin, min(n, left.end + wide))
+            if place is None:
                 break
-            total += before[bisect_left(at, common)] - before[bisect_left(at, spliced_at)]
-            spliced_at, begin, end, at, before = common, nxt, nxt_end, right_at, right_before
-        return total + before[-1] - before[bisect_left(at, spliced_at)]
-
-    def counts(self, texts: list[str | None], chunk: int, overlap: int) -> list[int]:
-        out: list[int] = []
-        for i in range(0, len(texts), 128):
-            part = texts[i : i + 128]
-            short = [PIECE.findall(t) if t and len(t) <= chunk + overlap and not any(s in t for s in self.specials) else None for t in part]
-            seen: set[str] = set()
-            for p in short:
-                if p:
-                    seen.update(p)
-            self.learn(seen)
-            found = [sum(map(self.n.__getitem__, p)) if p else None for p in short]
-            out += [x if x is not None else self.spliced(t, chunk, overlap) if t else 0 for x, t in zip(found, part, strict=True)]
+            total += left.upto(place) - left.upto(last)
+            last, left = place, right
+        return total + left.n - left.upto(last)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        out = [0] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and len(t) <= self.chunk + self.overlap]
+        for i in range(0, len(whole), BATCH):
+            part = whole[i : i + BATCH]
+            for k, e in zip(part, self.tok.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = len(e)
+        for i, t in enumerate(texts):
+            if t and len(t) > self.chunk + self.overlap:
+                out[i] = self.spliced(t)
         return out
 
 
 @lru_cache(maxsize=4)
-def piece_counts(path: str) -> PieceCounts:
-    return PieceCounts(path)
+def _counter(path: str, chunk: int, overlap: int) -> TokenCounts:
+    return TokenCounts(path, chunk, overlap)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
@@ -163,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(piece_counts(tokenizer_path).counts(texts.tolist(), chunk, overlap))
+        return pd.Series(_counter(tokenizer_path, chunk, overlap).counts(texts.tolist()))
 
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(F.col(key).alias(key), F.octet_length(whole).cast("long").alias("n_bytes"), count(whole).alias("n_tokens"))
