@@ -81,12 +81,12 @@ _VALUES = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPL
 #: Every window is compared with every template that shares a shingle with it.
 ORACLES["op2_license_scan"] = f"""
 WITH t0 AS (SELECT license, {_ITEM_WORDS} AS w FROM (VALUES {_VALUES}) v(license, text)),
-t1 AS (SELECT license, len(w) - 4 AS places, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM t0),
-t AS (SELECT license, sh, len(sh) AS m, greatest(1, places // 4) AS step, places + greatest(1, places // 4) - 1 AS width FROM t1),
-ts AS (SELECT license, m, step, width, unnest(sh) AS s FROM t),
-d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
-ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-hit AS (SELECT doc_id, license, m, step, width, pos, ds.s FROM ds JOIN ts ON ds.s = ts.s),
+t1 AS (SELECT license, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS places, list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS sh FROM t0),
+t AS (SELECT license, k, sh, len(sh) AS m, greatest(1, places // 4) AS step, places + greatest(1, places // 4) - 1 AS width FROM t1),
+ts AS (SELECT license, m, step, width, k, unnest(sh) AS s FROM t),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), ks AS (SELECT DISTINCT k FROM t),
+ds AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT doc_id, license, m, step, width, pos, ds.s FROM ds JOIN ts ON ds.s = ts.s AND ds.k = ts.k),
 win AS (SELECT doc_id, license, m, (pos // step - k) * step AS start, width, s, pos FROM (SELECT *, unnest(range(0, (width - 1) // step + 1)) AS k FROM hit)),
 held AS (SELECT doc_id, license FROM win WHERE start >= 0 AND start + width > pos GROUP BY doc_id, license, m, start HAVING 100 * count(DISTINCT s) >= 80 * m),
 g AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS l FROM (SELECT DISTINCT doc_id, license FROM held) GROUP BY doc_id)
