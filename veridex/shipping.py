@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -19,6 +20,9 @@ def ship(spark: SparkSession) -> None:
         with tempfile.TemporaryDirectory() as own:
             (tree := Path(own, "tree")).mkdir()
             shutil.copytree(root, tree / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-            packed = shutil.make_archive(str(Path(tempfile.mkdtemp(), "veridex_src")), "zip", tree)
+            served = tempfile.mkdtemp(prefix="veridex_src_")
+            # the driver's file server reads it for as long as the application runs
+            atexit.register(shutil.rmtree, served, ignore_errors=True)
+            packed = shutil.make_archive(str(Path(served, "veridex_src")), "zip", tree)
         sc.addPyFile(packed)
         _shipped.add(sc.applicationId)
