@@ -114,7 +114,10 @@ ref AS (SELECT lang, h, bin, sum(n) AS rn, sum(sum(n)) OVER (PARTITION BY lang,
 pq AS (SELECT x.doc_id, x.h, coalesce(b.n, 0) / nullif(sum(coalesce(b.n, 0)) OVER (PARTITION BY x.doc_id, x.h), 0)::DOUBLE AS p, rn / rt::DOUBLE AS q
   FROM (SELECT doc_id, ref.* FROM f JOIN ref USING (lang) WHERE n_words >= 50) x LEFT JOIN bins b ON b.doc_id = x.doc_id AND b.h = x.h AND b.bin = x.bin),
 js AS (SELECT doc_id, h, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END))) AS dist FROM pq GROUP BY doc_id, h),
-far AS (SELECT DISTINCT js.doc_id FROM js JOIN f USING (doc_id) WHERE (h = 'c' AND dist > 0.3) OR (h = 'w' AND dist > 0.31 AND lang IN (SELECT lang FROM lex)))
+sref AS (SELECT lang, sum(n_symbols) / nullif(sum(word_chars), 0)::DOUBLE AS q FROM f JOIN many USING (lang) GROUP BY lang),
+sym AS (SELECT doc_id, p, q, (p + q) / 2 AS m FROM (SELECT doc_id, lang, n_symbols / word_chars::DOUBLE AS p FROM f WHERE word_chars >= 60) JOIN sref USING (lang)),
+far AS (SELECT doc_id FROM sym WHERE p > q AND sqrt(greatest(0, 0.5 * (p * log2(p / m) + CASE WHEN p < 1 THEN (1 - p) * log2((1 - p) / (1 - m)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END + (1 - q) * log2((1 - q) / (1 - m))))) > 0.1
+  UNION SELECT DISTINCT js.doc_id FROM js JOIN f USING (doc_id) WHERE (h = 'c' AND dist > 0.3) OR (h = 'w' AND dist > 0.31 AND lang IN (SELECT lang FROM lex)))
 SELECT f.doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words) AND far.doc_id IS NULL AS kept

@@ -1,10 +1,12 @@
 """Quality rules: repetition counts, and how far a document's histograms are from its language's.
 
-Per document two histograms are taken: of seven character classes, and of how often each of a fixed
-list of common words of its language occurs against all other words. The references of a language are
-the same histograms summed over all documents of that language. The distance is Jensen-Shannon's, the
-root of the divergence to base 2, so it lies between 0 and 1. Documents under the minimum lengths, and
-those of no or a rare language, aren't judged by distance.
+Per document three histograms are taken: of seven character classes, of symbols against all other
+characters of words, and of how often each of a fixed list of common words of its language occurs against
+all other words. The references of a language are the same histograms summed over all documents of that
+language. The distance is Jensen-Shannon's, the root of the divergence to base 2, so it lies between 0
+and 1. Symbols count against a document only where it has more of them than its language; in that
+histogram a document is judged by its number of characters, so that short junk is, too. Documents under
+the minimum lengths, and those of no or a rare language, aren't judged by distance.
 
 All of it is DataFrame and SQL functions. One pass over the texts yields a narrow table of counts,
 written to the shared folder; references and distances come from that table.
@@ -92,14 +94,14 @@ def _distance(p: str, q: str) -> str:
 def quality_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     min_words: int = 10, max_repeat_percent: int = 20, judged_words: int = 50, judged_documents: int = 20,
-    max_char_distance: float = 0.3, max_word_distance: float = 0.31, max_symbol_percent: int | None = None,
+    max_char_distance: float = 0.3, max_word_distance: float = 0.31, judged_chars: int = 60, max_symbol_distance: float = 0.1, max_symbol_percent: int | None = None,
 ) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, char_distance, word_distance (null where not judged) and kept.
+    base_failed, char_distance, word_distance, symbol_distance (null where not judged) and kept.
 
-    ``judged_words`` and ``judged_documents`` guard the distances: shorter documents and languages
-    with fewer documents than that are left alone. ``max_symbol_percent``, where given, bounds the symbols
-    for a hundred words, of documents of any length and language."""
+    ``judged_words`` (``judged_chars`` of words for symbols) and ``judged_documents`` guard the distances:
+    shorter documents and languages with fewer documents than that are left alone. ``max_symbol_percent``,
+    where given, bounds the symbols for a hundred words, of documents of any length and language."""
     counts = cut(document_counts(docs, key, text, lang), "quality")
     sums = lambda c, n: [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(n)]
     n_common = 1 + max(map(len, COMMON_WORDS.values()))
@@ -117,8 +119,11 @@ def quality_rules(
     judged = f"n_words >= {judged_words} AND ref_lang IS NOT NULL"
     j = j.withColumn("char_distance", F.expr(f"if({judged}, {_distance('chars', 'ref_chars')}, null)"))
     j = j.withColumn("word_distance", F.expr(f"if({judged} AND size(common) > 1, {_distance('common', 'ref_common')}, null)"))
+    symbols = lambda c: f"array({c}[2], {c}[0] + {c}[1] + {c}[3] + {c}[6])"
+    more = "n_symbols * cast(ref_chars[0] + ref_chars[1] + ref_chars[2] + ref_chars[3] + ref_chars[6] AS double) > word_chars * cast(ref_chars[2] AS double)"
+    j = j.withColumn("symbol_distance", F.expr(f"if(word_chars >= {judged_chars} AND ref_lang IS NOT NULL, if({more}, {_distance(symbols('chars'), symbols('ref_chars'))}, 0D), null)"))
     j = j.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"))
-    j = j.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(char_distance <= {max_char_distance}D, true) AND coalesce(word_distance <= {max_word_distance}D, true)"))
+    j = j.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(char_distance <= {max_char_distance}D, true) AND coalesce(word_distance <= {max_word_distance}D, true) AND coalesce(symbol_distance <= {max_symbol_distance}D, true)"))
     if max_symbol_percent is not None:
         j = j.withColumn("kept", F.expr(f"kept AND 100 * n_symbols <= {max_symbol_percent} * n_words"))
-    return j.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    return j.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "symbol_distance", "kept")

@@ -67,7 +67,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+    return quality_rules(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance", "symbol_distance")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
