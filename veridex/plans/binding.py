@@ -39,23 +39,27 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE entry_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'mistral/Mixtral-8x7B' ELSE 'Qwen/Qwen2.5-72B' END").alias("model"),
         F.expr("if((conv_id + turn) % 2 = 0, 'clear', 'ambiguous')").alias("set_type"),
         F.expr(f"concat({prefix}, if((conv_id * 5 + turn) % 7 = 0, 'I don\\'t know.', answer))").alias("prediction_text"),
-        F.expr("concat('Source ', cast(turn AS string), ' says so. It has 3.5% of ', cast(entry_id AS string), ' in 10 days.')").alias("prediction_explanation"),
+        F.expr("concat('Source ', cast(turn AS string), ' says so.', CASE entry_id % 4 WHEN 0 THEN ' It has 3.5% of all.' WHEN 1 THEN ' It took 10 days.' WHEN 2 THEN ' In 1987 there was one.' ELSE '' END)").alias("prediction_explanation"),
         F.expr("((conv_id * 37 + turn * 11) % 101) / cast(100.0 AS double)").alias("confidence"),
         F.expr("if(entry_id % 17 = 5, null, ((conv_id * 13 + turn * 7) % 11) / cast(10.0 AS double))").alias("accuracy"),
     )
 
 
-def results(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, texts: bool = True, relevant_texts: bool = False) -> DataFrame:
     """The fact table: one row per answer with its retrieved and relevant documents. Without ``texts``
-    the documents' texts are not read."""
+    the documents' texts are not read; those of relevant documents are left out unless asked for.
+
+    Answers meet the other bucket first, so a text is shuffled once, with its own."""
     s = sources(spark, sf_dir)
     n = table(spark, sf_dir, "documents").count()
-    fields = ["url", "domain", "category", "title"] + ["text"] * texts
-    docs = s.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", *fields))).alias("docs"))
+    slim = ["url", "domain", "category", "title"]
+    grouped = lambda fields: s.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", *fields))).alias("docs"))
+    more = slim + ["text"] * (texts and relevant_texts)
     a = answered(spark, sf_dir).withColumn("own", F.expr(f"(entry_id * 5) % {n}")).withColumn("next", F.expr(f"((entry_id * 5) % {n} + 5) % {n}"))
-    j = a.join(docs, F.col("own") == F.col("bucket")).drop("bucket").withColumnRenamed("docs", "retrieved_docs")
-    j = j.join(docs.withColumnRenamed("docs", "more"), F.col("next") == F.col("bucket")).drop("bucket")
-    return j.withColumn("relevant_docs", F.expr("filter(concat(retrieved_docs, more), d -> d.category = 'reliable')")).drop("more", "own", "next")
+    j = a.join(grouped(more).withColumnRenamed("docs", "more"), F.col("next") == F.col("bucket")).drop("bucket")
+    j = j.join(grouped(slim + ["text"] * texts), F.col("own") == F.col("bucket")).drop("bucket").withColumnRenamed("docs", "retrieved_docs")
+    own = f"transform(retrieved_docs, d -> named_struct('doc_id', d.doc_id, {', '.join(f"'{c}', d.{c}" for c in more)}))"
+    return j.withColumn("relevant_docs", F.expr(f"filter(concat({own}, more), d -> d.category = 'reliable')")).drop("more", "own", "next")
 
 
 def features(df: DataFrame, hedge_terms=text.HEDGE_TERMS) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veridex.functions import text
 from veridex.operators import metrics as m
 from veridex.plans.binding import answered, features, results, table
+from veridex.scratch import cut
+from veridex.shipping import ship
 
 BY = ["model"]
 
@@ -24,52 +26,73 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(results(spark, sf_dir, texts=False))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry's answer on the other set: a document's text."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    other = answered(spark, sf_dir).withColumn("doc", F.col("entry_id") % n).join(docs.select("doc_id", F.col("text").alias("at")), F.col("doc") == F.col("doc_id"))
-    other = other.select("model", "entry_id", F.expr("((conv_id * 37 + (turn + 1) * 11) % 101) / cast(100.0 AS double)").alias("confidence"),
-                         F.expr(text.term_count("at", text.HEDGE_TERMS)).alias("hedges"), F.expr(text.word_count("at")).alias("words"), F.expr(text.is_refusal("at")).alias("refuses"))
-    return m.asi_pairs(rows(spark, sf_dir), other, BY)
+    d = docs.select("doc_id", F.expr(text.term_count("text", text.HEDGE_TERMS)).alias("hedges"), F.expr(text.word_count("text")).alias("words"), F.expr(text.is_refusal("text")).alias("refuses"))
+    other = answered(spark, sf_dir).withColumn("doc", F.col("entry_id") % n).join(d, F.col("doc") == F.col("doc_id"))
+    return other.select("model", "entry_id", F.expr("((conv_id * 37 + (turn + 1) * 11) % 101) / cast(100.0 AS double)").alias("confidence"), "hedges", "words", "refuses")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.asi_pairs(rows(spark, sf_dir), _other(spark, sf_dir), BY)
 
 
 def _query(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(f(rows(spark, sf_dir)))
 
 
+def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features as a table of their own, for what reads them several times."""
+    ship(spark)
+    return cut(rows(spark, sf_dir), "features")
+
+
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = narrow(spark, sf_dir)
+    return rounded(m.all_metrics(d, BY))
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir).cache()
-    r = m.report(m.all_metrics(d, BY), m.asi_summary(_pairs(spark, sf_dir), BY), m.answer_correctness(d, BY), BY)
+    d = narrow(spark, sf_dir)
+    pairs = cut(m.asi_pairs(d, _other(spark, sf_dir), BY), "pairs")
+    r = m.report(m.all_metrics(d, BY), m.asi_summary(pairs, BY), m.answer_correctness(d, BY), BY)
     return rounded(r.select("model", "h1_overconfidence_gap.*", "h2_hedging_behavior.*", "diagnostics.*"))
 
 
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir).cache()
-    j = m._left(m._left(m.all_metrics(d, BY), m.asi_summary(_pairs(spark, sf_dir), BY), BY), m.answer_correctness(d, BY), BY)
+    d = narrow(spark, sf_dir)
+    pairs = cut(m.asi_pairs(d, _other(spark, sf_dir), BY), "pairs")
+    j = m._left(m._left(m.all_metrics(d, BY), m.asi_summary(pairs, BY), BY), m.answer_correctness(d, BY), BY)
     j = m._left(j, d.groupBy(*BY).agg(F.count("*").alias("n_results")), BY)
     return rounded(j.select("model", "evidence_gap", "overconfidence_index", "ece", "hedge_f1", "brier", "answer_correctness", "source_awareness", "mean_asi", "refusal_sensitivity", F.expr("1.0D - pending / n_results").alias("success_rate")))
 
 
+def _on_narrow(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(f(narrow(spark, sf_dir)))
+
+
 QUERIES = {
     "ece": _query(lambda d: m.ece(d, BY)),
     "brier": _query(lambda d: m.brier(d, BY)),
     "pearson": _query(lambda d: m.correlation(d, BY)),
     "entropy": _query(lambda d: m.entropy(d, BY)),
-    "h1": _query(lambda d: m.evidence_use(d, BY)),
-    "h3": _query(lambda d: m.hedging(d, BY)),
-    "h4": _query(lambda d: m.calibration(d, BY)),
+    "h1": _on_narrow(lambda d: m.evidence_use(d, BY)),
+    "h3": _on_narrow(lambda d: m.hedging(d, BY)),
+    "h4": _on_narrow(lambda d: m.calibration(d, BY)),
     "h5": _query(lambda d: m.source_quality(d, BY)),
     "source_set_hedging": _query(lambda d: m.set_hedging(d, BY)),
     "evidence_gap": _query(lambda d: m.evidence_gap(d, BY)),
     "refusal_metrics": _query(lambda d: m.refusals(d, BY)),
-    "all_metrics": _query(lambda d: m.all_metrics(d.cache(), BY)),
+    "all_metrics": _all,
     "utility": _query(lambda d: m.utility(d, BY)),
     "answer_correctness": _query(lambda d: m.answer_correctness(d, BY)),
     "asi_row": lambda spark, sf_dir: rounded(_pairs(spark, sf_dir)),
-    "asi_batch": lambda spark, sf_dir: rounded(m.asi_summary(_pairs(spark, sf_dir), BY)),
+    "asi_batch": lambda spark, sf_dir: rounded(m.asi_summary(cut(_pairs(spark, sf_dir), "pairs"), BY)),
     "features": _query(lambda d: d.drop("confidence", "accuracy")),
-    "ptrue_diagnostics": _query(lambda d: m.truth_diagnostics(d, BY)),
-    "isotonic": _query(m.isotonic_ece),
+    "ptrue_diagnostics": _on_narrow(lambda d: m.truth_diagnostics(d, BY)),
+    "isotonic": _on_narrow(lambda d: m.isotonic_ece(d, BY)),
     "compare_models": _compare,
     "report": _report,
 }

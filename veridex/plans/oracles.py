@@ -31,7 +31,7 @@ answered AS (
          CASE entry_id % 6 WHEN 0 THEN 'It is likely that ' WHEN 1 THEN 'This may be uncertain: ' WHEN 2 THEN 'Definitely, '
            WHEN 3 THEN 'From what I can tell, it seems ' WHEN 4 THEN 'American results cannot say: ' ELSE '' END
            || CASE WHEN (conv_id * 5 + turn) % 7 = 0 THEN 'I don''t know.' ELSE answer END AS prediction_text,
-         'Source ' || turn || ' says so. It has 3.5% of ' || entry_id || ' in 10 days.' AS prediction_explanation,
+         'Source ' || turn || ' says so.' || CASE entry_id % 4 WHEN 0 THEN ' It has 3.5% of all.' WHEN 1 THEN ' It took 10 days.' WHEN 2 THEN ' In 1987 there was one.' ELSE '' END AS prediction_explanation,
          ((conv_id * 37 + turn * 11) % 101) / 100.0::DOUBLE AS confidence,
          CASE WHEN entry_id % 17 = 5 THEN NULL ELSE ((conv_id * 13 + turn * 7) % 11) / 10.0::DOUBLE END AS accuracy
   FROM ans JOIN benchmark b ON b.item_id = entry_id % (SELECT count(*) FROM benchmark)),
@@ -121,7 +121,8 @@ m3 AS (SELECT model, count(*) FILTER (hd > 0 AND accuracy < 0.5) AS tp, count(*)
   FROM nr JOIN tot USING (model) JOIN p3 USING (model) GROUP BY model),
 h3a AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS hedge_precision, coalesce(tp / nullif(tp + fn, 0), 0) AS hedge_recall, coalesce(tn / nullif(tn + fp, 0), 0) AS hedge_specificity, (tp + tn) / total AS hedge_accuracy FROM m3),
 h3 AS (SELECT *, coalesce(2 * hedge_precision * hedge_recall / nullif(hedge_precision + hedge_recall, 0), 0) AS hedge_f1 FROM h3a),
-h4 AS (SELECT model, CASE WHEN count(*) >= 2 THEN avg(pow(confidence - accuracy, 2)) ELSE 0 END AS brier, {corr('confidence', 'accuracy')} AS correlation FROM sc GROUP BY model),
+h4a AS (SELECT model, CASE WHEN count(*) >= 2 THEN avg(pow(confidence - accuracy, 2)) ELSE 0 END AS brier, {corr('confidence', 'accuracy')} AS correlation FROM sc GROUP BY model),
+h4 AS (SELECT h4a.*, 0.0::DOUBLE AS calibrated_ece, ece AS improvement FROM h4a JOIN ece USING (model)),
 m5 AS (SELECT model, {corr('quality', 'confidence')} AS quality_correlation, {corr('diversity', 'confidence')} AS diversity_correlation, coalesce(sum(quality * abs(confidence - accuracy)) / nullif(sum(quality), 0), 0) AS weighted_ece FROM sc GROUP BY model),
 h5 AS (SELECT m5.*, coalesce(high, 0) AS high_quality_ece, coalesce(low, 0) AS low_quality_ece, coalesce(high, 0) - coalesce(low, 0) AS quality_gap,
   (greatest(0, quality_correlation) + greatest(0, 1 - weighted_ece) + greatest(0, coalesce(high, 0) - coalesce(low, 0))) / 3 AS source_awareness FROM m5 LEFT JOIN high USING (model) LEFT JOIN low USING (model)),
@@ -149,9 +150,14 @@ def rounded(cols: str, frm: str) -> str:
     return f"SELECT {', '.join(out)} FROM {frm}"
 
 
+#: Student's t in closed form: a sum of as many terms as half the degrees of freedom n - 2.
+_PRODUCT = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, k + 1), lambda i: {0} * (1 - r * r))), lambda x, y: x * y)"
+P_VALUE = f"""1 - CASE WHEN n % 2 = 0 THEN abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: {_PRODUCT.format('(2 * i - 1) / (2.0 * i)')}))
+  ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: {_PRODUCT.format('(2.0 * i) / (2 * i + 1)')})), 0)) END"""
+
 H1 = "recall_confidence_correlation avg_recall overconfidence_index wrong_answer_rate h1_refusal_rate median_confidence p25 p75 min_confidence max_confidence overconfident_cases:n wrong_cases:n h1_composite"
 H3 = "tp:n fp:n fn:n tn:n total:n lexical_overconfidence difficulty_correlation avg_hedge_density confident_wrong_rate hedge_precision hedge_recall hedge_specificity hedge_f1 hedge_accuracy"
-H4 = "brier correlation ece entropy"
+H4 = "brier correlation ece entropy calibrated_ece improvement"
 H5 = "quality_correlation diversity_correlation weighted_ece high_quality_ece low_quality_ece quality_gap source_awareness"
 RF = "total_refusals:n refusal_rate clear_refusal_rate ambiguous_refusal_rate refusal_sensitivity"
 ASUM = "pairs:n mean_asi std_asi min_asi max_asi median_asi mean_confidence_sensitivity mean_hedge_sensitivity"
@@ -174,10 +180,11 @@ METRIC_QUERIES = {
     "asi_row": ("model:s entry_id:n confidence_sensitivity hedge_sensitivity asi", "asi"),
     "asi_batch": (f"model:s {ASUM}", "asum"),
     "features": ("model:s entry_id:n set_type:s recall precision f1 quality diversity difficulty uncertainty hedges:n words:n confident_terms:n is_refusal:s refuses:s", "feat"),
-    "ptrue_diagnostics": ("model:s n:n r std_confidence clear_mean ambiguous_mean clear_std ambiguous_std mae min_confidence p25_confidence median_confidence p75_confidence max_confidence range_confidence set_difference",
-        f"""(SELECT *, max_confidence - min_confidence AS range_confidence, clear_mean - ambiguous_mean AS set_difference FROM (SELECT model, count(*) AS n, CASE WHEN count(*) > 2 THEN {corr('confidence', 'accuracy')} ELSE 0 END AS r, stddev_pop(confidence) AS std_confidence,
+    "ptrue_diagnostics": ("model:s n:n r std_confidence clear_mean ambiguous_mean clear_std ambiguous_std mae min_confidence p25_confidence median_confidence p75_confidence max_confidence range_confidence set_difference p_value",
+        f"""(SELECT *, max_confidence - min_confidence AS range_confidence, clear_mean - ambiguous_mean AS set_difference, {P_VALUE} AS p_value FROM (SELECT model, count(*) AS n, CASE WHEN count(*) > 2 THEN {corr('confidence', 'accuracy')} END AS r, stddev_pop(confidence) AS std_confidence,
         coalesce(avg(confidence) FILTER (set_type = 'clear'), 0) AS clear_mean, coalesce(avg(confidence) FILTER (set_type = 'ambiguous'), 0) AS ambiguous_mean, coalesce(stddev_pop(confidence) FILTER (set_type = 'clear'), 0) AS clear_std, coalesce(stddev_pop(confidence) FILTER (set_type = 'ambiguous'), 0) AS ambiguous_std,
         avg(abs(confidence - accuracy)) AS mae, min(confidence) AS min_confidence, quantile_cont(confidence, 0.25) AS p25_confidence, quantile_cont(confidence, 0.5) AS median_confidence, quantile_cont(confidence, 0.75) AS p75_confidence, max(confidence) AS max_confidence FROM sc GROUP BY model))"""),
+    "isotonic": ("model:s ece calibrated_ece improvement", "h4 JOIN ece USING (model)"),
     "compare_models": ("model:s evidence_gap overconfidence_index ece hedge_f1 brier answer_correctness source_awareness mean_asi refusal_sensitivity success_rate",
         "(SELECT *, 1.0::DOUBLE - pending / n AS success_rate FROM eg JOIN h1 USING (model) JOIN ece USING (model) JOIN h3 USING (model) JOIN h4 USING (model) JOIN ac USING (model) JOIN h5 USING (model) LEFT JOIN asum USING (model) JOIN rf USING (model) JOIN (SELECT model, count(*) AS n FROM feat GROUP BY model) USING (model))"),
     "report": ("model:s evidence_confidence_gap overconfidence_index expected_calibration_error confidence_accuracy_correlation ASI VUI source_set_on_hedging lexical_overconfidence_index hedge_precision hedge_recall refusal_count:n refusal_sensitivity answer_correctness missed_refusals:n brier_score source_awareness_score",
