@@ -2,8 +2,10 @@
 
 import json
 import math
+import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,9 +112,40 @@ def test_p_value():
     assert metrics.pearson_p(-0.8, 20) == pytest.approx(metrics.pearson_p(0.8, 20))
 
 
+def pooled(points):
+    """The isotonic fit by the min-max formula: of each point, the greatest over its left of the least mean to the right."""
+    xs = sorted({x for x, _ in points})
+    sums = [(sum(a for y, a in points if y == x), sum(y == x for y, _ in points)) for x in xs]
+    mean = lambda i, j: sum(s for s, _ in sums[i : j + 1]) / sum(n for _, n in sums[i : j + 1])
+    return {x: max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k, x in enumerate(xs)}
+
+
 def test_isotonic(spark):
-    got = metrics.isotonic_ece(rows(spark, [("m", x / 10, float(x > 5)) for x in range(10)])).first()
-    assert got["calibrated_ece"] <= got["ece"] and got["improvement"] == pytest.approx(got["ece"] - got["calibrated_ece"])
+    rng = random.Random(1)
+    points = {m: [(rng.randrange(40) / 40, float(rng.random() < 0.5 + 0.01 * i)) for i in range(120)] for m in "ab"}
+    d = rows(spark, [(m, x, a) for m, v in points.items() for x, a in v] + [("c", 0.4, 1.0), ("d", math.nan, 1.0)])
+    got = metrics.isotonic(d, ["model"]).collect()
+    for m, v in points.items():
+        fit = pooled(v)
+        want = {}
+        for x, a in v:
+            n, s = want.get(round(fit[x], 9), (0, 0.0))
+            want[round(fit[x], 9)] = (n + 1, s + a)
+        assert {round(r["fitted"], 9): (r["n"], r["a"]) for r in got if r["model"] == m} == want
+    e = {r["model"]: r for r in metrics.isotonic_ece(d, ["model"]).collect()}
+    assert set(e) == {"a", "b", "c"} and all(r["calibrated_ece"] <= r["ece"] and r["improvement"] == pytest.approx(r["ece"] - r["calibrated_ece"]) for r in e.values())
+
+
+def test_percentiles(spark):
+    rng = random.Random(2)
+    data = {"many": [rng.gauss(0, 1) ** 3 for _ in range(3001)], "few": [0.5] * 50 + [0.25] * 3, "one": [7.0], "two": [1.0, 2.0]}
+    d = spark.createDataFrame([(g, x) for g, v in data.items() for x in v] + [("few", None), ("nan", math.nan)], "g string, x double")
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    got = {r["g"]: r for r in metrics.percentiles(d, ["g"], "x", shares).collect()}
+    assert set(got) == set(data)
+    for g, v in data.items():
+        for name, p in shares.items():
+            assert got[g][name] == pytest.approx(np.percentile(v, 100 * p)), (g, name)
 
 
 def test_f1_from_published_counts(spark):
@@ -132,7 +165,10 @@ def test_fuzzy():
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT normalize_text('A, b!  C') AS x, hedge_count('maybe') AS n").first()[:] == ("a b c", 2)
-    assert len(SQL_FUNCTIONS) == 11
+    r = spark.sql("SELECT keywords('What of the Vitamin?') AS k, parsed_response('Yes.\nAs said').explanation AS e, truth('llama', null, '') AS t, attribution('One claim is here.', array('one claim here is it')).coverage AS c").first()
+    assert r[:] == (["vitamin"], "As said", 0.5, 1.0)
+    for name in SQL_FUNCTIONS:
+        assert spark.catalog.functionExists(name), name
 
 
 def test_domains(spark):

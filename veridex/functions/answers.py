@@ -39,6 +39,8 @@ A = True (correct)
 B = False (incorrect)
 
 Answer:"""
+#: Fixed value: what the judge of an answer is told first.
+TRUTH_SYSTEM_PROMPT = "You are a classification system. You judge factual correctness ONLY from provided sources. You must respond with exactly one letter: A (True) or B (False). Do not write sentences or explanations. Consider that sources may be incomplete or ambiguous."
 GRADING_PROMPT = """You are an expert evaluator assessing the accuracy of AI-generated answers. 
 
 Question: {question}
@@ -64,7 +66,7 @@ Rate the accuracy on a scale from 0.0 to 1.0 where:
 Be slightly lenient and respond with ONLY a number between 0.0 and 1.0 (e.g., "0.75")."""
 
 
-def _filled(template: str, **values: str) -> str:
+def filled(template: str, **values: str) -> str:
     """SQL that puts the values' SQL into the template's slots."""
     parts, rest = [], template
     while True:
@@ -85,16 +87,16 @@ def source_block(docs: str) -> str:
 
 def answer_prompt(question: str, docs: str, model: str, threshold: str = "0.1") -> str:
     ask = f"if({model} LIKE 'gpt%' OR {model} LIKE 'mistral%' OR {model} LIKE 'llama%', {quoted(ASK_ANSWER)}, {quoted(ASK_CONFIDENCE)})"
-    return f"concat({_filled(ANSWER_PROMPT, question=question, sources=source_block(docs), threshold=quoted(threshold))}, {ask})"
+    return f"concat({filled(ANSWER_PROMPT, question=question, sources=source_block(docs), threshold=quoted(threshold))}, {ask})"
 
 
 def truth_prompt(question: str, answer: str, docs: str) -> str:
     block = f"if(size({docs}) > 0, concat('Sources:\\n', {source_block(docs)}), '')"
-    return _filled(TRUTH_PROMPT, question=question, answer=answer, sources=block)
+    return filled(TRUTH_PROMPT, question=question, answer=answer, sources=block)
 
 
 def grading_prompt(question: str, gold: str, answer: str) -> str:
-    return _filled(GRADING_PROMPT, question=question, gold=gold, answer=answer)
+    return filled(GRADING_PROMPT, question=question, gold=gold, answer=answer)
 
 
 #: How a response states its confidence, in the order in which they are tried.
@@ -109,7 +111,7 @@ CONFIDENCE_PATTERNS = [
 def stated_confidence(response: str) -> str:
     """From 0 to 1, values above 1 taken as percent; null if none is stated."""
     found = ", ".join(f"nullif(regexp_extract({response}, {quoted(p)}, 1), '')" for p in CONFIDENCE_PATTERNS)
-    return let(f"cast(coalesce({found}) AS double)", "v", "greatest(0.0D, least(1.0D, if(v > 1, v / 100, v)))").replace("greatest(0.0D, least(1.0D, if(v > 1, v / 100, v)))", "if(v IS NULL, null, greatest(0.0D, least(1.0D, if(v > 1, v / 100, v))))")
+    return let(f"cast(coalesce({found}) AS double)", "v", "if(v IS NULL, null, greatest(0.0D, least(1.0D, if(v > 1, v / 100, v))))")
 
 
 def parsed_response(response: str) -> str:
@@ -126,11 +128,12 @@ def model_client(model: str) -> str:
         WHEN {model} LIKE 'deepseek%' OR {model} LIKE 'Qwen%' THEN 'mistral' END"""
 
 
-def assigned_accuracy(answer: str, explanation: str, gold: str, skip: bool = False) -> str:
-    """0.4 for a refusal, null if grading is left out, 1 or 0 for an equal answer or not, 0.5 without both."""
+def assigned_accuracy(answer: str, explanation: str, gold: str, skip: bool = False, grade: str | None = None) -> str:
+    """0.4 for a refusal, null if grading is left out, the grader's number where there is a grader (SQL for its
+    response), else 1 or 0 for an equal answer or not, 0.5 without both."""
     if skip:
         return f"if({is_refusal(answer)}, 0.4D, cast(null AS double))"
-    same = f"if({strip(f'lower({answer})')} = {strip(f'lower({gold})')}, 1.0D, 0.0D)"
+    same = f"if({strip(f'lower({answer})')} = {strip(f'lower({gold})')}, 1.0D, 0.0D)" if grade is None else graded_accuracy(f"({grade})", answer, gold)
     return f"CASE WHEN {is_refusal(answer)} THEN 0.4D WHEN coalesce({gold}, '') <> '' AND coalesce({answer}, '') <> '' THEN {same} ELSE 0.5D END"
 
 
@@ -142,7 +145,6 @@ def _two_way(a: str, b: str, text: str) -> str:
 
 def truth_from_first_token(log_probs: str, text: str) -> str:
     """p(true) from the first token's alternatives; of several A or B the last counts; 0.5 without any token."""
-    of = lambda x: f"element_at(transform(filter(l, t -> upper({strip('t.token')}) = '{x}'), t -> t.logprob), -1)"
     last = lambda x: f"try_element_at(transform(filter(l, t -> upper({strip('t.token')}) = '{x}'), t -> t.logprob), -1)"
     said = f"CASE upper({strip(text)}) WHEN 'A' THEN 0.9D WHEN 'B' THEN 0.1D ELSE 0.5D END"
     body = let(f"named_struct('a', {last('A')}, 'b', {last('B')})", "p", _two_way("p.a", "p.b", said))

@@ -52,3 +52,8 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# Spark would otherwise evaluate them again in filters that it pushes below, also where it can't.
+token_set_ratio_udf = token_set_ratio_udf.asNondeterministic()
+sequence_ratio_udf = sequence_ratio_udf.asNondeterministic()

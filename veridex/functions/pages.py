@@ -26,6 +26,45 @@ UNRELIABLE_HOSTS = ["blog", "wordpress", "tumblr", "personal", "alternative"]
 #: Hosts that are not fetched.
 SKIPPED_HOSTS = ["gatorcountry.com", "totalenergies.fr", "statbase.org", "olympics.com", "worldatlas.com", "cdn.bookey.app", "research-information.bris.ac.uk", "tiktok.com"]
 
+#: The public English stop words of a well-known machine-learning library, 318 of them.
+ENGLISH_STOP_WORDS = [
+    "a", "about", "above", "across", "after", "afterwards", "again", "against", "all", "almost", "alone", "along", "already", "also", "although", "always",
+    "am", "among", "amongst", "amoungst", "amount", "an", "and", "another", "any", "anyhow", "anyone", "anything", "anyway", "anywhere", "are", "around",
+    "as", "at", "back", "be", "became", "because", "become", "becomes", "becoming", "been", "before", "beforehand", "behind", "being", "below", "beside",
+    "besides", "between", "beyond", "bill", "both", "bottom", "but", "by", "call", "can", "cannot", "cant", "co", "con", "could", "couldnt",
+    "cry", "de", "describe", "detail", "do", "done", "down", "due", "during", "each", "eg", "eight", "either", "eleven", "else", "elsewhere",
+    "empty", "enough", "etc", "even", "ever", "every", "everyone", "everything", "everywhere", "except", "few", "fifteen", "fifty", "fill", "find", "fire",
+    "first", "five", "for", "former", "formerly", "forty", "found", "four", "from", "front", "full", "further", "get", "give", "go", "had",
+    "has", "hasnt", "have", "he", "hence", "her", "here", "hereafter", "hereby", "herein", "hereupon", "hers", "herself", "him", "himself", "his",
+    "how", "however", "hundred", "i", "ie", "if", "in", "inc", "indeed", "interest", "into", "is", "it", "its", "itself", "keep",
+    "last", "latter", "latterly", "least", "less", "ltd", "made", "many", "may", "me", "meanwhile", "might", "mill", "mine", "more", "moreover",
+    "most", "mostly", "move", "much", "must", "my", "myself", "name", "namely", "neither", "never", "nevertheless", "next", "nine", "no", "nobody",
+    "none", "noone", "nor", "not", "nothing", "now", "nowhere", "of", "off", "often", "on", "once", "one", "only", "onto", "or",
+    "other", "others", "otherwise", "our", "ours", "ourselves", "out", "over", "own", "part", "per", "perhaps", "please", "put", "rather", "re",
+    "same", "see", "seem", "seemed", "seeming", "seems", "serious", "several", "she", "should", "show", "side", "since", "sincere", "six", "sixty",
+    "so", "some", "somehow", "someone", "something", "sometime", "sometimes", "somewhere", "still", "such", "system", "take", "ten", "than", "that", "the",
+    "their", "them", "themselves", "then", "thence", "there", "thereafter", "thereby", "therefore", "therein", "thereupon", "these", "they", "thick", "thin", "third",
+    "this", "those", "though", "three", "through", "throughout", "thru", "thus", "to", "together", "too", "top", "toward", "towards", "twelve", "twenty",
+    "two", "un", "under", "until", "up", "upon", "us", "very", "via", "was", "we", "well", "were", "what", "whatever", "when",
+    "whence", "whenever", "where", "whereafter", "whereas", "whereby", "wherein", "whereupon", "wherever", "whether", "which", "while", "whither", "who", "whoever", "whole",
+    "whom", "whose", "why", "will", "with", "within", "without", "would", "yet", "you", "your", "yours", "yourself", "yourselves",
+]
+#: Words by which a page is on a topic; other topics have their own name alone.
+TOPIC_KEYWORDS = {
+    "public_health": [
+        "medical", "medicine", "health", "healthcare", "treatment", "therapy", "disease", "illness", "condition", "syndrome", "disorder", "infection",
+        "symptoms", "diagnosis", "prognosis", "prevention", "cure", "recovery", "patient", "doctor", "physician", "nurse", "hospital", "clinic",
+        "research", "study", "trial", "clinical", "scientific", "evidence", "data", "statistics", "analysis", "results", "findings", "conclusion",
+        "peer-reviewed", "published", "journal", "academic", "university",
+        "nutrition", "vitamin", "supplement", "mineral", "nutrient", "diet", "dietary", "food", "eating", "consumption", "intake", "dosage",
+        "public health", "epidemiology", "population", "community", "wellness", "fitness", "exercise", "lifestyle", "behavior", "risk factor",
+    ],
+}
+
+
+def topic_keywords(topic: str | None) -> list[str]:
+    return TOPIC_KEYWORDS.get(topic, [topic]) if topic else []
+
 
 def _any(x: str, terms: Sequence[str]) -> str:
     return f"exists({array_of(terms)}, t -> contains({x}, t))"
@@ -86,12 +125,16 @@ def on_topic(content: str, topic_words: Sequence[str], needed: int = 2) -> str:
     return f"aggregate({array_of(topic_words)}, 0.0D, (s, k) -> s + CASE WHEN contains({content}, k) THEN 1.0D WHEN length(k) > 5 AND contains({content}, substring(k, 1, 5)) THEN 0.5D ELSE 0.0D END) >= {needed}" if topic_words else "true"
 
 
-def category(host: str, content: str, relevance: str, trusted: Sequence[str], misleading: Sequence[str], indicators: Mapping[str, Sequence[str]], topic_words: Sequence[str]) -> str:
+def domain_matches(host: str, domains: Sequence[str]) -> str:
+    """Whether the host is one of the domains, below one, or holds its name anywhere."""
+    return f"exists({array_of(list(domains))}, d -> {host} = d OR endswith({host}, concat('.', d)) OR contains({host}, d))"
+
+
+def category(host: str, content: str, relevance: str, trusted: Sequence[str], misleading: Sequence[str], indicators: Mapping[str, Sequence[str]], topic_words: Sequence[str], needed: int = 2) -> str:
     """reliable, unreliable or offtopic: by relevance, lists, topic, then weighted indicators."""
-    matches = lambda ds: f"exists({array_of(list(ds))}, d -> {host} = d OR endswith({host}, concat('.', d)) OR contains({host}, d))"
     weigh = lambda kind: f"aggregate({array_of(list(indicators[kind]))}, 0.0D, (s, t) -> if(contains(o.c, t), s + size(split(t, ' ')) * 0.5D + 0.5D, s))"
-    body = f"""CASE WHEN {relevance} < 0.2D THEN 'offtopic' WHEN {matches(trusted)} THEN 'reliable' WHEN {matches(misleading)} THEN 'unreliable'
-        WHEN NOT ({on_topic('o.c', topic_words)}) THEN 'offtopic' WHEN o.r > o.u * 1.5D THEN 'reliable' WHEN o.u > o.r * 1.2D THEN 'unreliable'
+    body = f"""CASE WHEN {relevance} < 0.2D THEN 'offtopic' WHEN {domain_matches(host, trusted)} THEN 'reliable' WHEN {domain_matches(host, misleading)} THEN 'unreliable'
+        WHEN NOT ({on_topic('o.c', topic_words, needed)}) THEN 'offtopic' WHEN o.r > o.u * 1.5D THEN 'reliable' WHEN o.u > o.r * 1.2D THEN 'unreliable'
         WHEN {relevance} > 0.4D THEN 'unreliable' ELSE 'reliable' END"""
     scores = let(f"named_struct('c', {content})", "o", f"named_struct('c', o.c, 'r', {weigh('reliable')} + {_count(host, RELIABLE_HOSTS)}, 'u', {weigh('unreliable')} + {_count(host, UNRELIABLE_HOSTS)})")
     return let(scores, "o", body)

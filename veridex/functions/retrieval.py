@@ -15,6 +15,19 @@ def document_id(url: str) -> str:
     return f"CASE WHEN {url} LIKE 'http%' THEN concat({netloc(url)}, regexp_replace(regexp_extract({url}, {_NETLOC}, 2), '/+$', '')) ELSE regexp_replace(lower({url}), '^\\\\s+|\\\\s+$', '') END"
 
 
+def document_key(doc: str) -> str:
+    """Of a struct (url, id, domain, source): the first that is filled, as an id; a web address only as the url."""
+    plain = lambda c: f"regexp_replace(lower({doc}.{c}), '^\\\\s+|\\\\s+$', '')"
+    rest = " ".join(f"WHEN coalesce({doc}.{c}, '') <> '' THEN {plain(c)}" for c in ("id", "domain", "source"))
+    return f"CASE WHEN coalesce({doc}.url, '') <> '' THEN {document_id(f'{doc}.url')} {rest} END"
+
+
+def projected(docs: str) -> str:
+    """The seven fields of a document, missing texts as empty."""
+    given = lambda c: f"coalesce(d.{c}, '')"
+    return f"transform({docs}, d -> named_struct('url', d.url, 'domain', d.domain, 'category', d.category, 'title', {given('title')}, 'text', {given('text')}, 'timestamp', '', 'score', cast(null AS string)))"
+
+
 def normalized_url(url: str) -> str:
     """struct(scheme, netloc, path) without slashes at the path's end; null for null or empty."""
     return f"if(coalesce({url}, '') = '', null, named_struct('scheme', lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), 'netloc', {netloc(url)}, 'path', regexp_replace(regexp_extract({url}, {_NETLOC}, 2), '/+$', '')))"

@@ -35,31 +35,31 @@ QUERY_WORDS = {
 }
 #: Communities by topic; "" for other topics.
 COMMUNITIES = {
-    "public_health": "health nutrition fitness mentalhealth medical wellness supplements herbalism homeopathy alternative conspiracy naturalmedicine holistic",
-    "current_events": "news worldnews politics conspiracy conspiracytheories alternative truth exposing realnews worldpolitics politicaldiscussion",
-    "history": "history ancienthistory conspiracy alternativehistory archaeology mystery unsolvedmysteries ancientaliens forbiddenhistory hiddenhistory lostcivilizations",
-    "finance": "investing wallstreetbets cryptocurrency personalfinance conspiracy economiccollapse preppers gold silver bitcoin cryptomarkets financialindependence",
-    "sports": "sports nba nfl soccer baseball tennis conspiracy sportscorruption olympics ufc boxing",
-    "climate": "climatechange environment climate globalwarming conspiracy climateskeptics geoengineering chemtrails environmental sustainability renewableenergy",
-    "technology": "technology artificialintelligence programming cybersecurity conspiracy privacy surveillance 5g quantumcomputing machinelearning datascience blockchain",
-    "astronomy": "astronomy space nasa cosmology conspiracy ufo aliens spacex mars moon stars galaxies blackholes exoplanets",
-    "law": "law legaladvice conspiracy politics government constitutional supremecourt civilrights legal justice criminaljustice humanrights",
-    "psychology": "psychology mentalhealth science conspiracy neuroscience cognitive behavioral therapy psychiatry mindfulness consciousness",
-    "": "conspiracy alternative truth exposing realnews",
-}
+    "public_health": ["health", "nutrition", "fitness", "mentalhealth", "medical", "wellness", "supplements", "herbalism", "homeopathy", "alternative", "conspiracy", "naturalmedicine", "holistic"],
+    "current_events": ["news", "worldnews", "politics", "conspiracy", "conspiracytheories", "alternative", "truth", "exposing", "realnews", "worldpolitics", "politicaldiscussion"],
+    "history": ["history", "ancienthistory", "conspiracy", "alternativehistory", "archaeology", "mystery", "unsolvedmysteries", "ancientaliens", "forbiddenhistory", "hiddenhistory", "lostcivilizations"],
+    "finance": ["investing", "wallstreetbets", "cryptocurrency", "personalfinance", "conspiracy", "economiccollapse", "preppers", "gold", "silver", "bitcoin", "cryptomarkets", "financialindependence"],
+    "sports": ["sports", "nba", "nfl", "soccer", "baseball", "tennis", "conspiracy", "sportscorruption", "olympics", "ufc", "boxing"],
+    "climate": ["climatechange", "environment", "climate", "globalwarming", "conspiracy", "climateskeptics", "geoengineering", "chemtrails", "environmental", "sustainability", "renewableenergy"],
+    "technology": ["technology", "artificialintelligence", "programming", "cybersecurity", "conspiracy", "privacy", "surveillance", "5g", "quantumcomputing", "machinelearning", "datascience", "blockchain"],
+    "astronomy": ["astronomy", "space", "nasa", "cosmology", "conspiracy", "ufo", "aliens", "spacex", "mars", "moon", "stars", "galaxies", "blackholes", "exoplanets"],
+    "law": ["law", "legaladvice", "conspiracy", "politics", "government", "constitutional", "supremecourt", "civilrights", "legal", "justice", "criminaljustice", "humanrights"],
+    "psychology": ["psychology", "mentalhealth", "science", "conspiracy", "neuroscience", "cognitive", "behavioral", "therapy", "psychiatry", "mindfulness", "consciousness"],
+    "": ["conspiracy", "alternative", "truth", "exposing", "realnews"],
+}
 #: Subdomains of each topic.
 SUBDOMAINS = {
-    "public_health": "vaccines infectious_diseases nutrition_guidelines mental_health maternal_and_child_health chronic_diseases occupational_safety toxicology emergency_medicine preventive_care healthcare_policy medical_research public_health_education",
-    "current_events": "international_conflicts elections natural_disasters pandemics economic_crises major_legislation scientific_breakthroughs protests_and_movements",
-    "history": "ancient_civilizations world_wars revolutions colonialism cold_war civil_rights_movements historical_figures archaeological_discoveries us-history",
-    "finance": "stock_markets banking cryptocurrency inflation_and_recession personal_finance global_trade housing_markets investment_strategies",
-    "sports": "olympics soccer basketball baseball tennis athletics sports_medicine sports_history doping_scandals football",
-    "climate": "climate_change carbon_emissions renewable_energy sea_level_rise deforestation pollution sustainable_development climate_policy",
-    "technology": "artificial_intelligence social_media cybersecurity 5g_networks biotechnology quantum_computing software_and_internet consumer_electronics",
-    "astronomy": "planets_and_moons stars_and_galaxies black_holes space_exploration telescopes cosmology exoplanets astrobiology universe_origin moon_landing",
-    "law": "constitutional_law criminal_law international_law civil_rights supreme_court_cases intellectual_property environmental_law human_rights_law immigration_law",
-    "psychology": "clinical_psychology cognitive_psychology developmental_psychology social_psychology behavioral_psychology neuropsychology forensic_psychology health_psychology industrial_psychology educational_psychology abnormal_psychology personality_psychology experimental_psychology counseling_psychology sports_psychology",
-}
+    "public_health": ["vaccines", "infectious_diseases", "nutrition_guidelines", "mental_health", "maternal_and_child_health", "chronic_diseases", "occupational_safety", "toxicology", "emergency_medicine", "preventive_care", "healthcare_policy", "medical_research", "public_health_education"],
+    "current_events": ["international_conflicts", "elections", "natural_disasters", "pandemics", "economic_crises", "major_legislation", "scientific_breakthroughs", "protests_and_movements"],
+    "history": ["ancient_civilizations", "world_wars", "revolutions", "colonialism", "cold_war", "civil_rights_movements", "historical_figures", "archaeological_discoveries", "us-history"],
+    "finance": ["stock_markets", "banking", "cryptocurrency", "inflation_and_recession", "personal_finance", "global_trade", "housing_markets", "investment_strategies"],
+    "sports": ["olympics", "soccer", "basketball", "baseball", "tennis", "athletics", "sports_medicine", "sports_history", "doping_scandals", "football"],
+    "climate": ["climate_change", "carbon_emissions", "renewable_energy", "sea_level_rise", "deforestation", "pollution", "sustainable_development", "climate_policy"],
+    "technology": ["artificial_intelligence", "social_media", "cybersecurity", "5g_networks", "biotechnology", "quantum_computing", "software_and_internet", "consumer_electronics"],
+    "astronomy": ["planets_and_moons", "stars_and_galaxies", "black_holes", "space_exploration", "telescopes", "cosmology", "exoplanets", "astrobiology", "universe_origin", "moon_landing"],
+    "law": ["constitutional_law", "criminal_law", "international_law", "civil_rights", "supreme_court_cases", "intellectual_property", "environmental_law", "human_rights_law", "immigration_law"],
+    "psychology": ["clinical_psychology", "cognitive_psychology", "developmental_psychology", "social_psychology", "behavioral_psychology", "neuropsychology", "forensic_psychology", "health_psychology", "industrial_psychology", "educational_psychology", "abnormal_psychology", "personality_psychology", "experimental_psychology", "counseling_psychology", "sports_psychology"],
+}
 #: Where a crawl begins: searches for the first keywords, then front pages.
 SEARCHES = [
     "https://www.mayoclinic.org/search?q=", "https://www.webmd.com/search/search_results/default.aspx?query=", "https://www.healthline.com/search?q1=",
@@ -83,7 +83,7 @@ def search_queries(question: str, topic: str, kind: str) -> str:
 
 
 def communities(topic: str) -> str:
-    return _listed(topic, {t: v.split() for t, v in COMMUNITIES.items()})
+    return _listed(topic, COMMUNITIES)
 
 
 def start_urls(gold_url: str, keywords: str, most: int = 15) -> str:
@@ -93,4 +93,4 @@ def start_urls(gold_url: str, keywords: str, most: int = 15) -> str:
 
 def subdomains(spark: SparkSession) -> DataFrame:
     """(topic, subdomain)"""
-    return spark.createDataFrame([(t, s) for t, v in SUBDOMAINS.items() for s in v.split()], "topic string, subdomain string")
+    return spark.createDataFrame([(t, s) for t, v in SUBDOMAINS.items() for s in v], "topic string, subdomain string")

@@ -119,6 +119,13 @@ def collection_stats(sources: DataFrame, by: Sequence[str]) -> DataFrame:
     return sources.groupBy(*by).agg(F.count("*").alias("total"), n("reliable"), n("unreliable"), n("unknown"), F.avg("score").alias("avg_score"), F.countDistinct("domain").alias("domains"), F.max(F.struct("score", "url"))["url"].alias("best"))
 
 
+def top_domains(sources: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
+    """The domains with the most sources: by, domain, n and place."""
+    n = sources.groupBy(*by, "domain").agg(F.count("*").alias("n"))
+    order = [F.desc("n"), F.asc("domain")]
+    return n.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(f"place <= {k}")
+
+
 def still_failed(failed: DataFrame, built: DataFrame) -> DataFrame:
     """Failures (entry_id, ...) whose entry has not been built since; none is lost."""
     return failed.join(built.select(F.col("id").alias("_id")).distinct(), F.col("entry_id") == F.col("_id"), "left_anti")

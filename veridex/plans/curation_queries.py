@@ -24,14 +24,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(topic, reliable, misleading): hosts without their first label; those met over https count as reliable."""
+    """(topic, reliable, misleading): hosts without their first label, by their page's number; a third is on neither."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"regexp_replace({retrieval.netloc('url')}, '^[^.]*[.]', '')").alias("d"))
-    safe = F.col("url").startswith("https")
-    return p.groupBy((F.col("page_id") % 10).alias("topic")).agg(F.collect_set(F.when(safe, F.col("d"))).alias("reliable"), F.collect_set(F.when(~safe, F.col("d"))).alias("misleading"))
+    kind = F.col("page_id") % 3
+    return p.groupBy((F.col("page_id") % 10).alias("topic")).agg(F.collect_set(F.when(kind == 0, F.col("d"))).alias("reliable"), F.collect_set(F.when(kind == 1, F.col("d"))).alias("misleading"))
 
 
 _CAND = f"""WITH {o.RESULTS}, cand AS (SELECT doc_id // 50 AS entry, doc_id, url, domain, CASE WHEN doc_id % 3 = 0 THEN 'reliable' WHEN doc_id % 3 = 1 AND doc_id % 4 <> 0 THEN 'unreliable' ELSE 'unknown' END AS category, ((doc_id * 37) % 101) / 100.0::DOUBLE AS score FROM src),
-tl AS (SELECT DISTINCT regexp_replace({o.net('url')}, '^[^.]*[.]', '') AS domain, CASE WHEN url LIKE 'https%' THEN 'reliable' ELSE 'misleading' END AS trust FROM pages)"""
+tl AS (SELECT DISTINCT regexp_replace({o.net('url')}, '^[^.]*[.]', '') AS domain, CASE page_id % 3 WHEN 0 THEN 'reliable' ELSE 'misleading' END AS trust FROM pages WHERE page_id % 3 < 2)"""
 
 
 def query(name: str, oracle: str | None = None):
@@ -129,8 +129,13 @@ def _(spark, sf_dir):
 
 _DONE = "done AS (SELECT 't' || (doc_id % 7) AS topic, 't' || (doc_id % 7) || '_' || CASE WHEN doc_id // 7 < 1000 THEN lpad(cast(doc_id // 7 AS VARCHAR), 3, '0') ELSE cast(doc_id // 7 AS VARCHAR) END AS id FROM documents)"
 _PAD = "CASE WHEN {0} < 1000 THEN lpad(cast({0} AS VARCHAR), 3, '0') ELSE cast({0} AS VARCHAR) END"
-#: More than any topic has at the scales of the tests.
-_TARGET = 2000
+#: A topic's target: ten more than the largest has, so that every topic lacks some at every scale.
+_TARGET = "(SELECT max(n) + 10 FROM (SELECT count(*) AS n FROM done GROUP BY topic))"
+
+
+def most(done: DataFrame) -> int:
+    """How many entries the largest topic has."""
+    return done.groupBy("topic").count().agg(F.max("count")).first()[0] or 0
 
 
 def _done(spark, sf_dir):
@@ -148,18 +153,21 @@ _NEXT = _PAD.format("(coalesce(max(cast(string_split(id, '_')[-1] AS INTEGER)),
 
 @query("quota_remaining", f", {_DONE} SELECT t.topic, count(id) AS done, {_TARGET} - count(id) AS missing, t.topic || '_' || {_NEXT} AS next_id FROM (SELECT 't' || i AS topic FROM range(8) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < {_TARGET}")
 def _(spark, sf_dir):
-    return c.quota(_topics(spark), _done(spark, sf_dir), _TARGET)
+    done = _done(spark, sf_dir)
+    return c.quota(_topics(spark), done, most(done) + 10)
 
 
 @query("skip_existing", f", {_DONE}, qs AS (SELECT t.topic, {_TARGET} - count(id) AS missing FROM (SELECT 't' || i AS topic FROM range(8) r(i)) t LEFT JOIN done USING (topic) GROUP BY t.topic HAVING count(id) < {_TARGET}), n AS (SELECT topic, unnest(range(0, missing)) AS i FROM qs), ids AS (SELECT topic, topic || '_' || {_PAD.format('i')} AS id FROM n) SELECT topic, id FROM ids WHERE id NOT IN (SELECT id FROM done)")
 def _(spark, sf_dir):
     done = _done(spark, sf_dir)
-    return c.planned_ids(c.quota(_topics(spark), done, _TARGET), done)
+    return c.planned_ids(c.quota(_topics(spark), done, most(done) + 10), done)
 
 
-@query("topic_counts", f", {_DONE} SELECT topic, count(*) AS n FROM done GROUP BY topic HAVING count(*) < {_TARGET}")
+@query("topic_counts", f", {_DONE}, n AS (SELECT topic, count(*) AS n FROM done GROUP BY topic) SELECT topic, n FROM n WHERE n < (SELECT max(n) FROM n)")
 def _(spark, sf_dir):
-    return _done(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n")).where(f"n < {_TARGET}")
+    """Topics that have fewer than the largest."""
+    done = _done(spark, sf_dir)
+    return done.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") < most(done))
 
 
 @query("least_used", ", u AS (SELECT lang, source, count(*) FILTER (n_chars > 1000) AS n FROM documents GROUP BY ALL) SELECT lang, source, n FROM u QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n, md5('0|' || source), source) = 1")

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions import fuzzy, pages, retrieval, text, topics
+from veridex.functions import pages, topics
+from veridex.operators import crawling, finding
 from veridex.plans import oracles as o
 from veridex.plans import text_queries
-from veridex.plans.binding import answered, features, results, sources, table
+from veridex.plans.binding import answered, results, table
 from veridex.plans.metric_queries import rounded, rows
-from veridex.sources import connectors, sinks
+from veridex.scratch import new_path
 from veridex.shipping import ship
-from veridex.sources.json_files import ENTRY
+from veridex.sources import connectors, json_files, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 #: Words that are no keywords of a question.
-QUESTION_STOP_WORDS = (
-    "what how why when where who which whose is are was were be been being have has had does do did will would could should might may "
-    "can must shall the a an and or but nor in on at to for of with by from about into through during before after above below "
-    "up down out off over under again further then once very too more most such no not"
-).split()
+QUESTION_STOP_WORDS = [
+    "what", "how", "why", "when", "where", "who", "which", "whose", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "does", "do", "did", "will", "would", "could", "should", "might", "may", "can", "must", "shall", "the", "a", "an", "and", "or", "but",
+    "nor", "in", "on", "at", "to", "for", "of", "with", "by", "from", "about", "into", "through", "during", "before", "after", "above", "below",
+    "up", "down", "out", "off", "over", "under", "again", "further", "then", "once", "very", "too", "more", "most", "such", "no", "not",
+]
 #: Phrases that speak for and against a page. Capitals can't match lower-cased text.
 INDICATORS = {
     "reliable": [
@@ -39,7 +41,7 @@ INDICATORS = {
         "it worked for me", "my friend tried", "I heard that", "someone told me", "unverified report", "rumor has it", "word on the street",
     ],
 }
-TOPIC_WORDS = ["health", "research", "treatment", "nutrition", "and", "the"]
+TOPIC_WORDS = pages.topic_keywords("public_health")
 
 
 def query(name: str, oracle: str | None = None):
@@ -72,22 +74,41 @@ def _(spark, sf_dir):
 
 @query("scan_dataset", f"{_ENTRIES} SELECT entry_id, 't' || (conv_id % 5) AS topic, question, gold_answer, coalesce(list_transform(relevant_docs, lambda d: d.url)[1], '') AS first_url FROM results")
 def _(spark, sf_dir):
-    e = entries(spark, sf_dir)
-    j = e.select("entry_id", F.to_json(F.struct(*[c for c in e.columns if c != "entry_id"])).alias("line"))
-    return j.select("entry_id", F.from_json("line", ENTRY).alias("e")).select("entry_id", "e.topic", "e.question", "e.gold_answer", F.expr("coalesce(get(e.source_sets.clear, 0).url, '')").alias("first_url"))
+    """Entries written as a JSON file and read with their schema."""
+    path = new_path(spark, "entries")
+    entries(spark, sf_dir).select("*", F.lit(None).cast("double").alias("human_confidence")).write.json(path)
+    e = json_files.read_json(spark, path, json_files.ENTRY + ", entry_id bigint", lines=True)
+    return e.select("entry_id", "topic", "question", "gold_answer", F.expr("coalesce(get(source_sets.clear, 0).url, '')").alias("first_url"))
 
 
-@query("scan_limit", f"{_ENTRIES} SELECT entry_id FROM answered ORDER BY entry_id LIMIT 20")
+@query("scan_limit", f"{_ENTRIES} SELECT entry_id FROM results ORDER BY entry_id LIMIT 20")
 def _(spark, sf_dir):
-    return answered(spark, sf_dir).orderBy("entry_id").limit(20).select("entry_id")
+    """The first entries of the benchmark."""
+    return entries(spark, sf_dir).orderBy("entry_id").limit(20).select("entry_id")
 
 
-@query("round_metrics", o.WITH + "SELECT model, round(evidence_gap, 3) AS evidence_gap FROM eg")
+@query("round_metrics", o.WITH + "SELECT model, round(evidence_gap, 3) AS evidence_gap, round(wrong_answer_rate, 3) AS wrong_answer_rate, round(ece, 3) AS ece, round(avg_hedge_density, 3) AS avg_hedge_density, round(total_refusals, 3)::BIGINT AS total_refusals, CAST(ece > 0.2 AS INTEGER) AS far FROM eg JOIN h1 USING (model) JOIN ece USING (model) JOIN h3 USING (model) JOIN rf USING (model)")
 def _(spark, sf_dir):
-    from veridex.operators.metrics import evidence_gap
+    """Doubles to three places, a boolean as a number."""
+    from veridex.operators.metrics import all_metrics
+    from veridex.plans.metric_queries import narrow
+
+    d = all_metrics(narrow(spark, sf_dir), ["model"])
+    return sinks.rounded(d.select("model", "evidence_gap", "wrong_answer_rate", "ece", "avg_hedge_density", "total_refusals", (F.col("ece") > 0.2).alias("far")))
+
+
+for _kind, _suffix in {"sink_summary": "_evaluation.json", "sink_report": "_bluff_rag_report.json"}.items():
+
+    def _sink(spark, sf_dir, suffix=_suffix):
+        """Written a file for each model, and read back from there."""
+        from veridex.operators.metrics import evidence_gap
 
-    return sinks.rounded(evidence_gap(rows(spark, sf_dir), ["model"]))
+        path = new_path(spark, "sink")
+        sinks.write_per_model(evidence_gap(rows(spark, sf_dir), ["model"]), path, suffix)
+        return spark.read.schema("model string, evidence_gap double, file string").json(path)
 
+    QUERIES[_kind] = _sink
+    ORACLES[_kind] = o.WITH + f"SELECT model, round(evidence_gap, 3) AS evidence_gap, replace(model, '/', '_') || '{_suffix}' AS file FROM eg"
 
 for _name, _column in {"retrieval_f1": "f1", "continuous_uncertainty": "uncertainty", "difficulty": "difficulty"}.items():
     QUERIES[_name] = lambda spark, sf_dir, c=_column: rounded(rows(spark, sf_dir).select("entry_id", F.col(c).alias("value")))
@@ -106,22 +127,16 @@ for _kind in ("reliable", "unreliable"):
     ORACLES[f"search_queries_{_kind}"] = f"{_ENTRIES}, w AS (SELECT entry_id, question, {_TOPIC} AS topic FROM answered) SELECT entry_id, question AS query FROM w UNION ALL SELECT entry_id, question || ' ' || unnest({_l}) FROM w"
 
 
-@query("subreddit_dim", f"{_ENTRIES}, w AS (SELECT entry_id, {_TOPIC} AS topic FROM answered) SELECT entry_id, array_to_string({_duck_list({t: v.split() for t, v in topics.COMMUNITIES.items()})}, ' ') AS communities FROM w")
+@query("subreddit_dim", f"{_ENTRIES}, w AS (SELECT entry_id, {_TOPIC} AS topic FROM answered) SELECT entry_id, array_to_string({_duck_list(topics.COMMUNITIES)}, ' ') AS communities FROM w")
 def _(spark, sf_dir):
     return answered(spark, sf_dir).withColumn("topic", F.expr(_TOPIC)).select("entry_id", F.array_join(F.expr(topics.communities("topic")), " ").alias("communities"))
 
 
-@query("subdomain_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(v.split())}::BIGINT)" for t, v in topics.SUBDOMAINS.items()) + ") v(topic, n)")
+@query("subdomain_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(v)}::BIGINT)" for t, v in topics.SUBDOMAINS.items()) + ") v(topic, n)")
 def _(spark, sf_dir):
     return topics.subdomains(spark).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("start_urls", "SELECT page_id, 15::BIGINT AS n, url AS first, 'https://www.mayoclinic.org/search?q=a+b' AS second FROM pages")
-def _(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.expr(topics.start_urls("url", "array('a', 'b')")).alias("u"))
-    return rounded(p.select("page_id", F.size("u").alias("n"), F.col("u")[0].alias("first"), F.col("u")[1].alias("second")))
-
-
 _W = "regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+')"
 _STOP = o.arr(QUESTION_STOP_WORDS)
 
@@ -134,12 +149,22 @@ def _(spark, sf_dir):
     return answered(spark, sf_dir).select("entry_id", F.array_join(F.expr(keywords), "|").alias("value"))
 
 
+_KEYS = f"list_filter({_W}, lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))"
+
+
+@query("start_urls", f"""{_ENTRIES}, g AS (SELECT entry_id, CASE WHEN entry_id % 3 = 0 THEN NULL ELSE 'https://a.example/' || entry_id END AS gold, {_KEYS} AS k FROM answered),
+    u AS (SELECT entry_id, CASE WHEN gold IS NULL THEN [] ELSE [gold] END AS g, CASE WHEN len(k) > 0 THEN list_transform({o.arr(topics.SEARCHES)}, lambda s: s || array_to_string(k[1:3], '+')) ELSE [] END AS s FROM g)
+    SELECT entry_id, array_to_string(list_concat(g, s, {o.arr(topics.FRONT_PAGES)})[1:15], ' ') AS urls FROM u""")
+def _(spark, sf_dir):
+    """Of question words alone, which come before any pair of words."""
+    words = f"filter({pages.question_keywords('question', QUESTION_STOP_WORDS)}, w -> NOT contains(w, ' '))"
+    gold = "if(entry_id % 3 = 0, null, concat('https://a.example/', entry_id))"
+    d = answered(spark, sf_dir).select("entry_id", F.expr(gold).alias("gold"), F.expr(words).alias("k"))
+    return d.select("entry_id", F.array_join(F.expr(topics.start_urls("gold", "k")), " ").alias("urls"))
+
+
 def _relevance(df: DataFrame) -> DataFrame:
-    k = pages.question_keywords("question", QUESTION_STOP_WORDS)
-    d = df.withColumn("k", F.expr(k)).withColumn("c", F.expr("lower(concat(title, ' ', text))"))
-    d = d.withColumn("similar", fuzzy.sequence_ratio_udf(F.array_join(F.slice("k", 1, 4), " "), F.substring("c", 1, 800)))
-    score = f"least(0.5D * {pages.keyword_score('k', 'title', 'text')} + 0.25D * similar + 0.15D * {pages.topic_score('c', TOPIC_WORDS)} + 0.1D * {pages.quality_score('c')}, 1.0D)"
-    return d.withColumn("relevance", F.expr(f"if(size(k) = 0, 0.5D, {score})"))
+    return crawling.question_relevance(df, QUESTION_STOP_WORDS, TOPIC_WORDS)
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -156,27 +181,18 @@ def _(spark, sf_dir):
 @query("categorize_source")
 def _(spark, sf_dir):
     d = _relevance(_candidates(spark, sf_dir))
-    return d.select("entry_id", "doc_id", F.expr(pages.category("domain", "c", "relevance + 0.2D", ["example.org"], ["spam-farm.example.com"], INDICATORS, TOPIC_WORDS)).alias("category"))
+    return d.select("entry_id", "doc_id", F.expr(pages.category("domain", "content", "relevance", ["example.org"], ["spam-farm.example.com"], INDICATORS, TOPIC_WORDS)).alias("category"))
 
 
 @query("relevance_finder")
 def _(spark, sf_dir):
-    d = _candidates(spark, sf_dir).withColumn("hits", F.expr(text.keyword_hits(text.keywords("question", text.STOP_WORDS), "text")))
-    d = d.withColumn("score", F.when(F.size(F.expr(text.keywords("question", text.STOP_WORDS))) == 0, 0.0).otherwise(0.6 * F.col("hits") + 0.4 * fuzzy.token_set_ratio_udf("question", F.substring("text", 1, 5000)) / 100))
-    return rounded(d.select("entry_id", "doc_id", "score"))
+    return rounded(_candidates(spark, sf_dir).withColumn("score", finding.relevance("question", "text")).select("entry_id", "doc_id", "score"))
 
 
 @query("topk_chunks")
 def _(spark, sf_dir):
     """The best one or two chunks of at most 500 words together, by hits and likeness to the question."""
-    d = _candidates(spark, sf_dir).withColumn("clean", F.expr(text.clean_text("text")))
-    d = d.withColumn("chunks", F.expr(text.chunks(text.sentences("clean"))))
-    c = d.select("entry_id", "doc_id", "question", F.posexplode("chunks").alias("pos", "chunk"))
-    c = c.withColumn("hits", F.expr(text.keyword_hits(text.keywords("question", text.STOP_WORDS), "chunk")))
-    c = c.withColumn("score", 0.6 * F.col("hits") + 0.4 * fuzzy.token_set_ratio_udf("question", F.substring("chunk", 1, 5000)) / 100).withColumn("words", F.expr(text.word_count("chunk")))
-    g = c.groupBy("entry_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "chunk", "words"))).alias("c"))
-    pick = "aggregate(c, named_struct('t', cast(array() AS array<string>), 'n', 0), (a, x) -> if(size(a.t) < 2 AND a.n + x.words <= 500, named_struct('t', concat(a.t, array(x.chunk)), 'n', a.n + x.words), a), a -> substring(array_join(a.t, ' '), 1, 2000))"
-    return g.select("entry_id", "doc_id", F.md5(F.expr(pick)).alias("value"))
+    return finding.best_chunks(_candidates(spark, sf_dir), ["entry_id", "doc_id"]).select("entry_id", "doc_id", F.md5("chosen").alias("value"))
 
 
 @query("page_text")
@@ -186,12 +202,26 @@ def _(spark, sf_dir):
     return p.select("page_id", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("reddit_filter", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id) WHERE length(t) >= 400 AND conv_id % 10 >= 5 AND conv_id % 4 >= 2 GROUP BY conv_id")
+_POSTS = """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+  p AS (SELECT conv_id, conv_id % 3 AS community, conv_id % 10 AS score, conv_id % 4 AS num_comments, max(text) FILTER (n = 1) AS title, coalesce(max(text) FILTER (n = 2), '') AS selftext, coalesce(list(text ORDER BY n) FILTER (n > 2), []) AS comments FROM t GROUP BY conv_id),
+  f AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY conv_id) AS place FROM p),
+  x AS (SELECT *, concat_ws(chr(10) || chr(10), title, nullif(selftext, ''), nullif(array_to_string(list_filter(comments[1:3], lambda c: length(c) > 50), chr(10) || chr(10)), '')) AS text FROM f WHERE place <= 40 AND score >= 5 AND num_comments >= 2)"""
+
+
+def posts(spark, sf_dir) -> DataFrame:
+    """Conversations as posts of three communities: title, text, then comments."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.expr("transform(sort_array(collect_list(struct(turn, text))), x -> x.text)").alias("t"))
+    return t.select(
+        "conv_id", (F.col("conv_id") % 3).alias("community"), F.col("t")[0].alias("title"), F.expr("coalesce(get(t, 1), '')").alias("selftext"),
+        (F.col("conv_id") % 10).alias("score"), (F.col("conv_id") % 4).alias("num_comments"), F.expr("slice(t, 3, 1000)").alias("comments"),
+    )
+
+
+@query("reddit_filter", _POSTS + " SELECT conv_id, community, md5(text) AS text_md5 FROM x WHERE length(text) >= 400")
 def _(spark, sf_dir):
-    """Conversations as posts: long enough, with score and comments enough."""
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.expr("transform(sort_array(collect_list(struct(turn, text))), x -> x.text)"), "\n\n").alias("title"))
-    posts = t.select("conv_id", "title", F.lit("").alias("selftext"), (F.col("conv_id") % 10).alias("score"), (F.col("conv_id") % 4).alias("num_comments"), F.array().cast("array<string>").alias("comments"))
-    return connectors.reddit_posts(posts).groupBy("conv_id").agg(F.count("*").alias("n"))
+    """At most forty of each community are looked at, those long enough with score and comments enough are kept."""
+    first = connectors.first_of_communities(posts(spark, sf_dir), "community", "conv_id", limit=120, communities=3)
+    return connectors.reddit_posts(first).select("conv_id", "community", F.md5("text").alias("text_md5"))
 
 
 def _evaluated(spark, sf_dir) -> DataFrame:
@@ -199,22 +229,22 @@ def _evaluated(spark, sf_dir) -> DataFrame:
     from veridex.operators import evaluation
     from veridex.plans.binding import log_probs, responses
 
-    r = results(spark, sf_dir)
-    models = r.select("model", F.col("entry_id").alias("id"), F.length("prediction_text").alias("n"))
+    r = results(spark, sf_dir, relevant_texts=True)
+    models = r.select("model", F.col("entry_id").alias("id"), (F.col("conv_id") % 4).alias("n"))
     sets = r.select(F.col("entry_id").alias("id"), "question", "gold_answer", F.expr("stack(2, 'clear', relevant_docs, 'ambiguous', retrieved_docs) AS (set_type, retrieved_docs)"), "relevant_docs")
     asked = evaluation.requests(sets, models)
     both = F.explode(F.array(F.lit("clear"), F.lit("ambiguous"))).alias("set_type")
     said = responses(spark, sf_dir).join(models.withColumnRenamed("id", "i"), F.col("entry_id") == F.col("i")).select("model", F.col("i").alias("id"), both, "response", F.lit(True).alias("success"), "n")
-    # short answers were recorded for the clear set alone
-    said = said.where("n > 200 OR set_type = 'clear'").drop("n")
+    # of every fourth conversation only the clear set's answers were recorded
+    said = said.where("n <> 1 OR set_type = 'clear'").drop("n")
     judged = log_probs(spark, sf_dir).select("model", F.col("entry_id").alias("id"), both, "log_probs", "letter")
     return evaluation.evaluate(asked, said, judged)
 
 
-_EVAL = text_queries._LP + """, ls AS (SELECT entry_id, model, gold_answer, prediction_text, CASE entry_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.25 END AS stated FROM answered),
+_EVAL = text_queries._LP + """, ls AS (SELECT entry_id, conv_id, model, gold_answer, prediction_text, CASE entry_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 WHEN 3 THEN 0.25 END AS stated FROM answered),
 ev AS (SELECT ls.*, s.set_type, CASE WHEN model = 'gpt-4o' THEN CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, CASE WHEN a[-1] IS NOT NULL AND b[-1] IS NOT NULL THEN exp(a[-1]) / (exp(a[-1]) + exp(b[-1])) WHEN a[-1] IS NOT NULL THEN exp(a[-1]) WHEN b[-1] IS NOT NULL THEN 1 - exp(b[-1]) ELSE CASE u WHEN 'A' THEN 0.9 WHEN 'B' THEN 0.1 ELSE 0.5 END END)) END
   ELSE CASE WHEN empty THEN 0.5 ELSE least(0.99, greatest(0.01, pow(2, own))) END END AS c, CASE WHEN contains(lower(prediction_text), 'i don''t know') THEN 0.4 WHEN lower(regexp_replace(prediction_text, '^\\s+|\\s+$', '', 'g')) = lower(regexp_replace(gold_answer, '^\\s+|\\s+$', '', 'g')) THEN 1.0 ELSE 0.0 END AS acc
-  FROM ls JOIN l1 USING (entry_id), (VALUES ('clear'), ('ambiguous')) s(set_type) WHERE length(prediction_text) > 200 OR s.set_type = 'clear')"""
+  FROM ls JOIN l1 USING (entry_id), (VALUES ('clear'), ('ambiguous')) s(set_type) WHERE conv_id % 4 <> 1 OR s.set_type = 'clear')"""
 
 
 @query("evaluate_single_entry", _EVAL + " SELECT model, entry_id, set_type, round(cast(c AS DOUBLE), 6) AS confidence, round(cast(acc AS DOUBLE), 6) AS accuracy, c < 0.6 AS is_uncertain FROM ev")
@@ -222,11 +252,43 @@ def _(spark, sf_dir):
     return rounded(_evaluated(spark, sf_dir).select("model", "entry_id", "set_type", "confidence", "accuracy", "is_uncertain"))
 
 
-@query("evaluate_model", _EVAL + " SELECT model, count(*) AS answered, count(DISTINCT entry_id) AS entries, count(*) - count(DISTINCT entry_id) AS successful, round(avg(cast(c AS DOUBLE)), 6) AS mean_confidence FROM ev GROUP BY model")
+@query("evaluate_model", _EVAL + """, per AS (SELECT model, entry_id, count(*) AS n FROM ev GROUP BY ALL)
+  SELECT model, count(*) AS total_entries, count(*) FILTER (n = 2) AS successful_evaluations, any_value(missed) AS missed_refusals, round(any_value(mae), 6) AS mae, round(any_value(cm), 6) AS clear_mean, round(any_value(br), 6) AS brier, any_value(refused) AS total_refusals
+  FROM per JOIN (SELECT model, count(*) FILTER (acc < 0.15 AND NOT r) AS missed, avg(abs(c - acc)) AS mae, avg(c) FILTER (set_type = 'clear') AS cm, avg(pow(c - acc, 2)) AS br, count(*) FILTER (r) AS refused
+    FROM (SELECT *, contains(lower(prediction_text), 'i don''t know') AS r FROM ev) GROUP BY model) USING (model) GROUP BY model""")
+def _(spark, sf_dir):
+    """Counts and some of the metrics of the whole summary. Successful entries are those answered on both sets."""
+    from veridex.operators import evaluation
+
+    s = evaluation.summary(_evaluated(spark, sf_dir))
+    return rounded(s.select("model", "total_entries", "successful_evaluations", "missed_refusals", "ptrue_diagnostics.mae", "ptrue_diagnostics.clear_mean", "metrics.brier", "metrics.total_refusals"))
+
+
+@query("evaluation_examples", _EVAL + " SELECT model, ev.entry_id, set_type, substring(question, 1, 80) || '...' AS question, round(cast(c AS DOUBLE), 6) AS confidence FROM ev JOIN (SELECT entry_id, question FROM answered) q USING (entry_id) QUALIFY row_number() OVER (PARTITION BY model ORDER BY set_type DESC, ev.entry_id) <= 3")
+def _(spark, sf_dir):
+    from veridex.operators import evaluation
+
+    return rounded(evaluation.examples(_evaluated(spark, sf_dir)).select("model", "entry_id", "set_type", "question", "confidence"))
+
+
+@query("batch_mode_pending", _EVAL + " SELECT model, NOT coalesce(bool_or(NOT contains(lower(prediction_text), 'i don''t know') AND model <> 'gpt-4o'), false) AS pending FROM ev GROUP BY model")
 def _(spark, sf_dir):
-    """Successful entries are those answered on both sets."""
-    g = _evaluated(spark, sf_dir).groupBy("model", "entry_id").agg(F.count("*").alias("sets"), F.sum("confidence").alias("c"))
-    return rounded(g.groupBy("model").agg(F.sum("sets").alias("answered"), F.count("*").alias("entries"), F.count(F.when(F.col("sets") == 2, 1)).alias("successful"), (F.sum("c") / F.sum("sets")).alias("mean_confidence")))
+    """With one model's answers ungraded."""
+    from veridex.operators import evaluation
+
+    d = _evaluated(spark, sf_dir)
+    return evaluation.pending(d.withColumn("accuracy", F.when(F.col("model") != "gpt-4o", F.col("accuracy"))))
+
+
+@query("sink_comparison", o.WITH + "SELECT cast(count(*) AS BIGINT) AS n, string_agg(model, ',' ORDER BY model) AS models, round(max(evidence_gap), 3) AS most FROM eg")
+def _(spark, sf_dir):
+    """Written as one object, and read back."""
+    from veridex.operators.metrics import evidence_gap
+
+    path = new_path(spark, "comparison")
+    sinks.rounded(sinks.comparison(evidence_gap(rows(spark, sf_dir), ["model"]))).write.json(path)
+    d = json_files.read_json(spark, path, "models_evaluated array<string>, comparison_metrics map<string, struct<evidence_gap: double>>", lines=True)
+    return d.select(F.size("models_evaluated").cast("long").alias("n"), F.array_join("models_evaluated", ",").alias("models"), F.expr("array_max(transform(map_values(comparison_metrics), x -> x.evidence_gap))").alias("most"))
 
 
 @query("regenerate_failed", "SELECT doc_id FROM documents WHERE n_chars < 1000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")

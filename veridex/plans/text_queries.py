@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.functions import answers, pages, retrieval, text
+from veridex.functions import answers, generation, pages, retrieval, text
 from veridex.plans import oracles as o
 from veridex.plans.binding import answered, log_probs, responses, results, sources, table
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 TEXTS = "transform(retrieved_docs, d -> coalesce(d.text, ''))"
+EN = o.arr(pages.ENGLISH_STOP_WORDS)
 ST, SP = o.arr(text.STOP_WORDS), o.arr([*text.STOP_WORDS, *text.PRONOUNS])
 
 
@@ -105,7 +106,21 @@ P, G, E = "prediction_text", "gold_answer", "prediction_explanation"
 _LS = lambda c: o.strip(f"lower({c})")
 _LW = lambda c: f"list_distinct(list_filter(regexp_split_to_array({_LS(c)}, '\\s+'), lambda w: w <> ''))"
 SOFT = f"CASE WHEN {_LS(P)} = '' OR {_LS(G)} = '' THEN 0 WHEN {_LS(P)} = {_LS(G)} THEN 1 WHEN contains({_LS(G)}, {_LS(P)}) OR contains({_LS(P)}, {_LS(G)}) THEN 0.8 ELSE len(list_intersect({_LW(P)}, {_LW(G)})) / greatest(len({_LW(P)}), len({_LW(G)}))::DOUBLE END"
+QA_SPARK = "CASE entry_id % 4 WHEN 0 THEN concat('Question: ', question, '\\nAnswer: ', model) WHEN 1 THEN question WHEN 2 THEN concat('Question: ', question) ELSE concat('Sure. Question:', question, ' Answer: ', model, ' Answer: no Question: x') END"
+#: Fixtures with several outcomes: a word of a topic, another wording of a question, names of models, grades.
+TOPIC_HINT = "CASE entry_id % 6 WHEN 0 THEN ' election' WHEN 1 THEN ' ancient war' WHEN 2 THEN ' market' WHEN 3 THEN ' league game' ELSE '' END"
+ALIKE_SPARK = "CASE entry_id % 3 WHEN 0 THEN concat(upper(question), ' please') WHEN 1 THEN substring(question, 1, cast(length(question) div 2 AS int)) ELSE prediction_text END"
+ALIKE_DUCK = "CASE entry_id % 3 WHEN 0 THEN upper(question) || ' please' WHEN 1 THEN substring(question, 1, length(question) // 2) ELSE prediction_text END"
+MODELS = "CASE entry_id % 9 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-x' WHEN 2 THEN 'gemini-x' WHEN 3 THEN 'mistral/x' WHEN 4 THEN 'x/Mixtral-8x7B' WHEN 5 THEN 'meta/Llama-3' WHEN 6 THEN 'deepseek/v3' WHEN 7 THEN 'Qwen/72B' ELSE 'other' END"
+GRADE = "CASE entry_id % 7 WHEN 0 THEN '0.75' WHEN 1 THEN ' .5 ' WHEN 2 THEN '1.7' WHEN 3 THEN '-0.2' WHEN 4 THEN 'good' WHEN 5 THEN NULL ELSE '1' END"
+GRADE_VALUE = "CASE entry_id % 7 WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 6 THEN 1.0 END"
 TEXT_ROWS = {
+    "llm_accuracy": (answers.graded_accuracy(GRADE, P, G), _d(f"CASE WHEN {P} = '' OR {G} = '' THEN 0 ELSE coalesce({GRADE_VALUE}, {SOFT}) END")),
+    "accuracy_graded": (answers.assigned_accuracy(P, E, G, grade=GRADE), _d(f"CASE WHEN contains(lower({P}), 'i don''t know') THEN 0.4 WHEN coalesce({G}, '') <> '' AND coalesce({P}, '') <> '' THEN coalesce({GRADE_VALUE}, {SOFT}) ELSE 0.5 END")),
+    "ptrue_samples": (answers.truth_from_samples("transform(sequence(1, 5), i -> CASE (entry_id + i * i) % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'x' END)"), _d("(SELECT coalesce(count(*) FILTER ((entry_id + i * i) % 4 = 0) / nullif(count(*) FILTER ((entry_id + i * i) % 4 < 2), 0)::DOUBLE, 0.5) FROM range(1, 6) r(i))")),
+    "distraction_prompt": (f"md5({generation.distraction_prompt('model', 'question')})", "md5(replace(replace(" + o.q(generation.DISTRACTION_PROMPT) + ", '{domain}', model), '{question}', question))"),
+    "qa_prompt": (f"md5({generation.qa_prompt(P, 'model')})", "md5(replace(replace(" + o.q(generation.QA_PROMPT) + f", '{{topic}}', model), '{{passage}}', {P}))"),
+    "question_and_answer": (f"coalesce(concat_ws('|', ({generation.question_and_answer(QA_SPARK)}).question, ({generation.question_and_answer(QA_SPARK)}).answer), '')", "CASE entry_id % 4 WHEN 0 THEN concat(" + o.strip("question") + ", '|', " + o.strip("model") + ") WHEN 1 THEN '' WHEN 2 THEN '' ELSE concat(" + o.strip("question") + ", '|', " + o.strip("model") + ") END"),
     "normalize_text": (text.normalize_text("question"), o.norm("question")),
     "hedge_count": (text.term_count(P, text.HEDGE_TERMS), _n(o.terms(P, text.HEDGE_TERMS))),
     "word_count": (text.word_count(P), _n(o.wc(P))),
@@ -123,13 +138,11 @@ TEXT_ROWS = {
     "fact_regex": (text.states_fact(E), f"regexp_matches(lower({E}), '{_FACTS}')"),
     "accuracy_assign": (answers.assigned_accuracy(P, E, G), _d(f"CASE WHEN contains(lower({P}), 'i don''t know') THEN 0.4 WHEN coalesce({G}, '') <> '' AND coalesce({P}, '') <> '' THEN CASE WHEN {_LS(P)} = {_LS(G)} THEN 1 ELSE 0 END ELSE 0.5 END")),
     "truncate_display": (text.truncated("question", 100), "CASE WHEN length(question) > 100 THEN substring(question, 1, 100) || '...' ELSE question END"),
-    "topic_extract": (text.topic("question"), "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {o.q(w)})' for w in ws)} THEN {o.q(k)}" for k, ws in text.TOPIC_WORDS.items()) + " ELSE 'public_health' END"),
-    "keywords_finder": (f"array_join({text.keywords('question', text.STOP_WORDS)}, ' ')", f"array_to_string(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w)), ' ')"),
-    "relevance_hits": (text.keyword_hits(text.keywords("question", text.STOP_WORDS), G), _d(f"coalesce(len(list_filter(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w)), lambda w: contains(lower({G}), w))) / nullif(len(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({ST}, w))), 0)::DOUBLE, 0)")),
-    "query_diverse": (text.same_question("question", P), _d(f"coalesce(len(list_intersect({_LW('question')}, {_LW(P)})) / nullif(greatest(len({_LW('question')}), len({_LW(P)})), 0)::DOUBLE, 0)") + " > 0.7"),
-    "model_router": (answers.model_client("model"), "CASE WHEN model LIKE 'gpt%' THEN 'openai' WHEN model LIKE 'mistral%' OR model LIKE 'deepseek%' OR model LIKE 'Qwen%' THEN 'mistral' END"),
-    "sink_summary": (answers.output_name("model", "_evaluation.json"), "replace(model, '/', '_') || '_evaluation.json'"),
-    "sink_report": (answers.output_name("model", "_report.json"), "replace(model, '/', '_') || '_report.json'"),
+    "topic_extract": (text.topic(f"concat(question, {TOPIC_HINT})"), "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question || {TOPIC_HINT}), {o.q(w)})' for w in ws)} THEN {o.q(k)}" for k, ws in text.TOPIC_WORDS.items()) + " ELSE 'public_health' END"),
+    "keywords_finder": (f"array_join({text.keywords('question', pages.ENGLISH_STOP_WORDS)}, ' ')", f"array_to_string(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({EN}, w)), ' ')"),
+    "relevance_hits": (text.keyword_hits(text.keywords("question", pages.ENGLISH_STOP_WORDS), G), _d(f"coalesce(len(list_filter(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({EN}, w)), lambda w: contains(lower({G}), w))) / nullif(len(list_filter(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]+')), lambda w: length(w) > 2 AND NOT list_contains({EN}, w))), 0)::DOUBLE, 0)")),
+    "query_diverse": (text.same_question("question", ALIKE_SPARK), _d(f"coalesce(len(list_intersect({_LW('question')}, {_LW(ALIKE_DUCK)})) / nullif(greatest(len({_LW('question')}), len({_LW(ALIKE_DUCK)})), 0)::DOUBLE, 0)") + " > 0.7"),
+    "model_router": (answers.model_client(MODELS), f"(SELECT CASE WHEN m LIKE 'gpt%' THEN 'openai' WHEN m LIKE 'claude%' THEN 'anthropic' WHEN m LIKE 'gemini%' THEN 'google' WHEN m LIKE 'mistral%' OR m LIKE '%Mixtral%' OR m LIKE 'deepseek%' OR m LIKE 'Qwen%' THEN 'mistral' WHEN m LIKE 'llama%' OR m LIKE '%Llama%' THEN 'llama' END FROM (SELECT {MODELS} AS m))"),
     "grading_prompt": (f"md5({answers.grading_prompt('question', G, P)})", "md5(replace(replace(replace(" + o.q(answers.GRADING_PROMPT) + f", '{{question}}', question), '{{gold}}', {G}), '{{answer}}', {P}))"),
 }
 for _name, (_s, _k) in TEXT_ROWS.items():
@@ -144,9 +157,9 @@ DOC_ROWS = {
     "diversity": (retrieval.diversity("retrieved_docs"), _d("len(list_distinct(list_transform(retrieved_docs, lambda d: lower(d.domain)))) / len(retrieved_docs)::DOUBLE")),
     "answer_source_overlap": (text.answer_source_overlap(P, TEXTS), _d("f_overlap")),
     "source_selection": ("array_join(transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE concat(relevant_docs, retrieved_docs) END, d -> d.url), ' ')", "array_to_string(list_transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE list_concat(relevant_docs, retrieved_docs) END, lambda d: d.url), ' ')"),
-    "project_docs": ("to_json(transform(retrieved_docs, d -> named_struct('url', d.url, 'domain', d.domain, 'category', d.category)))", "cast(to_json(list_transform(retrieved_docs, lambda d: {'url': d.url, 'domain': d.domain, 'category': d.category})) AS VARCHAR)"),
+    "project_docs": (f"md5(array_join(transform({retrieval.projected('retrieved_docs')}, d -> concat_ws('|', d.url, d.domain, d.category, d.title, d.text, d.timestamp, coalesce(d.score, 'null'))), '~'))", "md5(array_to_string(list_transform(retrieved_docs, lambda d: concat_ws('|', d.url, d.domain, d.category, coalesce(d.title, ''), coalesce(d.text, ''), '', 'null')), '~'))"),
     "format_prompt": (f"md5({answers.answer_prompt('question', 'retrieved_docs', 'model')})", f"md5(replace(replace(replace({o.q(answers.ANSWER_PROMPT)}, '{{question}}', question), '{{threshold}}', '0.1'), '{{sources}}', {_BLOCK}) || {_ASK})"),
-    "ptrue_prompt": (f"md5({answers.truth_prompt('question', P, 'retrieved_docs')})", f"md5(replace(replace(replace({o.q(answers.TRUTH_PROMPT)}, '{{question}}', question), '{{answer}}', {P}), '{{sources}}', 'Sources:' || chr(10) || {_BLOCK}))"),
+    "ptrue_prompt": (f"md5(concat({text.quoted(answers.TRUTH_SYSTEM_PROMPT)}, {answers.truth_prompt('question', P, 'retrieved_docs')}))", f"md5({o.q(answers.TRUTH_SYSTEM_PROMPT)} || replace(replace(replace({o.q(answers.TRUTH_PROMPT)}, '{{question}}', question), '{{answer}}', {P}), '{{sources}}', 'Sources:' || chr(10) || {_BLOCK}))"),
 }
 for _name, (_s, _k) in DOC_ROWS.items():
     add(_name, _s, _k, results, "x")
@@ -175,7 +188,7 @@ def _faithful_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["faithfulness_batch"] = _faithful_batch
-_all = {**_F, "faithfulness": _FAITH}
+_all = {**_F, "claim_attribution_rate": "f_coverage", "attribution_precision": "f_coverage", "hallucination_severity": "f_halluc", "faithfulness": _FAITH}
 ORACLES["faithfulness_batch"] = f"{DUCK} SELECT model, {', '.join(f'{_d(f"avg({v})")} AS avg_{k}, {_d(f"stddev_pop({v})")} AS std_{k}' for k, v in _all.items())}, {_d('0.3 * avg(f_overlap) + 0.2 * (1 - avg(f_halluc)) + 0.3 * avg(f_coverage) + 0.2 * avg(f_ground)')} AS overall_faithfulness FROM x GROUP BY model"
 
 # log probabilities and responses, by rule on both sides
@@ -204,17 +217,24 @@ _docs = lambda spark, sf_dir: table(spark, sf_dir, "documents")
 _pages = lambda spark, sf_dir: table(spark, sf_dir, "pages")
 add("clean_text", f"md5({text.clean_text('text')})", f"md5({_CLEAN})", _docs, "documents", "doc_id", "")
 add("sentence_split", f"md5(array_join({text.sentences('text')}, '|'))", f"md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: {o.strip('s')}), lambda s: s <> ''), '|'))", _docs, "documents", "doc_id", "")
-add("seq_chunk", f"md5(array_join({text.chunks(text.sentences('text'))}, '|'))", None, _docs, "documents", "doc_id", "")
+_SENT = f"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: {o.strip('s')}), lambda s: s <> '')"
+_CLOSED = "CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END"
+_FOLD = f"""WITH folded AS (SELECT doc_id, list_reduce({_SENT}, lambda a, s: CASE
+  WHEN a.n + len(regexp_extract_all(s, '\\S+')) > 500 THEN {{'done': {_CLOSED}, 'cur': s, 'n': len(regexp_extract_all(s, '\\S+'))}}
+  WHEN a.n + len(regexp_extract_all(s, '\\S+')) >= 300 THEN {{'done': list_append(a.done, ltrim(a.cur || ' ' || s)), 'cur': '', 'n': 0}}
+  ELSE {{'done': a.done, 'cur': ltrim(a.cur || ' ' || s), 'n': a.n + len(regexp_extract_all(s, '\\S+'))}} END, {{'done': []::VARCHAR[], 'cur': '', 'n': 0::BIGINT}}) AS a FROM documents)"""
+add("seq_chunk", f"md5(array_join({text.chunks(text.sentences('text'))}, '|'))", f"md5(array_to_string({_CLOSED}, '|'))", _docs, "folded", "doc_id", _FOLD)
 add("doc_id_norm", retrieval.document_id("url"), o.doc_id("url"), _pages, "pages", "page_id", "")
 _HOST = o.net("url")
-add("page_fetch_filter", pages.fetchable(retrieval.netloc("url")), "NOT (" + " OR ".join(f"contains(lower({_HOST}), {o.q(h)})" for h in pages.SKIPPED_HOSTS) + ")", _pages, "pages", "page_id", "")
+_SOME = "CASE page_id % 5 WHEN 0 THEN concat('https://www.TikTok.com/', page_id) WHEN 1 THEN concat('http://data.statbase.org.example/', page_id) ELSE url END"
+add("page_fetch_filter", pages.fetchable(retrieval.netloc(f"({_SOME})")), "NOT (" + " OR ".join(f"contains(lower({o.net(f'({_SOME})')}), {o.q(h)})" for h in pages.SKIPPED_HOSTS) + ")", _pages, "pages", "page_id", "")
 _LONG = f"len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: length({o.strip('s')}) > 20))"
 add("content_quality", pages.good_content("source", "text"), f"length({o.strip('text')}) >= 200 AND {_LONG} >= 3 AND len(list_filter({o.arr(pages.NAVIGATION)}, lambda t: contains(lower(text), t))) <= {_LONG} / 2.0", _docs, "documents", "doc_id", "")
-_KW = "array('the', 'with', 'health', 'para')"
+LINK_WORDS = _KW = "array('the', 'with', 'health', 'para')"
 _KWD = "['the', 'with', 'health', 'para']"
-add("link_filter", pages.follow_link("url", "html", retrieval.netloc("url"), _KW),
-    f"url LIKE 'http%' AND NOT ({' OR '.join(f'contains(lower(url), {o.q(t)})' for t in pages.SKIPPED_LINKS)}) AND ({' OR '.join(f'contains({_HOST}, {o.q(t)})' for t in pages.HEALTH_HOSTS)} OR len(list_filter({_KWD}, lambda k: contains(lower(html), k))) > 0)", _pages, "pages", "page_id", "")
-add("link_relevance", pages.link_relevance("url", "html", _KW),
-    _d(f"least(1, list_sum(list_transform({_KWD}, lambda k: CASE WHEN contains(lower(html), k) THEN 0.15 WHEN contains(lower(url || ' ' || html), k) THEN 0.1 ELSE 0 END::DOUBLE)) + " + " + ".join(f"CASE WHEN contains(lower(url || ' ' || html), {o.q(t)}) THEN {b} ELSE 0 END" for t, b in pages.LINK_TERMS.items()) + ")"), _pages, "pages", "page_id", "")
-_TW = ["health", "research", "treatment", "nutrition", "and", "the"]
+LINK_OK = f"url LIKE 'http%' AND NOT ({' OR '.join(f'contains(lower(url), {o.q(t)})' for t in pages.SKIPPED_LINKS)}) AND ({' OR '.join(f'contains({_HOST}, {o.q(t)})' for t in pages.HEALTH_HOSTS)} OR len(list_filter({_KWD}, lambda k: contains(lower(html), k))) > 0)"
+LINK_SCORE = f"least(1, list_sum(list_transform({_KWD}, lambda k: CASE WHEN contains(lower(html), k) THEN 0.15 WHEN contains(lower(url || ' ' || html), k) THEN 0.1 ELSE 0 END::DOUBLE)) + " + " + ".join(f"CASE WHEN contains(lower(url || ' ' || html), {o.q(t)}) THEN {b} ELSE 0 END" for t, b in pages.LINK_TERMS.items()) + ")"
+add("link_filter", pages.follow_link("url", "html", retrieval.netloc("url"), _KW), LINK_OK, _pages, "pages", "page_id", "")
+add("link_relevance", pages.link_relevance("url", "html", _KW), _d(LINK_SCORE), _pages, "pages", "page_id", "")
+_TW = pages.topic_keywords("public_health")
 add("topic_relevant", pages.on_topic("lower(text)", _TW), "list_sum(list_transform(" + o.arr(_TW) + ", lambda k: CASE WHEN contains(lower(text), k) THEN 1.0 WHEN length(k) > 5 AND contains(lower(text), k[1:5]) THEN 0.5 ELSE 0 END)) >= 2", _docs, "documents", "doc_id", "")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from veridex.functions.pages import fetchable
 from veridex.functions.retrieval import netloc
@@ -96,10 +97,16 @@ def fetched(pages: DataFrame, url: str = "url", html: str = "html", least: int =
     return p.select("*", "_p.title", "_p.text").drop("_p").where(F.length("text") >= least)
 
 
+def first_of_communities(posts: DataFrame, community: str, order: str, limit: int, communities: int) -> DataFrame:
+    """The posts that a search of so many communities would give, which share its limit evenly."""
+    w = Window.partitionBy(community).orderBy(order)
+    return posts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit // communities).drop("_n")
+
+
 def reddit_posts(posts: DataFrame) -> DataFrame:
     """posts: (title, selftext, score, num_comments, comments). Those worth reading, with their text."""
-    kept = F.expr("transform(filter(slice(comments, 1, 3), c -> length(c) > 50), c -> c)")
-    text = F.concat_ws("\n\n", F.col("title"), F.when(F.length("selftext") > 0, F.col("selftext")), F.concat_ws("\n\n", kept))
+    kept = F.expr("nullif(array_join(filter(slice(comments, 1, 3), c -> length(c) > 50), '\\n\\n'), '')")
+    text = F.concat_ws("\n\n", F.when(F.length("title") > 0, F.col("title")), F.when(F.length("selftext") > 0, F.col("selftext")), kept)
     return posts.where("score >= 5 AND num_comments >= 2").withColumn("text", text).where("length(text) >= 400")
 
 

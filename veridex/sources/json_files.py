@@ -50,6 +50,21 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, bigint>")).alias("name", "n"))
 
 
+def usage_of(dim: DataFrame, counts: DataFrame, item: str = "subdomain") -> DataFrame:
+    """Every row of the dimension with its count ``n``; 0 where the file has none."""
+    c = counts.select(F.col("name").alias("_n"), "n")
+    return dim.join(c, F.col(item) == F.col("_n"), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).drop("_n")
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The state of a run; one row of nothing done where there is no file yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([(0, {}, [], None)], StructType.fromDDL(PROGRESS))
+    return read_json(spark, path, PROGRESS)
+
+
 def read_histories(spark: SparkSession, path: str) -> DataFrame:
     """(topic, seq, query) from an object of lists, in order."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("topic", "queries"))
