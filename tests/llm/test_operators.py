@@ -21,7 +21,7 @@ from veridex.llm.tokens import TokenCounts
 from veridex.llm.url_filter import UrlTrie, split_url
 
 SF = "/root/testdata/sf0.001"
-NASTY = ["a<|endoftext|> b  \n\n c x'll  y " * 50, "x" * 5000, " " * 3000, "", "漢字 " * 2000 + " \x85\x85y\n " * 100, "é\u0301 A\u030a ﬁ ß İ", "don't, stop! it's 1234"]
+NASTY = ["a<|endoftext|> b  \n\n c x'll  y " * 50, "x" * 5000, " " * 3000, "a long text, of 12 words; it is said. " * 2000, "", "漢字 " * 2000 + " \x85\x85y\n " * 100, "é\u0301 A\u030a ﬁ ß İ", "don't, stop! it's 1234"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -39,7 +39,7 @@ def test_simple8b_blocks():
     assert len(image) < 2.4 * len(v)
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (100, 40), (100, 10), (7, 1)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(32_768, 512), (100, 40), (100, 10), (7, 1)])
 def test_token_counts_resynchronise(chunk, overlap):
     c = TokenCounts(tokenizer_path("byte_bpe_50k.json"), chunk, overlap)
     want = [len(e.ids) for e in c.tok.encode_batch(NASTY, add_special_tokens=False)]
@@ -75,6 +75,15 @@ def test_token_counts_random(text):
     assert c.counts([text]) == [len(c.tok.encode(text, add_special_tokens=False).ids)]
 
 
+def test_piece_memory_is_bounded():
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = [*NASTY, *[f"w{i} x{i * i}, it's  {'y' * (i % 90)}" for i in range(500)]]
+    for kept in (1 << 30, 1 << 14, 1):
+        c = TokenCounts(path, kept_bytes=kept)
+        assert c.counts(texts) == [len(e.ids) for e in c.tok.encode_batch(texts, add_special_tokens=False)]
+        assert not any(len(x) > 65 for x in c.n)
+
+
 def test_word_memory_is_bounded():
     """However small the memory and however long the words, the ids are the library's."""
     import pyarrow as pa
@@ -88,7 +97,7 @@ def test_word_memory_is_bounded():
             got += np.split(ids, np.cumsum(sizes)[:-1])
         want = [[*w.tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
         assert [g.tolist() for g in got] == want
-        assert not any(len(x) > 64 for x in w.at) and (kept > 1 or len(w.pool) <= 1 << 17)
+        assert max(map(len, w.words.to_pylist())) <= 64 and (kept > 1 or w.held() < 100)
 
 
 def test_stretches_cut_at_blanks_only():

@@ -1,11 +1,11 @@
-"""What several operators share: words, scratch tables, broadcast bounds."""
+"""What several operators share: words, keys, broadcast bounds."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
+from veridex.scratch import cut, new_path  # noqa: F401
 from veridex.shipping import ship  # noqa: F401
 
 #: Blanks between words: space and the five ASCII controls from tab to carriage return.
@@ -31,25 +31,8 @@ def ascii_lower_sql(text: str) -> str:
     return f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{UPPER}', '{LOWER}'))"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir if set, else the context's, else one beside the warehouse."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        own = sc._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else None
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch(spark)}/veridex/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns what was written: lineage ends here, and the
-    rows survive the loss of any executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def integral(df: DataFrame, key: str) -> None:
+    """Keys are compared as numbers: of any integral type, or a clear error."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"the key {key!r} must be of an integral type, not {kind.simpleString()}")

@@ -11,7 +11,8 @@ with white space, and its normaliser composes and lower-cases within a word. So
 word is encoded on its own, once for each worker, and texts become gathers from that memory. A last
 sign of ``,.;:!?`` behind an ASCII letter is a token stretch of its own and is looked up apart.
 
-Defined results: a null text is empty, so it has the end id alone. Null keys come first. Rows of equal
+Defined results: a null text is empty, so it has the end id alone. Keys must be of an integral type, else a
+TypeError says so. Null keys come first. Rows of equal
 keys are ordered by a hash of their texts, then by text. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -24,6 +25,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -31,21 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridex.llm import simple8b
-from veridex.llm.common import BROADCAST_BYTES, new_path, ship
-from veridex.llm.tokens import tokenizer
-
-#: What a worker's memory of words may take, by the estimate below. When full, it starts anew.
-KEPT_BYTES = 128 << 20
-#: Longer words are encoded whenever they are met.
-KEPT_CHARS = 64
-#: Measured: at most what a kept word takes besides its characters, and for each of them, its ids included.
-ENTRY_BYTES, CHAR_BYTES = 300, 4
-#: Latin letters: their case, composition and class are the same to Python and the library.
-LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-#: A word of Latin letters, with one sign behind it at most: the sign is a stretch of its own.
-PLAIN = re.compile(f"([{LETTERS}]+)([,.;:!?]?)")
-#: The byte-level alphabet writes bytes that aren't printable as the characters from 256 on.
-_BYTES = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
+from veridex.llm.common import BROADCAST_BYTES, integral, new_path, ship
+from veridex.llm.tokens import KEPT_CHARS, PLAIN, marked, pretoken, tokenizer
+
+#: What a worker's memory of words may take.
+KEPT_BYTES = 96 << 20
+#: What may stand behind a plain word: each is one stretch, and one token or more.
+SIGNS = ["", ",", ".", ";", ":", "!", "?"]
 IMAGE_TOKENS = 1 << 20
 #: Bytes of text that are split into words at once; of a longer text, stretches of so many characters.
 SLICE_BYTES = 2 << 20
@@ -62,83 +56,120 @@ def stretches(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
         at = end
 
 
-def pretoken(text: str) -> str:
-    """A stretch that the pattern keeps whole, in the byte-level alphabet that the model reads."""
-    return text.encode().decode("latin-1").translate(_BYTES)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return sizes, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
 
 
 class WordIds:
-    """Ids of words in one pool, with where each word's begin and how many they are. 0 is no word.
+    """Ids of words in one pool, with where each word's begin and how many they are.
 
-    Its size is bounded by bytes: words of over ``KEPT_CHARS`` are forgotten after their slice, and when
-    what is kept would exceed ``kept_bytes``, all of it is."""
+    Words are found by their 64-bit hashes in a sorted array and compared with the spelling that is kept, so what is
+    kept takes some 60 bytes a word. When it would exceed ``kept_bytes``, or the pool does, all is forgotten;
+    words of over ``KEPT_CHARS`` are forgotten after their slice."""
 
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
-        self.tok, self.kept_bytes = tokenizer(path), kept_bytes
+        self.tok, self.kept_bytes, self.last = tokenizer(path), kept_bytes, marked(path, "</w>", at_end=True)
+        self.signs = {x: np.array([t.id for t in self.tok.model.tokenize(x)], dtype=np.uint32) for x in SIGNS}
         self.forget()
 
     def forget(self) -> None:
-        self.at, self.pool, self.n_pool, self.held = {"": 0}, np.zeros(1 << 16, dtype=np.uint32), 0, 0
-        self.start, self.size, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 1
-
-    def _add(self, words: list[str], ids: list[list[int]] | np.ndarray, flat: np.ndarray | None = None) -> None:
-        """ids: of each word, or how many each has in ``flat``."""
-        if flat is None:
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
-        else:
-            sizes = ids
-        while self.n_pool + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(words) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        self.pool[self.n_pool : self.n_pool + len(flat)] = flat
-        self.start[self.n : self.n + len(words)] = self.n_pool + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(words)] = sizes
-        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n, self.n_pool = self.n + len(words), self.n_pool + len(flat)
-
-    def _gather(self, entries: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        # entry 0 is no word
+        self.hashes, self.entries, self.words = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), pa.array([""], pa.string())
+        self.start, self.size, self.pool = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.entries, self.words, self.start, self.size, self.pool))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Each word's entry, or -1."""
+        out = np.full(len(words), -1, dtype=np.int64)
+        if not words or not len(self.hashes):
+            return out
+        h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        found = self.entries[at[hit]]
+        same = pc.equal(self.words.take(pa.array(found)), pa.array(words, pa.string()).take(pa.array(hit)))
+        same = same.to_numpy(zero_copy_only=False)
+        out[hit[same]] = found[same]
+        return out
+
+    def add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The entries of new words, whose ids follow each other in ``flat``."""
+        first, n = len(self.start), len(self.pool)
+        self.pool = np.concatenate([self.pool, flat.astype(np.uint32, copy=False)])
+        self.start, self.size = np.concatenate([self.start, n + np.cumsum(sizes) - sizes]), np.concatenate([self.size, sizes])
+        made = np.arange(first, first + len(words))
+        short = np.flatnonzero(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) <= KEPT_CHARS)
+        # entries of long words have no spelling, so they aren't found
+        self.words = pa.concat_arrays([self.words, pa.array([w if len(w) <= KEPT_CHARS else "" for w in words], pa.string())])
+        h = pd.util.hash_array(np.array(words, dtype=object)[short], categorize=False) if len(short) else np.zeros(0, dtype=np.uint64)
+        h, where = np.unique(h, return_index=True)
+        fresh = np.ones(len(h), dtype=bool)
+        if len(self.hashes):  # of words with one hash, the first is found
+            fresh = self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] != h
+        h, own = h[fresh], made[short][where][fresh].astype(np.int32)
+        at = np.searchsorted(self.hashes, h)
+        self.hashes, self.entries = np.insert(self.hashes, at, h), np.insert(self.entries, at, own)
+        return made
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[entries]
         ends = np.cumsum(sizes)
-        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[entries] - ends + sizes, sizes)]
-
-    def learn(self, words: list[str]) -> None:
-        """Words of at most ``KEPT_CHARS``."""
-        at = self.at
-        new = [w for w in words if w not in at]
-        more = sum(map(len, new)) * CHAR_BYTES + len(new) * ENTRY_BYTES
-        if self.held and self.held + more > self.kept_bytes:
-            self.forget()
-            at, new = self.at, [w for w in words if w]
-            more = sum(map(len, new)) * CHAR_BYTES + len(new) * ENTRY_BYTES
-        self.held += more
-        plain, stems, signed, other = PLAIN.fullmatch, {}, [], []
-        alike = []
-        for w in new:
-            m = plain(w)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[entries] - ends + sizes, sizes)], sizes
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Entries of distinct words, which are added where they aren't known."""
+        out = self.find(words)
+        stems: dict[str, int] = {}
+        plain, whole, spelled = [], [], []
+        for k in np.flatnonzero(out < 0).tolist():
+            w = words[k]
+            m = PLAIN.fullmatch(w)
             if m is None:
-                other.append(w)
+                whole.append(k)
                 continue
-            stem, sign = m.groups()
-            stem = stem.lower()
-            if stem not in at:
-                stems[stem] = None
-            if sign:
-                signed.append((w, stem, sign))
-                if sign not in at:
-                    stems[sign] = None
-            elif stem != w:
-                alike.append((w, stem))
-        encode = self.tok.model.tokenize
-        self._add(list(stems), [[t.id for t in encode(pretoken(x))] for x in stems])
-        for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            self._add(part, [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)])
-        at.update((w, at[stem]) for w, stem in alike)
-        if signed:
-            pairs = np.array([(at[a], at[b]) for _, a, b in signed], dtype=np.int64)
-            sizes = self.size[pairs]
-            self._add([w for w, _, _ in signed], sizes.sum(axis=1), self._gather(pairs.ravel(), sizes.ravel()))
+            stem = m[1].lower()
+            plain.append((k, stems.setdefault(stem, len(stems)), m[2]))
+            spelled.append(stem)
+        at = self.find(list(stems))
+        new = [x for x, e in zip(stems, at.tolist(), strict=True) if e < 0]
+        if new:
+            at[at < 0] = self.add(new, *self._stems(new))
+        if plain:
+            # the word is its stem, the stem in other letters, or the stem and a sign
+            same = [(k, s) for (k, s, sign), x in zip(plain, spelled, strict=True) if not sign and words[k] == x]
+            if same:
+                ks, ss = (np.array(x) for x in zip(*same, strict=True))
+                out[ks] = at[ss]
+            other = [(k, s, sign) for (k, s, sign), x in zip(plain, spelled, strict=True) if sign or words[k] != x]
+            if other:
+                flat, sizes = self.gather(at[[s for _, s, _ in other]])
+                ends = np.cumsum(sizes)
+                tails = [self.signs[sign] if sign else self.signs[""] for _, _, sign in other]
+                more = np.fromiter(map(len, tails), dtype=np.int64, count=len(tails))
+                flat = np.insert(flat, np.repeat(ends, more), np.concatenate(tails))
+                out[[k for k, _, _ in other]] = self.add([words[k] for k, _, _ in other], sizes + more, flat)
+        for i in range(0, len(whole), 4096):
+            part = whole[i : i + 4096]
+            ids = [e.ids for e in self.tok.encode_batch_fast([words[k] for k in part], add_special_tokens=False)]
+            out[part] = self.add([words[k] for k in part], *_flat(ids))
+        return out
+
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of lower-case words of letters: each is one stretch, and only its last token ends a word."""
+        sizes, flat = [], []
+        for i in range(0, len(stems), 2048):
+            part = stems[i : i + 2048]
+            (e,) = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=np.uint32)
+            n = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(n) != len(part):
+                n, ids = _flat([[t.id for t in self.tok.model.tokenize(pretoken(x))] for x in part])
+            sizes.append(n)
+            flat.append(ids)
+        return np.concatenate(sizes), np.concatenate(flat)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids without a break, and how many stand before each text and in all."""
@@ -146,22 +177,14 @@ class WordIds:
         offsets = np.asarray(split.offsets)
         found = split.flatten().dictionary_encode()
         unique = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        long = [w for w in unique if len(w) > KEPT_CHARS]
-        self.learn([w for w in unique if len(w) <= KEPT_CHARS] if long else unique)
-        kept = self.n, self.n_pool
-        if long:
-            self._add(long, [self.tok.encode(w, add_special_tokens=False).ids for w in long])
-        known = np.fromiter(map(self.at.__getitem__, unique), dtype=np.int64, count=len(unique))
+        known = np.zeros(len(unique), dtype=np.int64)
+        real = [k for k, w in enumerate(unique) if w]
+        known[real] = self.learn([unique[k] for k in real])
         words = known[np.asarray(found.indices)] if len(unique) else np.zeros(0, dtype=np.int64)
-        sizes = self.size[words]
-        out = self._gather(words, sizes), np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
-        if long:
-            self.n, self.n_pool = kept
-            for w in long:
-                del self.at[w]
-            if len(self.pool) * 4 > self.kept_bytes:
-                self.forget()
-        return out
+        flat, sizes = self.gather(words)
+        if self.held() > self.kept_bytes:
+            self.forget()
+        return flat, np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each slice of the texts their ids without a break, and each text's number of ids; the end
@@ -189,6 +212,7 @@ def word_ids(path: str) -> WordIds:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", image_tokens: int = IMAGE_TOKENS) -> None:
     """Writes the documents' ids to ``path``, a table of (part, seq, n_docs, n_tokens, image)."""
     ship(docs.sparkSession)
+    integral(docs, key)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -252,6 +276,6 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Writes, then reads back; see ``write_tokens`` and ``read_tokens``."""
     spark = docs.sparkSession
-    path = path or new_path(spark, "tokens")
+    path = path or new_path(spark, "tokens", keep=True)
     write_tokens(docs, tokenizer_path, path, end_id, key, text)
     return read_tokens(spark, path, key)
