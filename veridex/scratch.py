@@ -26,9 +26,10 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """keep: for what is a result itself, which no scope removes."""
     path = f"{folder(spark)}/veridex/{tag}-{uuid.uuid4().hex}"
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     return path
 
