@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions import generation, pages, retrieval, text, topics
+from veridex.functions import generation, pages, retrieval, topics
 from veridex.operators import building, crawling, curation, finding
 from veridex.plans import curation_queries as cq
 from veridex.plans import oracles as o

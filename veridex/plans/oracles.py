@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from veridex.functions import answers
-from veridex.functions.text import CONFIDENT_TERMS, HEDGE_TERMS, PRONOUNS, STOP_WORDS, TOPIC_WORDS
+from veridex.functions.text import CONFIDENT_TERMS, HEDGE_TERMS
 
 
 def q(x: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import answers, generation, pages, retrieval, text
 from veridex.plans import oracles as o
-from veridex.plans.binding import answered, log_probs, responses, results, sources, table
+from veridex.plans.binding import answered, log_probs, responses, results, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
