@@ -156,7 +156,7 @@ DOC_ROWS = {
     "source_quality": (retrieval.quality("retrieved_docs"), _d("list_avg(list_transform(retrieved_docs, lambda d: CASE d.category WHEN 'reliable' THEN 1.0 WHEN 'unreliable' THEN 0.0 ELSE 0.5 END))")),
     "diversity": (retrieval.diversity("retrieved_docs"), _d("len(list_distinct(list_transform(retrieved_docs, lambda d: lower(d.domain)))) / len(retrieved_docs)::DOUBLE")),
     "answer_source_overlap": (text.answer_source_overlap(P, TEXTS), _d("f_overlap")),
-    "source_selection": ("array_join(transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE concat(relevant_docs, retrieved_docs) END, d -> d.url), ' ')", "array_to_string(list_transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE list_concat(relevant_docs, retrieved_docs) END, lambda d: d.url), ' ')"),
+    "source_selection": ("array_join(CASE set_type WHEN 'clear' THEN transform(relevant_docs, d -> d.url) WHEN 'ambiguous' THEN transform(retrieved_docs, d -> d.url) ELSE concat(transform(relevant_docs, d -> d.url), transform(retrieved_docs, d -> d.url)) END, ' ')", "array_to_string(list_transform(CASE set_type WHEN 'clear' THEN relevant_docs WHEN 'ambiguous' THEN retrieved_docs ELSE list_concat(relevant_docs, retrieved_docs) END, lambda d: d.url), ' ')"),
     "project_docs": (f"md5(array_join(transform({retrieval.projected('retrieved_docs')}, d -> concat_ws('|', d.url, d.domain, d.category, d.title, d.text, d.timestamp, coalesce(d.score, 'null'))), '~'))", "md5(array_to_string(list_transform(retrieved_docs, lambda d: concat_ws('|', d.url, d.domain, d.category, coalesce(d.title, ''), coalesce(d.text, ''), '', 'null')), '~'))"),
     "format_prompt": (f"md5({answers.answer_prompt('question', 'retrieved_docs', 'model')})", f"md5(replace(replace(replace({o.q(answers.ANSWER_PROMPT)}, '{{question}}', question), '{{threshold}}', '0.1'), '{{sources}}', {_BLOCK}) || {_ASK})"),
     "ptrue_prompt": (f"md5(concat({text.quoted(answers.TRUTH_SYSTEM_PROMPT)}, {answers.truth_prompt('question', P, 'retrieved_docs')}))", f"md5({o.q(answers.TRUTH_SYSTEM_PROMPT)} || replace(replace(replace({o.q(answers.TRUTH_PROMPT)}, '{{question}}', question), '{{answer}}', {P}), '{{sources}}', 'Sources:' || chr(10) || {_BLOCK}))"),
