@@ -21,8 +21,8 @@ candidates as they have members, not squares of them, and no group is gathered i
 
 Defined results: a document without words, or null, has an empty set and is linked with nothing. One of
 fewer words than a shingle has all of them as its one shingle. Rows of equal keys are one vertex with
-several sets. A null key is linked with nothing, has a null component and is kept. Other columns
-are not read. An empty table gives an empty result.
+several sets. A null key is linked with nothing, has a null component and is kept. Keys must be of an
+integral type, else a TypeError says so. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +34,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veridex.llm.common import BROADCAST_BYTES, cut, ship
+from veridex.llm.common import BROADCAST_BYTES, cut, integral, ship, tidy
+from veridex.scratch import new_path, remove, settled
 
 SLICE_ROWS = 1024
 #: Buckets of the counts that bound differences, rows of a region that are compared at once, and blocks of
@@ -113,7 +114,7 @@ def _signatures(docs: DataFrame, key: str, text: str, shingle: int, n: int) -> D
                     names=["id", "n", "fp", "sig"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, "id long, n int, fp binary, sig binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidy(sign), "id long, n int, fp binary, sig binary")
 
 
 def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
@@ -147,7 +148,7 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataF
         if last is not None:
             yield out([(2, pid, last[0], last[1], last[3], last[2], last[4], None, None, None)])
 
-    found = cut(rows.mapInArrow(scan, schema), "forest")
+    found = cut(rows.mapInArrow(tidy(scan), schema), "forest")
     # where one partition ends and the next begins: two rows of each partition
     w = Window.orderBy("pid", "kind")
     edge = found.where("kind > 0").select("kind", "pid", "t", "k", "a", "fa", "an", *[F.lag(c).over(w).alias(f"l{c}") for c in ("kind", "t", "k", "a", "fa", "an")])
@@ -190,7 +191,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle:
                     keep.append(100 * (both_n - union) >= percent * union)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(confirm, "a long, b long").where("a <> b").distinct()
+    return both.mapInArrow(tidy(confirm), "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,17 +199,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a vertex takes the least label of its neighbours, then the label of its label, so long
     paths shrink by halves. Every round is cut to the shared folder."""
+    spark = links.sparkSession
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    labels, path = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), new_path(spark, "labels")
+    labels.write.parquet(path)
+    labels = spark.read.schema(labels.schema).parquet(path)
+    # each vertex's label is asked for by its neighbours, and once more by whoever takes it
+    few = labels.count() * 32 <= BROADCAST_BYTES
     while True:
         at = labels.select(F.col("id").alias("v"), F.col("label").alias("l"))
-        low = edges.join(at, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
-        low = labels.join(low, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("near"))
-        new = low.join(at, F.col("near") == F.col("v"), "left").select("id", "old", F.least("near", F.coalesce("l", "near")).alias("label"))
-        new = cut(new, "labels")
+        at = F.broadcast(at) if few else at
+        heard = edges.join(at, F.col("b") == F.col("v")).select(F.col("a").alias("id"), F.col("l").alias("label"), F.lit(None).cast("long").alias("own"))
+        low = heard.union(labels.select("id", "label", F.col("label").alias("own"))).groupBy("id").agg(F.max("own").alias("old"), F.min("label").alias("near"))
+        new, next_path = low.join(at, F.col("near") == F.col("v"), "left").select("id", "old", F.least("near", F.coalesce("l", "near")).alias("label")), new_path(spark, "labels")
+        new.write.parquet(next_path)
+        new = spark.read.schema(new.schema).parquet(next_path)
+        # the round before is in no plan any more
+        remove(spark, path)
+        labels, path = new.select("id", "label"), next_path
         if new.where("old <> label").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+            return labels
 
 
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -261,7 +271,7 @@ def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shing
                 kept = [(fp, bucket_counts(x)) for x, fp in zip(shingle_sets(rows.column(1), shingle), rows.column(0).to_pylist(), strict=True) if digest(x) == fp]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in kept], pa.binary()) for j in (0, 1)], names=["v", "counts"])
 
-    counts = play.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(count, "v binary, counts binary").dropDuplicates(["v"])
+    counts = play.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(tidy(count), "v binary, counts binary").dropDuplicates(["v"])
     where = regions.groupBy("fp").agg(F.collect_set("region").alias("own")).withColumnRenamed("fp", "u")
     return regions.join(where, F.col("fp") == F.col("u")).join(counts, F.col("fp") == F.col("v")).drop("u", "v")
 
@@ -299,7 +309,7 @@ def _across(regions: DataFrame, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=["a", "fa", "an", "b", "fb", "bn"])
 
-    return both.mapInArrow(compare, "a long, fa binary, an long, b long, fb binary, bn long")
+    return both.mapInArrow(tidy(compare), "a long, fa binary, an long, b long, fb binary, bn long")
 
 
 def near_duplicates(
@@ -308,6 +318,11 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: key, n_shingles, component_id and kept (key = component_id)."""
     ship(docs.sparkSession)
+    integral(docs, key)
+    return settled(docs.sparkSession, "components", lambda: _near_duplicates(docs, key, text, shingle, percent, trees, depth, least, sorted_trees))
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, percent: int, trees: int, depth: int, least: int, sorted_trees: int) -> DataFrame:
     rows = cut(_signatures(docs, key, text, shingle, trees * depth), "signatures")
     classes = cut(rows.where("id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     member = rows.where("id IS NOT NULL AND fp IS NOT NULL").select("id", "fp").join(classes.select(F.col("fp").alias("f"), "rep"), F.col("fp") == F.col("f")).select("id", "rep")

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridex.llm import simple8b
-from veridex.llm.common import BROADCAST_BYTES, integral, new_path, ship
+from veridex.llm.common import BROADCAST_BYTES, give_back, integral, new_path, ship, tidy
 from veridex.llm.tokens import KEPT_CHARS, PLAIN, marked, pretoken, tokenizer
 
 #: What a worker's memory of words may take.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
 #: What may stand behind a plain word: each is one stretch, and one token or more.
 SIGNS = ["", ",", ".", ";", ":", "!", "?"]
 IMAGE_TOKENS = 1 << 20
@@ -237,13 +237,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, k
                 if sum(map(len, values)) >= image_tokens:
                     yield image()
                     seq, keys, lengths, values = seq + 1, [], [], []
+                    give_back()
         if keys:
             yield image()
 
     # ranges are found from a sample of their columns, so texts stand in it by their hashes
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     ordered = ordered.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h")
-    images = ordered.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, image binary")
+    images = ordered.mapInArrow(tidy(encode), "part int, seq int, n_docs long, n_tokens long, image binary")
     # images are large rows: the writer looks at its buffer after each
     images.write.option("compression", "none").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(path)
 
@@ -270,7 +271,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
                 crcs = [zlib.crc32(data[a:b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + first), pa.array(lengths), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return placed.mapInArrow(tidy(decode), "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
