@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 << 20
 
 
-def _dim(df: DataFrame, row_bytes: int = 256) -> DataFrame:
+def few(df: DataFrame, row_bytes: int = 256) -> DataFrame:
     """A side that is broadcast if a count shows that it fits."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
@@ -32,7 +32,7 @@ def classify_domains(pages: DataFrame, trust: DataFrame, host: str = "domain") -
     reliable = trust.where("trust = 'reliable'").select(F.col("domain").alias("_d")).distinct()
     p = pages.withColumn("_host", F.expr(f"replace(lower({host}), 'www.', '')"))
     hosts = p.select("_host").distinct()
-    hit = hosts.withColumn("_s", F.explode(suffixes("_host"))).join(_dim(reliable), F.col("_s") == F.col("_d")).select(F.col("_host").alias("_h")).distinct()
+    hit = hosts.withColumn("_s", F.explode(suffixes("_host"))).join(few(reliable), F.col("_s") == F.col("_d")).select(F.col("_host").alias("_h")).distinct()
     j = p.join(hit, F.col("_host") == F.col("_h"), "left")
     return j.withColumn("trust", F.expr("if(_h IS NOT NULL OR contains(_host, '.edu') OR contains(_host, '.gov'), 'reliable', 'unreliable')")).drop("_h", "_host")
 
