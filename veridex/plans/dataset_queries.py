@@ -97,7 +97,7 @@ def _(spark, sf_dir):
     return sinks.rounded(d.select("model", "evidence_gap", "wrong_answer_rate", "ece", "avg_hedge_density", "total_refusals", (F.col("ece") > 0.2).alias("far")))
 
 
-for _kind, _suffix in {"sink_summary": "_evaluation.json", "sink_report": "_bluff_rag_report.json"}.items():
+for _kind, _suffix in {"sink_summary": "_evaluation.json", "sink_report": "_report.json"}.items():
 
     def _sink(spark, sf_dir, suffix=_suffix):
         """Written a file for each model, and read back from there."""
