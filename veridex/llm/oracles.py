@@ -123,3 +123,44 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_dist
   NOT (n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words) AND far.doc_id IS NULL AS kept
 FROM f LEFT JOIN rc USING (doc_id) LEFT JOIN far ON f.doc_id = far.doc_id
 """
+
+#: Every order is walked filter by filter over the counts of each set of failed filters.
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+), f AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+           WHEN 'A' THEN len(ws) < 50
+           WHEN 'B' THEN 100 * len(list_distinct(ws)) < 65 * len(ws)
+           WHEN 'C' THEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)
+           WHEN 'D' THEN regexp_matches(t, '[#$%&*|]')
+           ELSE coalesce(doc_id > least, false) END) AS fails,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM w
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), o AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(filter_order, x)
+), s AS (
+  SELECT filter_order, cast(step AS INTEGER) AS step, filter_order[step:step] AS own, string_split(filter_order[1:step - 1], '') AS earlier
+  FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5
+), x AS (
+  SELECT c.*, s.*, list_contains(fails, own) AS fails_own, list_has_any(fails, earlier) AS fails_earlier FROM c, s
+), r AS (
+  SELECT part, filter_order, step, own,
+         cast(coalesce(sum(n) FILTER (NOT fails_own AND NOT fails_earlier), 0) AS BIGINT) AS kept,
+         cast(coalesce(sum(n) FILTER (fails_own AND NOT fails_earlier), 0) AS BIGINT) AS removed,
+         cast(coalesce(sum(n) FILTER (fails_own AND fails_earlier), 0) AS BIGINT) AS redundant,
+         cast(coalesce(sum(n) FILTER (fails = [own]), 0) AS BIGINT) AS unique_fails,
+         cast(coalesce(sum(good) FILTER (fails_own AND NOT fails_earlier), 0) AS BIGINT) AS good_lost,
+         cast(coalesce(sum(toxic) FILTER (fails_own AND NOT fails_earlier), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""

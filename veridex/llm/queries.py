@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
+from veridex.llm.filter_audit import filter_audit
 from veridex.llm.language import fit, identify_languages
 from veridex.llm.licenses import scan_licenses
 from veridex.llm.mixing import mix_sources
@@ -78,6 +79,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language"]
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language", "op12_filter_audit"]
 
 QUERIES_BY_NAME = {name: globals()[name] for name in NAMES}
