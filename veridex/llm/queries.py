@@ -9,12 +9,14 @@ from veridex.llm.common import read
 from veridex.llm.oracles import ORACLES  # noqa: F401
 from veridex.llm.decontaminate import decontaminate
 from veridex.llm.filter_audit import filter_audit
+from veridex.llm.hard_negatives import hard_negatives
 from veridex.llm.language import fit, identify_languages
 from veridex.llm.licenses import scan_licenses
 from veridex.llm.mixing import mix_sources
 from veridex.llm.near_dup import near_duplicates
 from veridex.llm.pii import pseudonymise
 from veridex.llm.quality import quality_rules
+from veridex.llm.simhash import simhash_duplicates
 from veridex.llm.token_files import token_files
 from veridex.llm.tokens import token_counts
 from veridex.llm.url_filter import url_filter
@@ -79,10 +81,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language", "op12_filter_audit"]
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (cast(label AS bigint) + 1) % 10, label)").alias("label"))
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
+NAMES = ["op1_mix_sources", "op2_license_scan", "op3_url_filter", "op4_token_counts", "op5_decontaminate", "op6_near_duplicates", "op7_pseudonyms", "op8_token_files", "op9_quality_rules", "op10_language", "op11_simhash", "op12_filter_audit", "op13_hard_negatives"]
 
 QUERIES_BY_NAME = {name: globals()[name] for name in NAMES}
