@@ -14,6 +14,7 @@ from veridex.llm.mixing import mix_sources, mixed
 from veridex.llm.near_dup import near_duplicates
 from veridex.llm.pii import pseudonymise
 from veridex.llm.quality import quality_rules
+from veridex.llm.simhash import simhash_duplicates
 from veridex.llm.queries import tokenizer_path
 from veridex.llm.token_files import token_files
 from veridex.llm.tokens import token_counts
@@ -59,6 +60,7 @@ RUNS = {
     "tokens": (lambda d, i: token_counts(d, tokenizer_path("byte_bpe_50k.json")), 13),
     "decontaminate": (lambda d, i: decontaminate(d, i), 13),
     "near": (lambda d, i: near(d), 13),
+    "simhash": (lambda d, i: simhash_duplicates(d), 13),
     "pii": (lambda d, i: pseudonymise(d, "s"), 13),
     "files": (lambda d, i: token_files(d, tokenizer_path("word_bpe_49k.json"), 2), 13),
     "quality": (lambda d, i: quality_rules(d), 13),

@@ -17,7 +17,7 @@ from veridex.llm.licenses import TEMPLATES, scan_licenses
 from veridex.llm.pii import KINDS, pseudonymise
 from veridex.llm.queries import QUERIES_BY_NAME, tokenizer_path
 from veridex.llm.token_files import WordIds, stretches, token_files
-from veridex.llm.tokens import TokenCounts
+from veridex.llm.tokens import TokenCounts, tokenizer
 from veridex.llm.url_filter import UrlTrie, split_url
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,19 @@ def test_simple8b_blocks():
     assert len(image) < 2.4 * len(v)
 
 
+def test_a_tenth_of_the_documents_is_spliced(spark):
+    """With the query's own chunks, and as the library counts them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    tok = tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    want = {r[0]: len(tok.encode(r[1] or "", add_special_tokens=False)) for r in rows}
+    c = TokenCounts(tokenizer_path("byte_bpe_50k.json"))
+    long = [r for r in rows if len(r[1] or "") > c.chunk + c.overlap]
+    assert len(long) >= len(rows) // 10
+    assert all(c.spliced(r[1]) == want[r[0]] for r in long)
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES_BY_NAME["op4_token_counts"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(32_768, 512), (100, 40), (100, 10), (7, 1)])
 def test_token_counts_resynchronise(chunk, overlap):
     c = TokenCounts(tokenizer_path("byte_bpe_50k.json"), chunk, overlap)

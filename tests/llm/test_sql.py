@@ -46,4 +46,9 @@ def test_few_rows(spark, tmp_path, name):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     urls = [None, "", "http://", "HTTP://A.Example.NET/en/x", "x://example.com/de/", "http://fooexample.com/de/", "http://a.org/fr/?q", "http://net/", "http://net", "a://b.net/c://example.net/en/", "http://example.net/en/\n/x"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(0, 1, 0), (1, None, 1), (3, 1, 1), (3, 0, 0), (8, 0, 1), (100, 1, None), (None, 1, 1), (555, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nan = float("nan")
+    vectors = [(i, [((i * k) % 13 - 4) / 8 for k in (1, 3, 7)], i % 3) for i in range(0, 300, 4)] + [(900, None, 1), (901, [1.0, None, 1.0], 1), (1000, [1.0, nan, 1.0], 1), (1100, [1.0, 1.0, 1.0], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     compare(spark, tmp_path, name)

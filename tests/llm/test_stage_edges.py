@@ -52,6 +52,29 @@ def test_near_duplicates_smallest_stays(spark, tmp_path):
     assert [i for i, _ in kept(corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path)))] == [1, 5]
 
 
+def test_near_duplicates_of_great_ids(spark, tmp_path):
+    """Numbers for repeated and null ids never run over, and no other row takes them."""
+    top = (1 << 63) - 1
+    for ids in ([top, 5, 5, None], [top - 1, top - 2, 5, 5, None], [-(1 << 63), top, 7, 7, None], [-8, -9, -7, -7, None]):
+        others, (a, b, c) = ids[:-3], ids[-3:]
+        rows = [(i, text(k)) for k, i in enumerate(others)] + [(a, near(0)), (b, text(20)), (b, text(20)), (c, near(20)), (c, text(21))]
+        out = kept(corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path)))
+        texts = [t for _, t in out]
+        # the near copy of the first goes, since those ids stand behind all others; of 20 and its near copy one stays
+        assert {i for i, _ in out} >= set(others)
+        assert near(0) not in texts and text(21) in texts and len({text(20), near(20)} & set(texts)) == 1 and len(out) == len(others) + 2
+
+
+def test_near_duplicates_of_hashed_ids(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(40)]
+    rows = [(i, text(k)) for k, i in enumerate(ids)] + [(ids[3], text(50)), (None, text(51)), (None, near(5)), (ids[7], text(7))]
+    out = kept(corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path)))
+    assert sorted(out, key=repr) == sorted({*rows} - {(None, near(5))}, key=repr)
+
+
 def test_quality_by_row(spark, tmp_path):
     junk, good = "### $$$ " * 30, text(1)
     rows = [(1, good), (1, junk), (None, good), (None, None), (2, ""), (3, "too short"), (4, "one two three four five " * 20)]

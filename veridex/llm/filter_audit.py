@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm.common import BROADCAST_BYTES, cut, ship, tidy
+from veridex.scratch import settled
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 50, 65, 5, b"#$%&*|"
@@ -223,6 +224,10 @@ def filter_audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """A row for each part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost,
     toxic_lost and shapley."""
     ship(docs.sparkSession)
+    return settled(docs.sparkSession, "audit", lambda: _filter_audit(docs, labels, key, text, source))
+
+
+def _filter_audit(docs: DataFrame, labels: DataFrame, key: str, text: str, source: str) -> DataFrame:
     rows = cut(_judged(docs, key, text, source), "judged")
     every = rows.groupBy("id", "part", "fails").agg(F.count("*").alias("n"))
     smallest = rows.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least")).withColumnRenamed("digest", "d")

@@ -119,7 +119,7 @@ class Encoded:
 
 
 class TokenCounts:
-    def __init__(self, path: str, chunk: int = 32_768, overlap: int = 512, kept_bytes: int = KEPT_BYTES):
+    def __init__(self, path: str, chunk: int = 4096, overlap: int = 256, kept_bytes: int = KEPT_BYTES):
         self.tok, self.specials, self.chunk, self.overlap, self.kept_bytes = tokenizer(path), specials(path), chunk, overlap, kept_bytes
         self.edge, self.first = max(map(len, self.specials), default=0), marked(path, pretoken(" "), at_end=False)
         self.n: dict[str, int] = {}
@@ -242,7 +242,7 @@ def _counter(path: str, chunk: int, overlap: int) -> TokenCounts:
     return TokenCounts(path, chunk, overlap)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, chunk: int = 4096, overlap: int = 256) -> DataFrame:
     """One row per document: key, n_bytes (of UTF-8), n_tokens and over_limit (n_tokens > limit)."""
     ship(docs.sparkSession)
 
