@@ -21,9 +21,10 @@ from veridex.llm.near_dup import near_duplicates
 from veridex.llm.quality import quality_rules
 from veridex.llm.queries import tokenizer_path
 from veridex.llm.token_files import token_files
+from veridex.operators.ordinals import with_ordinals
 from veridex.scratch import cut, settled
 
-END_ID = 2
+END_ID, GREATEST = 2, (1 << 63) - 1
 
 
 def _row() -> Column:
@@ -73,15 +74,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         groups = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
         return _without(docs, groups.where("NOT kept").select("doc_id"), F.col("doc_id").cast("long"))
-    # numbers beyond the greatest doc_id, one for each text of such a doc_id
+    # a number for each text of such a doc_id, beyond the greatest doc_id
     greatest = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
-    texts = docs.select("doc_id", F.md5("text").alias("h")).join(_few(again, 32), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").distinct()
-    numbered = cut(texts, "numbered").select(F.col("doc_id").alias("i"), "h", (F.lit(greatest + 1) + F.monotonically_increasing_id()).alias("number"))
-    numbered = cut(numbered, "numbered")
+    texts = docs.select("doc_id", F.md5("text").alias("h"))
+    twins = cut(texts.join(_few(again, 32), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").distinct().withColumn("twin", F.lit(True)), "twins")
+    if greatest + twins.count() > GREATEST:
+        # no room there: every row gets its number, those of such a doc_id the last ones
+        greatest, once = -1, texts.join(_few(again, 32), F.col("doc_id").eqNullSafe(F.col("again")), "left_anti").distinct()
+        twins = once.withColumn("twin", F.lit(False)).union(twins)
+    numbered = with_ordinals(twins, ["twin", "doc_id", "h"], name="number")
+    numbered = cut(numbered.select(F.col("doc_id").alias("i"), "h", "twin", (F.lit(greatest + 1) + F.col("number")).alias("number")), "numbered")
     key, mark = _free(docs, "_key"), _free(docs, "_all")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark))
     same = F.col(f"{mark}.doc_id").eqNullSafe(F.col("i")) & F.md5(F.col(f"{mark}.text")).eqNullSafe(F.col("h"))
-    rows = rows.join(_few(numbered, 128), same, "left").select(mark, F.coalesce("number", F.col(f"{mark}.doc_id").cast("long")).alias(key), F.col("number").isNotNull().alias("twin"))
+    rows = rows.join(_few(numbered, 128), same, "left").select(mark, F.coalesce("number", F.col(f"{mark}.doc_id").cast("long")).alias(key), F.coalesce("twin", F.lit(False)).alias("twin"))
     groups = near_duplicates(rows.select(key, F.col(f"{mark}.text").alias("text")), key=key, text="text", shingle=5, percent=80)
     left = _without(rows, groups.where("NOT kept").select(key), F.col(key))
     once = left.where("twin").groupBy(key).agg(F.first(mark).alias(mark))
