@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.functions import content
+from veridex.functions import pages as page_rules
+from veridex.plans import oracles as o
 from veridex.plans.binding import table
 from veridex.shipping import ship
+from veridex.sources import connectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,6 +54,17 @@ def _(spark, sf_dir):
     return d.select("page_id", "p.title", "p.strategy", F.md5("p.text").alias("text_md5"))
 
 
+@query("page_text", f"""
+    WITH b AS (SELECT page_id, url, html, {_CLEAN.format("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} AS text, {_TITLE.format('<title>([^<]*)</title>')} AS title, {_TITLE.format('<h1>([^<]*)</h1>')} AS heading FROM pages)
+    SELECT page_id, CASE WHEN length(title) > 5 THEN title WHEN length(heading) > 5 THEN heading ELSE 'No Title Found' END AS title, md5(text) AS text_md5, length(text) AS n_chars
+    FROM b WHERE length(text) >= 400 AND len(list_filter([{", ".join(repr(h) for h in page_rules.SKIPPED_HOSTS)}], lambda h: contains(lower({o.net('url')}), h))) = 0""")
+def _(spark, sf_dir):
+    """What a fetch of each page brings."""
+    ship(spark)
+    p = connectors.fetched(table(spark, sf_dir, "pages"))
+    return p.select("page_id", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query("page_main_area", f"""
     SELECT page_id, md5({_CLEAN.format("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")}) AS text_md5 FROM pages""")
 def _(spark, sf_dir):

@@ -195,13 +195,6 @@ def _(spark, sf_dir):
     return finding.best_chunks(_candidates(spark, sf_dir), ["entry_id", "doc_id"]).select("entry_id", "doc_id", F.md5("chosen").alias("value"))
 
 
-@query("page_text")
-def _(spark, sf_dir):
-    ship(spark)
-    p = connectors.fetched(table(spark, sf_dir, "pages"))
-    return p.select("page_id", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
-
-
 _POSTS = """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
   p AS (SELECT conv_id, conv_id % 3 AS community, conv_id % 10 AS score, conv_id % 4 AS num_comments, max(text) FILTER (n = 1) AS title, coalesce(max(text) FILTER (n = 2), '') AS selftext, coalesce(list(text ORDER BY n) FILTER (n > 2), []) AS comments FROM t GROUP BY conv_id),
   f AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY conv_id) AS place FROM p),
