@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.functions import fuzzy, pages, retrieval, text
-from veridex.operators import curation
+from veridex.operators import curation, sentences
 from veridex.shipping import ship
 
 #: Relevance that a page, or a post, needs; characters of a page's text, and of what is kept of a source.
@@ -26,11 +26,16 @@ def relevance(question: str, words: str) -> Column:
     return F.when(F.expr(f"size({keys})") == 0, 0.0).otherwise(0.6 * F.expr(text.keyword_hits(keys, words)) + 0.4 * like)
 
 
-def best_chunks(df: DataFrame, by: Sequence[str], question: str = "question", words: str = "text") -> DataFrame:
+def best_chunks(df: DataFrame, by: Sequence[str], question: str = "question", words: str = "text", boundaries: sentences.Model | None = None) -> DataFrame:
     """by and ``chosen``: of each text the best one or two chunks, of 500 words together at most. Chunks of a
-    text are few; they are told apart by their places and put together by the text's key."""
+    text are few; they are told apart by their places and put together by the text's key.
+
+    boundaries: learned from the texts, of which sentences end where; without, every period ends one."""
     d = df.select(*by, question, F.expr(text.clean_text(f"coalesce({words}, '')")).alias("clean"))
-    d = d.select(*by, question, F.substring("clean", 1, 2000).alias("opening"), F.posexplode_outer(F.expr(text.chunks(text.sentences("clean")))).alias("pos", "chunk"))
+    if boundaries is not None:
+        d = sentences.split(d.withColumn("_by", F.struct(*by)), boundaries, "_by", "clean", "_sentences")
+    listed = text.sentences("clean") if boundaries is None else "_sentences"
+    d = d.select(*by, question, F.substring("clean", 1, 2000).alias("opening"), F.posexplode_outer(F.expr(text.chunks(listed))).alias("pos", "chunk"))
     d = d.withColumn("score", relevance(question, "chunk")).withColumn("words", F.expr(text.word_count("chunk")))
     best = F.sort_array(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct((-F.col("score")).alias("s"), "pos", "chunk", "words"))))
     g = d.groupBy(*by).agg(best.alias("c"), F.first("opening").alias("opening"))
