@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from veridex.operators.ordinals import with_ordinals
+
 #: Bin edges as multiples of a tenth in double precision, which decides where 0.3, 0.6 and 0.7 fall.
 EDGES = [i * 0.1 for i in range(11)]
 
@@ -316,6 +318,17 @@ def asi_pairs(clear: DataFrame, ambiguous: DataFrame, by: Sequence[str]) -> Data
     return j.select(*by, "entry_id", "confidence_sensitivity", "hedge_sensitivity", ((F.col("confidence_sensitivity") + F.col("hedge_sensitivity")) / 2).alias("asi"))
 
 
+def asi_pairs_by_position(clear: DataFrame, ambiguous: DataFrame, by: Sequence[str], order: Sequence[str] = ("entry_id",)) -> DataFrame:
+    """The pairs that come of laying a group's two lists side by side: the first with the first, and so on, kept if
+    both are of one entry. Where one side lacks a row, all pairs behind it are lost.
+
+    Places are counted by partition, so a group of any size is spread out. Rows alike in ``order`` stand in an order
+    that is settled once."""
+    place = "_place"
+    placed = [with_ordinals(df, order, by, place) for df in (clear, ambiguous)]
+    return asi_pairs(*placed, [*by, place]).drop(place)
+
+
 def asi_summary(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     g = pairs.groupBy(*by).agg(
         F.count("*").alias("pairs"), F.avg("asi").alias("mean_asi"), F.stddev_pop("asi").alias("std_asi"), F.min("asi").alias("min_asi"), F.max("asi").alias("max_asi"),
