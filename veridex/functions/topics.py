@@ -94,3 +94,8 @@ def start_urls(gold_url: str, keywords: str, most: int = 15) -> str:
 def subdomains(spark: SparkSession) -> DataFrame:
     """(topic, subdomain)"""
     return spark.createDataFrame([(t, s) for t, v in SUBDOMAINS.items() for s in v], "topic string, subdomain string")
+
+
+def subdomain_places(spark: SparkSession) -> DataFrame:
+    """(topic, subdomain, nth): each topic's subdomains, numbered from 0."""
+    return spark.createDataFrame([(t, s, i) for t, v in SUBDOMAINS.items() for i, s in enumerate(v)], "topic string, subdomain string, nth int")

@@ -94,8 +94,15 @@ def regenerated(dataset: DataFrame, attempts: DataFrame, target: int) -> DataFra
     return d.select("topic", "slot", "retry", F.expr("format_string('%s_%03d', topic, cast(coalesce(_n, 0) + _i AS int))").alias("id"))
 
 
+def progress_lines(built: DataFrame, failed: DataFrame) -> DataFrame:
+    """A run's state, a line for each topic and for each entry that failed, however many."""
+    topics = built.groupBy("topic").agg(F.count("*").alias("n")).select(F.lit("topic").alias("kind"), "topic", "n", *[F.lit(None).cast("string").alias(c) for c in ("entry_id", "timestamp", "error")])
+    return topics.unionByName(failed.select(F.lit("failed").alias("kind"), "topic", F.lit(None).cast("long").alias("n"), "entry_id", "timestamp", "error"))
+
+
 def progress(built: DataFrame, failed: DataFrame) -> DataFrame:
-    """One row as the progress file has it, but for its time: total_generated, topic_progress, failed_entries."""
+    """One row as the progress file of a small run has it, but for its time: total_generated, topic_progress,
+    failed_entries. ``progress_lines`` is for runs of any size."""
     per = built.groupBy("topic").agg(F.count("*").alias("n"))
     done = per.agg(F.lit(1).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_generated"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("topic", "n")))).alias("topic_progress"))
     lost = failed.agg(F.lit(1).alias("l"), F.sort_array(F.collect_list(F.struct("entry_id", "topic", "timestamp", "error"))).alias("failed_entries"))

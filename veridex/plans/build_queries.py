@@ -66,10 +66,10 @@ _HIST = "h AS (SELECT 't' || (conv_id % 5) AS topic, conv_id * 100 + turn AS seq
 
 @query("last_queries", f"WITH {_HIST} SELECT topic, string_agg(query, '|' ORDER BY seq) AS queries FROM last5 GROUP BY topic")
 def _(spark, sf_dir):
-    """Written as the file of histories is, and read back."""
+    """Written as histories are, a line for each query, and read back."""
     path = new_path(spark, "histories")
-    sinks.write_object(histories(spark, sf_dir).groupBy("topic").agg(F.expr("transform(sort_array(collect_list(struct(seq, query))), x -> x.query)").alias("queries")), path, "topic", "queries")
-    return json_files.last_queries(json_files.read_histories(spark, path)).select("topic", F.array_join("queries", "|").alias("queries"))
+    sinks.write_json(histories(spark, sf_dir), path)
+    return json_files.last_queries(json_files.read_history_lines(spark, path)).select("topic", F.array_join("queries", "|").alias("queries"))
 
 
 @query("gold_query", f"""WITH {_HIST}, p AS (SELECT conv_id, 't' || (conv_id % 5) AS topic, turn, regexp_replace({o.strip("CASE turn % 4 WHEN 0 THEN ' \"' || text || ' in May\" ' WHEN 2 THEN '\"' || text || '\"' ELSE text END")}, '^\"+|\"+$', '', 'g') AS q FROM conversations WHERE turn <= 5),
@@ -152,19 +152,42 @@ def _(spark, sf_dir):
     """Written as the progress file is, and read back."""
     lost = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("entry_id"), F.lit("t").alias("topic"), F.lit("").alias("timestamp"), F.lit("x").alias("error"))
     path = new_path(spark, "progress")
-    building.progress(cq._done(spark, sf_dir), lost).write.json(path)
-    p = json_files.read_progress(spark, path)
-    return p.select(F.explode("topic_progress").alias("topic", "n"), "total_generated", F.size("failed_entries").cast("long").alias("n_failed"))
+    sinks.write_json(building.progress_lines(cq._done(spark, sf_dir), lost), path)
+    topics_, failed = json_files.read_progress_lines(spark, path)
+    total, n_failed = topics_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_generated")), failed.agg(F.count("*").alias("n_failed"))
+    return topics_.join(F.broadcast(total)).join(F.broadcast(n_failed))  # one row each
 
 
-@query("scan_subdomain_usage", "SELECT v.topic, v.subdomain AS name, CASE WHEN length(v.subdomain) % 2 = 0 THEN length(v.subdomain) ELSE 0 END AS n FROM (VALUES " + ", ".join(f"('{t}', '{x}')" for t, xs in topics.SUBDOMAINS.items() for x in xs) + ") v(topic, subdomain)")
+_TOPICS = sorted(topics.SUBDOMAINS)
+
+
+def _by_conversation(values: list) -> str:
+    """SQL for one of the values, by the conversation's number."""
+    return f"CASE conv_id % {len(values)} " + " ".join(f"WHEN {i} THEN {o.q(v) if isinstance(v, str) else v}" for i, v in enumerate(values)) + " END"
+
+
+#: What a turn asks about: topics by conversation, a topic's subdomains by turn.
+_ASKS, _SIZE = _by_conversation(_TOPICS), _by_conversation([len(topics.SUBDOMAINS[t]) for t in _TOPICS])
+_DIM = "(VALUES " + ", ".join(f"('{t}', '{x}', {i})" for t in _TOPICS for i, x in enumerate(topics.SUBDOMAINS[t])) + ") v(topic, subdomain, nth)"
+
+
+@query("scan_subdomain_usage", f"WITH u AS (SELECT {_ASKS} AS topic, (turn * 3 + conv_id // 7) % {_SIZE} AS nth, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL) SELECT v.topic, v.subdomain AS name, coalesce(u.n, 0) AS n FROM {_DIM} LEFT JOIN u ON u.topic = v.topic AND u.nth = v.nth")
 def _(spark, sf_dir):
-    """Usage written as its file is; subdomains that it lacks count as unused."""
+    """What the conversations have asked about so far, written as usage is; subdomains that it lacks count as unused."""
     path = new_path(spark, "usage")
-    dim = topics.subdomains(spark)
-    used = dim.where("length(subdomain) % 2 = 0").groupBy("subdomain").agg(F.first(F.length("subdomain").cast("long")).alias("n"))
-    sinks.write_object(used, path, "subdomain", "n")
-    return json_files.usage_of(dim, json_files.read_counts(spark, path)).select("topic", F.col("subdomain").alias("name"), "n")
+    dim = topics.subdomain_places(spark).withColumn("key", F.concat_ws("/", "topic", "subdomain"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.expr(_ASKS).alias("t"), F.expr(f"(turn * 3 + conv_id div 7) % {_SIZE}").alias("i")).groupBy("t", "i").agg(F.count("*").alias("n"))
+    used = asked.join(F.broadcast(dim), (F.col("t") == F.col("topic")) & (F.col("i") == F.col("nth")))
+    sinks.write_json(used.select(F.col("key").alias("name"), "n"), path)
+    counts = json_files.read_json(spark, path, "name string, n bigint", lines=True)
+    return json_files.usage_of(dim, counts, "key").select("topic", F.col("subdomain").alias("name"), "n")
+
+
+@query("subdomain_dim", f"SELECT DISTINCT conv_id, {_ASKS} AS topic, {_SIZE}::BIGINT AS n FROM conversations")
+def _(spark, sf_dir):
+    """The topic of each conversation, and how many subdomains it has."""
+    dim = topics.subdomains(spark).groupBy(F.col("topic").alias("t")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.expr(_ASKS).alias("topic")).distinct().join(F.broadcast(dim), F.col("topic") == F.col("t")).select("conv_id", "topic", "n")
 
 
 @query("topic_trust", "SELECT DISTINCT regexp_replace(" + o.net("url") + ", '^[^.]*[.]', '') AS domain, CASE page_id % 3 WHEN 0 THEN 'reliable' ELSE 'misleading' END AS trust FROM pages WHERE page_id % 10 = 3 AND page_id % 3 < 2")
@@ -310,9 +333,8 @@ def _(spark, sf_dir):
     """New queries behind a topic's old ones; the file is written over."""
     new = spark.createDataFrame([("t1", 1, "a"), ("t1", 2, "b"), ("t2", 1, "c"), ("t2", 3, "d")], "topic string, entry int, query string")
     path = new_path(spark, "history")
-    every = building.with_queries(histories(spark, sf_dir), new)
-    sinks.write_object(every.groupBy("topic").agg(F.expr("transform(sort_array(collect_list(struct(seq, query))), x -> x.query)").alias("q")), path, "topic", "q")
-    return json_files.read_histories(spark, path).groupBy("topic").agg(F.count("*").alias("n"))
+    sinks.write_json(building.with_queries(histories(spark, sf_dir), new), path)
+    return json_files.read_history_lines(spark, path).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @query("first_chunk")

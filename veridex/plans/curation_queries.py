@@ -54,11 +54,17 @@ def _(spark, sf_dir):
     return c.trust_lists(trust(spark, sf_dir)).groupBy("trust").agg(F.countDistinct("domain").alias("n"))
 
 
-@query("domain_classify", f"""SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM tl WHERE trust = 'reliable' AND (h = domain OR ends_with(h, '.' || domain))) OR contains(h, '.edu') OR contains(h, '.gov') THEN 'reliable' ELSE 'unreliable' END AS trust
-    FROM (SELECT page_id, replace(lower({o.net('url')}), 'www.', '') AS h FROM pages)""")
+#: A host of four labels and more stands on a list without its first, others as they are.
+_LISTED = "CASE WHEN {m}({h}, '^([^.]+[.]){{3,}}[^.]+$') THEN regexp_replace({h}, '^[^.]*[.]', '') ELSE {h} END"
+
+
+@query("domain_classify", f"""SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM own WHERE h = domain OR ends_with(h, '.' || domain)) OR contains(h, '.edu') OR contains(h, '.gov') THEN 'reliable' ELSE 'unreliable' END AS trust
+    FROM (SELECT page_id, replace(lower({o.net('url')}), 'www.', '') AS h FROM pages)""".replace("FROM own", f"FROM (SELECT DISTINCT {_LISTED.format(m='regexp_matches', h=o.net('url'))} AS domain FROM pages WHERE page_id % 3 = 0) own"))
 def _(spark, sf_dir):
+    """Every third page's host is on the list, or what it is below; the others are on it if they are below one, too."""
     p = table(spark, sf_dir, "pages").select("page_id", F.expr(retrieval.netloc("url")).alias("domain"))
-    return c.classify_domains(p, c.trust_lists(trust(spark, sf_dir))).select("page_id", "trust")
+    listed = p.select(F.expr(_LISTED.format(m="regexp_like", h="domain")).alias("domain"), F.expr("if(page_id % 3 = 0, 'reliable', 'misleading')").alias("trust")).distinct()
+    return c.classify_domains(p, listed).select("page_id", "trust")
 
 
 @query("url_dedupe", "SELECT entry, url, min(doc_id) AS doc_id FROM cand WHERE score >= 0.25 GROUP BY entry, url")
@@ -183,6 +189,6 @@ def _(spark, sf_dir):
     return d.where("category = 'unknown'").join(used, (F.col("entry") == F.col("e")) & (F.col("url") == F.col("u")), "left_anti").select("doc_id")
 
 
-@query("collection_complete", "SELECT entry, (count(*) FILTER (category = 'reliable') >= 6 AND count(*) FILTER (category = 'unreliable') >= 5) OR count(*) FILTER (category <> 'unknown') >= 200 AS complete FROM cand GROUP BY entry")
+@query("collection_complete", "SELECT entry, (count(*) FILTER (category = 'reliable') >= 6 AND count(*) FILTER (category = 'unreliable') >= 5) OR count(*) FILTER (category <> 'unknown') >= 200 AS complete FROM cand WHERE score >= 0.6 GROUP BY entry")
 def _(spark, sf_dir):
-    return candidates(spark, sf_dir).groupBy("entry").agg(F.expr("count_if(category = 'reliable') >= 6 AND count_if(category = 'unreliable') >= 5 OR count_if(category <> 'unknown') >= 200").alias("complete"))
+    return candidates(spark, sf_dir).where("score >= 0.6").groupBy("entry").agg(F.expr("count_if(category = 'reliable') >= 6 AND count_if(category = 'unreliable') >= 5 OR count_if(category <> 'unknown') >= 200").alias("complete"))

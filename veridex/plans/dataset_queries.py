@@ -132,11 +132,6 @@ def _(spark, sf_dir):
     return answered(spark, sf_dir).withColumn("topic", F.expr(_TOPIC)).select("entry_id", F.array_join(F.expr(topics.communities("topic")), " ").alias("communities"))
 
 
-@query("subdomain_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(v)}::BIGINT)" for t, v in topics.SUBDOMAINS.items()) + ") v(topic, n)")
-def _(spark, sf_dir):
-    return topics.subdomains(spark).groupBy("topic").agg(F.count("*").alias("n"))
-
-
 _W = "regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+')"
 _STOP = o.arr(QUESTION_STOP_WORDS)
 
@@ -180,7 +175,10 @@ def _(spark, sf_dir):
 
 @query("categorize_source")
 def _(spark, sf_dir):
-    d = _relevance(_candidates(spark, sf_dir))
+    """Half of the sources speak of health, in words that tell a good source from a bad one."""
+    hint = "CASE doc_id % 4 WHEN 0 THEN 'vitamin treatment of health, a clinical trial in medical research. ' WHEN 1 THEN 'health treatment, a miracle cure and a shocking truth. ' ELSE '' END"
+    asked = _candidates(spark, sf_dir).withColumn("question", F.lit("Does vitamin treatment help health?")).withColumn("text", F.expr(f"concat(repeat({hint}, 4), text)"))
+    d = _relevance(asked.withColumn("title", F.expr("if(doc_id % 4 < 2, 'Vitamin treatment of health', title)")))
     return d.select("entry_id", "doc_id", F.expr(pages.category("domain", "content", "relevance", ["example.org"], ["spam-farm.example.com"], INDICATORS, TOPIC_WORDS)).alias("category"))
 
 

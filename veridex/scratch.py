@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written since a scope began, innermost last.
-_scopes: list[list[str]] = []
+#: Paths written since the scopes now open began, innermost last; each thread and task has scopes of its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,8 +30,8 @@ def folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
     """keep: for what is a result itself, which no scope removes."""
     path = f"{folder(spark)}/veridex/{tag}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes.get() and not keep:
+        _scopes.get()[-1].append(path)
     return path
 
 
@@ -60,11 +61,13 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside are removed at the end: write what is to stay before it, to a path of your own."""
-    _scopes.append([])
+    own: list[str] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in own:
             remove(spark, path)
 
 

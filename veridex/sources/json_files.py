@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 SOURCE = "struct<url: string, domain: string, category: string, title: string, text: string, timestamp: string, score: string>"
 ENTRY = (
@@ -71,7 +72,23 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("topic", F.posexplode("queries").alias("seq", "query"))
 
 
+def read_history_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, seq, query) from a line for each query, as ``sinks.write_json`` leaves histories."""
+    return read_json(spark, path, "topic string, seq int, query string", lines=True)
+
+
 def last_queries(histories: DataFrame, n: int = 5) -> DataFrame:
-    """(topic, queries): the last n of each topic. Spark's slice is empty when it begins before the array."""
-    every = histories.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("seq", "query"))).alias("q"))
-    return every.select("topic", F.expr(f"transform(slice(q, greatest(size(q) - {n - 1}, 1), {n}), x -> x.query)").alias("queries"))
+    """(topic, queries): the last n of each topic. All others are left before a topic's queries meet."""
+    last = histories.withColumn("_n", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("seq"), "query"))).where(f"_n <= {n}")
+    every = last.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("seq", "query"))).alias("q"))
+    return every.select("topic", F.col("q.query").alias("queries"))
+
+
+#: A run's state in lines: what each topic has (kind topic), and each entry that failed (kind failed).
+PROGRESS_LINE = "kind string, topic string, n bigint, entry_id string, timestamp string, error string"
+
+
+def read_progress_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(topic, n) of what is built and (entry_id, topic, timestamp, error) of what failed."""
+    d = read_json(spark, path, PROGRESS_LINE, lines=True)
+    return d.where("kind = 'topic'").select("topic", "n"), d.where("kind = 'failed'").select("entry_id", "topic", "timestamp", "error")
