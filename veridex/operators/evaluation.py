@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions import answers, retrieval, text
+from veridex.functions import answers, retrieval, terms, text
 from veridex.operators import curation
 from veridex.operators import metrics as m
 from veridex.scratch import cut
+from veridex.shipping import ship
 from veridex.sources.connectors import replay
 
 KEYS = ["model", "id", "set_type"]
@@ -92,12 +93,13 @@ def _feature_rows(d: DataFrame, by: Sequence[str]) -> DataFrame:
     p, e = text.first_filled("prediction_text"), text.first_filled("prediction_explanation")
     both = f"concat({p}, ' ', {e})"
     r = lambda f: f("retrieved_docs", "relevant_docs")
+    ship(d.sparkSession)
     d = d.select(
         *by, "entry_id", "set_type", "confidence", "accuracy", "overlap", "_a.*", "_h.*", F.col("_g.score").alias("grounding"), F.col("_g.coverage").alias("grounding_coverage"),
         F.col("_g.consistency").alias("grounding_consistency"), F.col("_g.relevance").alias("relevance"),
         F.expr(r(retrieval.recall)).alias("recall"), F.expr(r(retrieval.precision)).alias("precision"), F.expr(retrieval.quality("retrieved_docs")).alias("quality"),
         F.expr(retrieval.diversity("retrieved_docs")).alias("diversity"), F.expr(r(retrieval.difficulty)).alias("difficulty"),
-        F.expr(text.term_count(both, text.HEDGE_TERMS)).alias("hedges"), F.expr(text.word_count(both)).alias("words"), F.expr(text.term_count(both, text.CONFIDENT_TERMS)).alias("confident_terms"),
+        terms.term_count(F.expr(both), text.HEDGE_TERMS).alias("hedges"), F.expr(text.word_count(both)).alias("words"), F.expr(text.term_count(both, text.CONFIDENT_TERMS)).alias("confident_terms"),
         "is_refusal", F.expr(text.is_refusal(both)).alias("refuses"),
     )
     d = d.withColumn("f1", F.expr(retrieval.f1("precision", "recall")))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.functions import answers, retrieval, text
+from veridex.functions import answers, retrieval, terms, text
+from veridex.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +69,13 @@ def features(df: DataFrame, hedge_terms=text.HEDGE_TERMS) -> DataFrame:
     e = text.first_filled("prediction_explanation")
     both = f"concat({p}, ' ', {e})"
     r = lambda f: f("retrieved_docs", "relevant_docs")
+    ship(df.sparkSession)
     return df.select(
         "model", "entry_id", "set_type", "confidence", "accuracy",
         F.expr(r(retrieval.recall)).alias("recall"), F.expr(r(retrieval.precision)).alias("precision"),
         F.expr(retrieval.quality("retrieved_docs")).alias("quality"), F.expr(retrieval.diversity("retrieved_docs")).alias("diversity"),
         F.expr(r(retrieval.difficulty)).alias("difficulty"), F.expr(retrieval.uncertainty("retrieved_docs")).alias("uncertainty"),
-        F.expr(text.term_count(both, hedge_terms)).alias("hedges"), F.expr(text.word_count(both)).alias("words"),
+        terms.term_count(F.expr(both), hedge_terms).alias("hedges"), F.expr(text.word_count(both)).alias("words"),
         F.expr(text.term_count(both, text.CONFIDENT_TERMS)).alias("confident_terms"),
         F.expr(text.is_refusal("prediction_text")).alias("is_refusal"), F.expr(text.is_refusal(both)).alias("refuses"),
     ).withColumn("f1", F.expr(retrieval.f1("precision", "recall")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.functions import text
+from veridex.functions import terms, text
 from veridex.operators import metrics as m
 from veridex.operators.curation import few
 from veridex.plans.binding import answered, features, results, table
@@ -32,10 +32,11 @@ def _other(spark: SparkSession, sf_dir: str) -> DataFrame:
     their texts meet nothing but the list of these."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.count()
+    ship(spark)
     a = answered(spark, sf_dir).select("model", "entry_id", "conv_id", "turn", (F.col("entry_id") % n).alias("doc"))
     needed = few(a.select(F.col("doc").alias("needed")).distinct(), 16)
     d = docs.join(needed, F.col("doc_id") == F.col("needed"), "left_semi")
-    d = d.select("doc_id", F.expr(text.term_count("text", text.HEDGE_TERMS)).alias("hedges"), F.expr(text.word_count("text")).alias("words"), F.expr(text.is_refusal("text")).alias("refuses"))
+    d = d.select("doc_id", terms.term_count(F.col("text"), text.HEDGE_TERMS).alias("hedges"), F.expr(text.word_count("text")).alias("words"), F.expr(text.is_refusal("text")).alias("refuses"))
     other = a.join(d, F.col("doc") == F.col("doc_id"))
     return other.select("model", "entry_id", F.expr("((conv_id * 37 + (turn + 1) * 11) % 101) / cast(100.0 AS double)").alias("confidence"), "hedges", "words", "refuses")
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.functions import answers, generation, pages, retrieval, text
+from veridex.functions import answers, generation, pages, retrieval, terms, text
 from veridex.plans import oracles as o
 from veridex.plans.binding import answered, log_probs, responses, results, table
+from veridex.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +149,16 @@ TEXT_ROWS = {
 for _name, (_s, _k) in TEXT_ROWS.items():
     add(_name, _s, _k, answered, "answered")
 
+
+def _hedged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, hedges, words) of each answer, in one scan of its text for all terms."""
+    ship(spark)
+    return answered(spark, sf_dir).select("entry_id", terms.term_count(F.expr(P), text.HEDGE_TERMS).alias("hedges"), F.expr(text.word_count(P)).alias("words"))
+
+
+QUERIES["hedge_count"] = lambda spark, sf_dir: _hedged(spark, sf_dir).select("entry_id", F.col("hedges").cast("long").alias("value"))
+QUERIES["hedge_density"] = lambda spark, sf_dir: _hedged(spark, sf_dir).select("entry_id", F.expr("round(cast(hedges AS double) / greatest(words, 1), 6)").alias("value"))
+
 _BLOCK = "array_to_string(list_transform(retrieved_docs, lambda s, i: 'Source ' || i || ':' || chr(10) || 'Title: ' || s.title || chr(10) || 'URL: ' || s.url || chr(10) || 'Date: Unknown' || chr(10) || 'Text: ' || s.text || chr(10) || chr(10)), '')"
 _ASK = f"CASE WHEN model LIKE 'gpt%' OR model LIKE 'mistral%' OR model LIKE 'llama%' THEN {o.q(answers.ASK_ANSWER)} ELSE {o.q(answers.ASK_CONFIDENCE)} END"
 DOC_ROWS = {
