@@ -8,9 +8,11 @@
    neighbours of the longest common prefix, at whatever depth its region has.
 3. Candidates are confirmed on their full sets; components follow by label propagation.
 4. All trees are then cut at depth ``least``. Only regions in which components still differ matter. In
-   each, of whatever size, the classes outside its largest component meet all of other components, blocks
-   of rows against blocks, dealt out by runs of ``RUN_BLOCKS`` blocks.
-   Each class has the counts of its shingles by 256 buckets; the sum of the counts' differences is a lower
+   each, the classes outside its largest component meet all of other components, blocks of rows against blocks,
+   dealt out by runs of ``RUN_BLOCKS`` blocks. Where these were more than ``MOST_PAIRS`` comparisons, as among the
+   pages of a template, the region's classes are joined by their rarest shingles instead, of which two sets that
+   are similar enough share one for certain, so what all pages have in common brings up no pair.
+   In the other regions each class has the counts of its shingles by 256 buckets; the sum of the counts' differences is a lower
    bound of how many shingles are in one set alone, so a pair above what the similarity allows cannot
    be a link, and is not brought up. The others are confirmed, and the components merged.
 
@@ -45,6 +47,8 @@ SLICE_ROWS = 1024
 #: Buckets of the counts that bound differences, rows of a region that are compared at once, and blocks of
 #: the classes outside a region's largest component that meet the region in one task.
 BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
+#: Comparisons in a region beyond which its classes are joined by their rarest shingles instead.
+MOST_PAIRS = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -276,15 +280,47 @@ def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shing
     return regions.join(where, F.col("fp") == F.col("u")).join(counts, F.col("fp") == F.col("v")).drop("u", "v")
 
 
-def _across(regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a region and that the bucket counts allow: those outside
-    a region's largest component with all others."""
-    regions = cut(regions, "mixed")
+def _sized(regions: DataFrame) -> DataFrame:
+    """The regions' rows with their region's largest component (major), rows, and rows outside that component."""
     sizes = regions.groupBy("region", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("rows"))
     sizes = sizes.select(F.col("region").alias("m"), F.col("most.comp").alias("major"), "rows", (F.col("rows") - F.col("most.k")).alias("outside"))
-    sizes = sizes.withColumn("runs", F.expr(f"1 + outside div {BLOCK_ROWS * RUN_BLOCKS}"))
-    r = regions.join(sizes, F.col("region") == F.col("m"))
+    return regions.join(sizes, F.col("region") == F.col("m")).drop("m")
+
+
+def _by_rare_shingles(docs: DataFrame, members: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """Pairs of different components among members (fp, rep, n, comp) that can be similar enough: those that share
+    one of their rarest shingles.
+
+    Of two sets as similar as that, each has one of the shingles that both share among its n - ceil(n * percent / 100) + 1
+    first ones, in any order that is the same for both. Here the rarest come first, as counted among the members, so
+    what a template brings to all its pages meets nothing."""
+    members = cut(members.dropDuplicates(["fp"]), "members-of-large")
+    texts = _texts(docs, members.select(F.col("rep").alias("i")), key, text)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(i, SLICE_ROWS)
+                # of rows with one key, only the class's own
+                kept = [(fp, x.view(np.int64)) for x, fp in zip(shingle_sets(rows.column(1), shingle), rows.column(0).to_pylist(), strict=True) if digest(x) == fp]
+                yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in kept], pa.binary()), pa.array([x for _, x in kept], pa.list_(pa.int64()))], names=["v", "hs"])
+
+    spelled = members.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(tidy(spell), "v binary, hs array<long>").dropDuplicates(["v"])
+    each = cut(spelled.select("v", F.explode("hs").alias("h")), "shingles")
+    often = each.groupBy("h").agg(F.count("*").alias("often")).withColumnRenamed("h", "o")
+    first = each.join(often, F.col("h") == F.col("o")).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
+    first = first.select("v", F.explode(F.expr(f"slice(hs, 1, size(hs) - cast(ceil(size(hs) * {percent}L / 100.0D) AS int) + 1)")).alias("s")).select("v", "s.h")
+    first = cut(first.join(members, F.col("v") == F.col("fp")).select("h", "fp", "rep", "n", "comp"), "prefixes")
+    other = first.select(F.col("h").alias("g"), F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("other"))
+    pairs = first.join(other, (F.col("h") == F.col("g")) & (F.col("fp") < F.col("fb")) & (F.col("comp") != F.col("other")))
+    return pairs.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").cast("long").alias("an"), "b", "fb", F.col("bn").cast("long").alias("bn")).distinct()
+
+
+def _across(r: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a region and that the bucket counts allow: those outside
+    a region's largest component with all others."""
+    r = cut(r, "mixed").withColumn("runs", F.expr(f"1 + outside div {BLOCK_ROWS * RUN_BLOCKS}"))
     block = lambda df, n, p: df.withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + {n} div {BLOCK_ROWS})")).groupBy("region", "runs", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", "own", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
     x = block(r.where("comp <> major"), "outside", "x").select("region", F.expr("pmod(block, runs)").alias("run"), "x")
     y = block(r, "rows", "y").select(F.col("region").alias("ry"), "y", F.explode(F.expr("sequence(0L, runs - 1)")).alias("turn"))
@@ -337,7 +373,12 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, percent
     placed = classes.join(labels, F.col("rep") == F.col("id"), "left").select("fp", "rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
     regions = _regions(cut(placed, "placed"), trees, depth, least)
     if regions is not None:
-        pairs = _ordered(_across(_with_counts(docs, regions, key, text, shingle), percent), percent)
+        sized = cut(_sized(regions), "sized")
+        small, large = sized.where(f"outside * rows <= {MOST_PAIRS}"), sized.where(f"outside * rows > {MOST_PAIRS}")
+        pairs = _across(_with_counts(docs, small, key, text, shingle), percent)
+        if not large.isEmpty():
+            pairs = pairs.union(_by_rare_shingles(docs, large.select("fp", "rep", "n", "comp"), key, text, shingle, percent))
+        pairs = _ordered(pairs, percent)
         more = cut(_confirmed(docs, pairs, key, text, shingle, percent), "links-2")
         if not more.isEmpty():
             labels = merged(labels, more)
