@@ -48,7 +48,9 @@ SLICE_ROWS = 1024
 #: the classes outside a region's largest component that meet the region in one task.
 BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
 #: Comparisons in a region beyond which its classes are joined by their rarest shingles instead.
-MOST_PAIRS = 1 << 20
+MOST_PAIRS = 1 << 22
+#: Buckets of hashes by which rare shingles are told from others.
+RARITY = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -293,28 +295,53 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame, key: str, text: str,
     one of their rarest shingles.
 
     Of two sets as similar as that, each has one of the shingles that both share among its n - ceil(n * percent / 100) + 1
-    first ones, in any order that is the same for both. Here the rarest come first, as counted among the members, so
-    what a template brings to all its pages meets nothing."""
-    members = cut(members.dropDuplicates(["fp"]), "members-of-large")
+    first ones, in any order that is the same for both. Here the rarest come first, as counted among the members in
+    ``RARITY`` buckets of hashes, so what a template brings to all its pages meets nothing. The counts, which are of
+    one size whatever the members, are broadcast; what is shuffled are the first shingles alone."""
+    spark, members = docs.sparkSession, cut(members.dropDuplicates(["fp"]), "members-of-large")
     texts = _texts(docs, members.select(F.col("rep").alias("i")), key, text)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(i, SLICE_ROWS)
+                sets = shingle_sets(rows.column(4), shingle)
                 # of rows with one key, only the class's own
-                kept = [(fp, x.view(np.int64)) for x, fp in zip(shingle_sets(rows.column(1), shingle), rows.column(0).to_pylist(), strict=True) if digest(x) == fp]
-                yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in kept], pa.binary()), pa.array([x for _, x in kept], pa.list_(pa.int64()))], names=["v", "hs"])
-
-    spelled = members.join(texts, F.col("rep") == F.col("id")).select("fp", "text").mapInArrow(tidy(spell), "v binary, hs array<long>").dropDuplicates(["v"])
-    each = cut(spelled.select("v", F.explode("hs").alias("h")), "shingles")
-    often = each.groupBy("h").agg(F.count("*").alias("often")).withColumnRenamed("h", "o")
-    first = each.join(often, F.col("h") == F.col("o")).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
-    first = first.select("v", F.explode(F.expr(f"slice(hs, 1, size(hs) - cast(ceil(size(hs) * {percent}L / 100.0D) AS int) + 1)")).alias("s")).select("v", "s.h")
-    first = cut(first.join(members, F.col("v") == F.col("fp")).select("h", "fp", "rep", "n", "comp"), "prefixes")
-    other = first.select(F.col("h").alias("g"), F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("other"))
-    pairs = first.join(other, (F.col("h") == F.col("g")) & (F.col("fp") < F.col("fb")) & (F.col("comp") != F.col("other")))
-    return pairs.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("n").cast("long").alias("an"), "b", "fb", F.col("bn").cast("long").alias("bn")).distinct()
+                own = [k for k, (x, fp) in enumerate(zip(sets, rows.column(0).to_pylist(), strict=True)) if digest(x) == fp]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own, pa.int64())) for c in rows.columns[:4]), pa.array([sets[k].view(np.int64) for k in own], pa.list_(pa.int64()))], names=["fp", "rep", "n", "comp", "hs"])
+
+    spelled = members.join(texts, F.col("rep") == F.col("id")).select("fp", "rep", "n", "comp", "text")
+    spelled = cut(spelled.mapInArrow(tidy(spell), "fp binary, rep long, n int, comp long, hs array<long>"), "spelled")
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RARITY, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy() & (RARITY - 1), minlength=RARITY)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    counted = spelled.select("hs").mapInArrow(often, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(RARITY, dtype=np.int64)
+    counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            kept = []
+            for hs in batch.column(2):
+                h = hs.values.to_numpy()
+                order = np.lexsort((h, rarity[h & (RARITY - 1)]))
+                kept.append(h[order[: len(h) - -(-len(h) * percent // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int64()))], names=["rep", "comp", "hs"])
+
+    prefixes = spelled.select("rep", "comp", "hs").mapInArrow(tidy(first), "rep long, comp long, hs array<long>")
+    prefixes = cut(prefixes.select("rep", "comp", F.explode("hs").alias("h")), "prefixes")
+    shared.destroy()
+    other = prefixes.select(F.col("h").alias("g"), F.col("rep").alias("b"), F.col("comp").alias("other"))
+    pairs = cut(prefixes.join(other, (F.col("h") == F.col("g")) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("other"))).select(F.col("rep").alias("a"), "b").distinct(), "by-rare")
+    named = lambda x: members.select(F.col("rep").alias(f"{x}r"), F.col("fp").alias(f"f{x}"), F.col("n").cast("long").alias(f"{x}n"))
+    return pairs.join(named("a"), F.col("a") == F.col("ar")).join(named("b"), F.col("b") == F.col("br")).select("a", "fa", "an", "b", "fb", "bn")
 
 
 def _across(r: DataFrame, percent: int) -> DataFrame:
