@@ -136,7 +136,9 @@ def test_isotonic(spark):
     assert set(e) == {"a", "b", "c"} and all(r["calibrated_ece"] <= r["ece"] and r["improvement"] == pytest.approx(r["ece"] - r["calibrated_ece"]) for r in e.values())
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("few", [metrics.FEW_VALUES, 0])
+def test_percentiles(spark, monkeypatch, few):
+    monkeypatch.setattr(metrics, "FEW_VALUES", few)
     rng = random.Random(2)
     data = {"many": [rng.gauss(0, 1) ** 3 for _ in range(3001)], "few": [0.5] * 50 + [0.25] * 3, "one": [7.0], "two": [1.0, 2.0]}
     d = spark.createDataFrame([(g, x) for g, v in data.items() for x in v] + [("few", None), ("nan", math.nan)], "g string, x double")

@@ -27,7 +27,7 @@ ENOUGH, LEAST_TITLE = 200, 6
 CONTENT_CLASSES, CONTENT_IDS, HEADLINES = ("content", "article", "post"), ("content", "article", "main"), ("title", "headline")
 NO_TITLE = "No Title Found"
 
-_NAMES = ("script", "style", "nav", "header", "footer", "aside", "form", "main", "p", "title", "h1", "h2", "a", "first_article", "content_class", "content_id", "headline_class", "headline_id")
+_NAMES = ("script", "style", "nav", "header", "footer", "aside", "form", "main", "p", "title", "h1", "h2", "a", "beside", "first_article", "content_class", "content_id", "headline_class", "headline_id")
 BIT = {name: 1 << i for i, name in enumerate(_NAMES)}
 
 
@@ -45,7 +45,7 @@ CASCADE = [
 PARAGRAPHS, VISIBLE = ("paragraphs", _bits("p"), _bits("script", "style")), ("visible", 0, _bits("script", "style", "nav"))
 TITLES = ("title", "h1", "h2", "headline_class", "headline_id")
 #: What is never a page's main area.
-FRAME = _bits("script", "style", "nav", "header", "footer", "aside", "form")
+FRAME = _bits("script", "style", "nav", "header", "footer", "aside", "form", "beside")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("article blockquote body dd div dl dt fieldset figure form h1 h2 h3 h4 h5 h6 header footer li main nav ol p pre section table td th tr ul aside".split())
@@ -54,6 +54,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 HOLDERS = frozenset("article blockquote body div dl fieldset form main nav ol section table td th ul aside header footer".split())
 #: Names in classes and ids that speak for a block, or against it.
 FOR, AGAINST, NAMED = ("content", "article", "post", "body", "entry", "text", "main"), ("comment", "sidebar", "footer", "menu", "promo", "related", "share", "sponsor", "widget", "advert", "banner", "cookie"), 25.0
+ADS = frozenset(("ad", "ads"))
 PARAGRAPH_CHARS = 25
 
 
@@ -125,7 +126,10 @@ class Page(HTMLParser):
         block = parent[2]
         if tag in BLOCKS:
             named = f"{kind} {name}".lower()
-            self.blocks.append(Block(block, NAMED * (any(w in named for w in FOR) - any(w in named for w in AGAINST))))
+            good, bad = any(w in named for w in FOR), any(w in named for w in AGAINST) or not ADS.isdisjoint(named.split())
+            self.blocks.append(Block(block, NAMED * (good - bad)))
+            # what stands beside the content, unless it may well hold it
+            bits |= BIT["beside"] if bad and not good and tag not in ("body", "main", "article") else 0
             block = len(self.blocks) - 1
         self.open.append([tag, bits, block, 0])
         self.held[tag] += 1

@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from veridex.operators.ordinals import with_ordinals
+from veridex.scratch import cut
 
 #: Bin edges as multiples of a tenth in double precision, which decides where 0.3, 0.6 and 0.7 fall.
 EDGES = [i * 0.1 for i in range(11)]
@@ -26,6 +27,8 @@ EDGES = [i * 0.1 for i in range(11)]
 SCORED = "coalesce(NOT isnan(accuracy) AND abs(accuracy) <> double('Infinity') AND NOT isnan(confidence) AND abs(confidence) <> double('Infinity'), false)"
 #: Slices of a group's range in which percentiles are looked for, and those in which an isotonic fit begins.
 SLICES, FIT_SLICES = 1024, 64
+#: Different values over all groups that are put in order without slices.
+FEW_VALUES = 1 << 16
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -56,22 +59,35 @@ def _left(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
     return _same_group(df, other, by, "left")
 
 
+def _few_ranks(counts: DataFrame, span: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, _v, _r: the values at the ranks that are wanted."""
+    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = _with(counts, span.select(*by, "_ranks"), by).withColumn("_end", F.sum("_n").over(upto))
+    return c.select(*by, "_v", F.explode(F.expr("filter(_ranks, r -> r < _end AND r >= _end - _n)")).alias("_r"))
+
+
+def _sliced_ranks(counts: DataFrame, span: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same, of any number of values."""
+    c = _with(counts, span, by).withColumn("_s", F.expr(f"cast(coalesce(least({SLICES - 1}, floor(try_divide(_v - _lo, _hi - _lo) * {SLICES})), 0) AS int)"))
+    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = c.groupBy(*by, "_s").agg(F.sum("_n").alias("_m"), F.first("_ranks").alias("_want")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    slices = slices.withColumn("_want", F.expr("filter(_want, r -> r >= _before AND r < _before + _m)")).where("size(_want) > 0").select(*by, F.col("_s").alias("_slice"), "_before", "_want")
+    hit = _with(c.select(*by, "_s", "_v", "_n"), slices, by).where("_s = _slice")
+    upto = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return hit.withColumn("_end", F.col("_before") + F.sum("_n").over(upto)).select(*by, "_v", F.explode(F.expr("filter(_want, r -> r < _end AND r >= _end - _n)")).alias("_r"))
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """by and a column for each share: exact percentiles, interpolated between neighbours.
 
     Values are counted first. A group's range is cut into slices; only the slices that hold a rank that is
-    wanted are sorted, so no task has a whole group."""
+    wanted are sorted, so no task has a whole group. Up to ``FEW_VALUES`` different values in all need no slices."""
     counts = df.where(f"{value} IS NOT NULL AND NOT isnan({value})").groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = cut(counts, "counts")
     span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
     ranks = ", ".join(f"cast(floor({p}D * (_all - 1)) AS bigint), cast(ceil({p}D * (_all - 1)) AS bigint)" for p in shares.values())
     span = span.withColumn("_ranks", F.expr(f"array_sort(array_distinct(array({ranks})))"))
-    c = _with(counts, span, by).withColumn("_s", F.expr(f"cast(coalesce(least({SLICES - 1}, floor(try_divide(_v - _lo, _hi - _lo) * {SLICES})), 0) AS int)"))
-    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    slices = c.groupBy(*by, "_s").agg(F.sum("_n").alias("_m"), F.first("_ranks").alias("_want")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    slices = slices.withColumn("_want", F.expr("filter(_want, r -> r >= _before AND r < _before + _m)")).where("size(_want) > 0").select(*by, F.col("_s").alias("_slice"), "_before", "_want")
-    hit = _with(c.select(*by, "_s", "_v", "_n"), slices, by).where("_s = _slice")
-    upto = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = hit.withColumn("_end", F.col("_before") + F.sum("_n").over(upto)).select(*by, "_v", F.explode(F.expr("filter(_want, r -> r < _end AND r >= _end - _n)")).alias("_r"))
+    hit = _few_ranks(counts, span, by) if counts.count() <= FEW_VALUES else _sliced_ranks(counts, span, by)
     at = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
     out = _with(span.select(*by, "_all"), at, by)
     place = lambda p: f"({p}D * (_all - 1))"

@@ -39,8 +39,10 @@ def pages(spark, sf_dir) -> DataFrame:
     return d.select("page_id", "url", F.expr(f"if(page_id % 4 = 1, regexp_replace({html}, '<title>[^<]*</title>', '<title>x</title>'), {html})").alias("html"))
 
 
-_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
-_TITLE = "trim(replace(replace(regexp_extract(html, '{0}', 1), '&quot;', '\"'), '&amp;', '&'))"
+#: SQL for a text's few entities, some of them cut short before their semicolon.
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
+_CLEAN = "trim(regexp_replace(" + _PLAIN.format("regexp_replace({0}, '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+_TITLE = "trim(" + _PLAIN.format("regexp_extract(html, '{0}', 1)") + ")"
 
 
 @query("page_content", f"""
@@ -68,9 +70,12 @@ def _(spark, sf_dir):
 
 
 @query("page_main_area", f"""
-    SELECT page_id, md5({_CLEAN.format("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")}) AS text_md5 FROM pages""")
+    WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+    c AS (SELECT page_id, {_CLEAN.format('body')} AS every, list_max(list_transform(string_split(regexp_replace(body, '</?(h1|p)>', chr(1), 'g'), chr(1)), lambda x: length({_CLEAN.format('x')}))) AS longest FROM b)
+    SELECT page_id, md5(CASE WHEN longest >= 25 THEN every ELSE '' END) AS text_md5 FROM c""")
 def _(spark, sf_dir):
-    """Each page's main area, whatever its elements are called."""
+    """Each page's main area, whatever its elements are called: the article, or nothing where it has no
+    paragraph."""
     ship(spark)
     return pages(spark, sf_dir).select("page_id", F.md5(content.page_parts_udf(F.col("html"))["main_text"]).alias("text_md5"))
 
