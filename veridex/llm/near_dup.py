@@ -48,7 +48,7 @@ SLICE_ROWS = 1024
 #: the classes outside a region's largest component that meet the region in one task.
 BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
 #: Comparisons in a region beyond which its classes are joined by their rarest shingles instead.
-MOST_PAIRS = 1 << 22
+MOST_PAIRS = 1 << 26
 #: Buckets of hashes by which rare shingles are told from others.
 RARITY = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
