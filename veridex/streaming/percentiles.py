@@ -5,6 +5,10 @@ stream doesn't grow with it. Sketches of hours merge into those of days with the
 sketch is a value of the window whose rank is off by at most ``rank_error(k)`` of all rows, in 99 of 100 cases; up to
 ``k`` rows nothing is dropped and percentiles are exact.
 
+Where percentiles must be exact however many rows a window has, ``counted`` writes each batch's counts of values, once;
+``exact_percentiles`` adds them up and looks for the ranks in slices of a window's range. What it keeps grows with the
+different values of a window, on files and not in the stream's state.
+
 Rows without a value, and those whose value isn't finite, don't count. Rows later than the watermark are dropped with
 their window.
 """
@@ -15,8 +19,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from veridex.operators.metrics import scored
+from veridex.operators.metrics import ranks_of, scored
+from veridex.streaming.once import OnceSink, write_once
 
 K, STEPS = 200, 1000
 
@@ -26,10 +33,14 @@ def rank_error(k: int = K) -> float:
     return 2.296 / k**0.9723
 
 
+def _is_number(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def windowed(rows: DataFrame, value: str, by: Sequence[str] = (), time: str = "ts", window: str = "1 hour", late: str = "2 hours", k: int = K) -> DataFrame:
     """(window, by, n, sketch) of each window's values."""
     x = F.col(value).cast("double")
-    d = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    d = rows.where(_is_number(x)).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return d.groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
 
 
@@ -71,3 +82,32 @@ def overconfidence(windows: DataFrame) -> DataFrame:
     # whole rows, where there are fewer than steps
     above = F.when(F.col("wrong") > 0, F.round(share_above("wrong_sketch", "p75") * F.col("wrong"))).otherwise(0.0)
     return d.withColumn("confident_wrong_rate", above / F.col("n"))
+
+
+def value_counts(rows: DataFrame, value: str, by: Sequence[str] = (), time: str = "ts", window: str = "1 hour") -> DataFrame:
+    """(window, by, value, n): how often each window has each value."""
+    x = F.col(value).cast("double")
+    d = rows.where(_is_number(x)).withColumn(time, F.col(time).cast("timestamp"))
+    return d.groupBy(F.window(time, window), *by, x.alias("value")).agg(F.count("*").alias("n"))
+
+
+def counted(rows: DataFrame, sink: OnceSink, checkpoint: str, value: str, by: Sequence[str] = (), time: str = "ts", window: str = "1 hour") -> tuple[StructType, StreamingQuery]:
+    """Starts the stream of ``value_counts`` into the sink, batch by batch, and gives their schema; no row is too late."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        sink.write(value_counts(batch, value, by, time, window), number)
+
+    return value_counts(rows, value, by, time, window).schema, write_once(rows, sink, checkpoint, write)
+
+
+def merged_counts(counts: DataFrame, window: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of coarser windows."""
+    at = counts.withColumn("_start", F.col("window.start")).drop("window")
+    return at.groupBy(F.window("_start", window), *by, "value").agg(F.sum("n").alias("n"))
+
+
+def exact_percentiles(counts: DataFrame, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(window, by, n, a column for each share): the least value that at least this share of the rows don't exceed."""
+    c = counts.groupBy("window", *by, F.col("value").alias("_v")).agg(F.sum("n").alias("_n"))
+    rank = {name: f"cast(ceil({s}D * _all) AS bigint) - 1" for name, s in shares.items()}
+    return ranks_of(c, ["window", *by], list(rank.values())).select("window", *by, F.col("_all").alias("n"), *[F.expr(f"_at[{r}]").alias(name) for name, r in rank.items()])
