@@ -45,3 +45,8 @@ def test_quartiles_of_many_rows_are_exact(spark, tmp_path, name):
 def test_pairs_by_position_where_some_entries_have_no_sources(spark, tmp_path):
     """With a number of documents that is no multiple of five most entries have no bucket."""
     assert same(spark, tables(tmp_path, documents="SELECT * FROM documents WHERE doc_id < 196"), "asi_by_position") > 0
+
+
+@pytest.mark.parametrize("name", ["evaluate_model", "evaluate_single_entry"])
+def test_entries_without_sources_are_evaluated(spark, tmp_path, name):
+    assert same(spark, tables(tmp_path, documents="SELECT * FROM documents WHERE doc_id < 196"), name) > 0
