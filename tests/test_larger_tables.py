@@ -50,3 +50,8 @@ def test_pairs_by_position_where_some_entries_have_no_sources(spark, tmp_path):
 @pytest.mark.parametrize("name", ["evaluate_model", "evaluate_single_entry"])
 def test_entries_without_sources_are_evaluated(spark, tmp_path, name):
     assert same(spark, tables(tmp_path, documents="SELECT * FROM documents WHERE doc_id < 196"), name) > 0
+
+
+def test_a_capital_sharp_s_is_one_letter(spark, tmp_path):
+    sf = tables(tmp_path, conversations="SELECT * REPLACE ('Die Straße ist groß' AS text) FROM conversations")
+    assert same(spark, sf, "query_diverse") > 0
