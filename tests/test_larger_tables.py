@@ -55,3 +55,9 @@ def test_entries_without_sources_are_evaluated(spark, tmp_path, name):
 def test_a_capital_sharp_s_is_one_letter(spark, tmp_path):
     sf = tables(tmp_path, conversations="SELECT * REPLACE ('Die Straße ist groß' AS text) FROM conversations")
     assert same(spark, sf, "query_diverse") > 0
+
+
+def test_a_collection_is_complete_by_all_its_sources(spark):
+    assert "score" not in ORACLES["collection_complete"].split("AS complete FROM")[1]
+    rows = QUERIES["collection_complete"](spark, SF).collect()
+    assert len(rows) == 4 and all(r["complete"] for r in rows)
