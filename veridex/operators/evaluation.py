@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions import answers, retrieval, terms, text
+from veridex.functions import answers, faithful, retrieval, terms, text
 from veridex.operators import curation
 from veridex.operators import metrics as m
 from veridex.scratch import cut
@@ -73,7 +73,9 @@ def summary(results: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     results: from ``evaluate``, with the documents' texts. Its features are cut to a narrow table, as is what
     faithfulness needs, so responses and documents are read once."""
     by = list(by)
-    d = cut(results.select("*", *[F.expr(x).alias(c) for c, x in _faithful("prediction_text", "gold_answer").items()]).transform(_feature_rows, by), "summary")
+    ship(results.sparkSession)
+    texts = "transform(coalesce(retrieved_docs, array()), d -> coalesce(d.text, ''))"
+    d = cut(results.select("*", faithful.faithfulness("prediction_text", "gold_answer", texts).alias("_f")).transform(_feature_rows, by), "summary")
     pairs = cut(m.asi_pairs(d.where("set_type = 'clear'"), d.where("set_type = 'ambiguous'"), by), "pairs")
     sets = d.groupBy(*by, "entry_id").agg(F.countDistinct("set_type").alias("s"))
     count = sets.groupBy(*by).agg(F.count("*").alias("total_entries"), F.expr("count_if(s = 2)").alias("successful_evaluations"))
@@ -84,19 +86,12 @@ def summary(results: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return out.withColumn("confidence_method", F.lit("p(true)"))
 
 
-def _faithful(prediction: str, gold: str) -> dict[str, str]:
-    texts = "transform(retrieved_docs, d -> coalesce(d.text, ''))"
-    return {"overlap": text.answer_source_overlap(prediction, texts), "_a": text.attribution(prediction, texts), "_h": text.hallucination(prediction, texts, gold), "_g": text.grounding(prediction, texts)}
-
-
 def _feature_rows(d: DataFrame, by: Sequence[str]) -> DataFrame:
     p, e = text.first_filled("prediction_text"), text.first_filled("prediction_explanation")
     both = f"concat({p}, ' ', {e})"
     r = lambda f: f("retrieved_docs", "relevant_docs")
-    ship(d.sparkSession)
     d = d.select(
-        *by, "entry_id", "set_type", "confidence", "accuracy", "overlap", "_a.*", "_h.*", F.col("_g.score").alias("grounding"), F.col("_g.coverage").alias("grounding_coverage"),
-        F.col("_g.consistency").alias("grounding_consistency"), F.col("_g.relevance").alias("relevance"),
+        *by, "entry_id", "set_type", "confidence", "accuracy", "_f.*",
         F.expr(r(retrieval.recall)).alias("recall"), F.expr(r(retrieval.precision)).alias("precision"), F.expr(retrieval.quality("retrieved_docs")).alias("quality"),
         F.expr(retrieval.diversity("retrieved_docs")).alias("diversity"), F.expr(r(retrieval.difficulty)).alias("difficulty"),
         terms.term_count(F.expr(both), text.HEDGE_TERMS).alias("hedges"), F.expr(text.word_count(both)).alias("words"), F.expr(text.term_count(both, text.CONFIDENT_TERMS)).alias("confident_terms"),
