@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.functions import faithful, text
+from veridex.functions import faithful, pages, text
 from veridex.shipping import ship
 
 
@@ -20,3 +20,7 @@ def test_one_pass_is_the_functions(spark):
     own = d.select("i", F.expr(text.answer_source_overlap("said", "t")).alias("o"), F.expr(text.attribution("said", "t")).alias("a"), F.expr(text.hallucination("said", "t", "gold")).alias("h"), F.expr(text.grounding("said", "t")).alias("v"))
     for x in own.collect():
         assert got[x["i"]] == pytest.approx([x["o"], *x["a"], *x["h"], *x["v"]]), rows[x["i"]]
+
+
+def test_the_content_of_a_topic_is_bound_once():
+    assert pages.on_topic("lower(text)", ["health", "medicine"]).count("lower(text)") == 1
