@@ -180,3 +180,28 @@ def test_unbroken_text(spark):
     got = {r[0]: r[1] for r in s.split(d, model).select("doc_id", F.size("sentences")).collect()}
     plain = Learned(["x" * 50_000 + ".", "a. " * 20_000])
     assert got == {1: 1, 2: len(plain.split("a. " * 20_000))}
+
+
+def test_cores_are_found_for_different_tokens_alone(spark):
+    """Rows of facts don't grow with the texts, only with what is different in them."""
+    one, many = (spark.createDataFrame([(i, "Dr. Meier came. He saw it!") for i in range(n)], "doc_id int, text string") for n in (1, 50))
+    a, b = s._facts(one, "text").collect(), s._facts(many, "text").collect()
+    assert len(a) == len(b) == 6 and sum(r["times"] for r in b) == 300
+    assert len(s._facts(many, "text", before=False).collect()) == 6
+
+
+def test_common_subsequences_of_long_texts():
+    from veridex.functions import fuzzy
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    r = random.Random(8)
+    for n, m in ((0, 5), (3, 400), (400, 30), (70, 70)):
+        a, b = ("".join(r.choice("abc ß😀") for _ in range(k)) for k in (n, m))
+        assert fuzzy._common(a, b) == fuzzy._common(b, a) == brute(a, b)

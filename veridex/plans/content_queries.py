@@ -11,6 +11,7 @@ from veridex.operators import finding, sentences
 from veridex.plans import dataset_queries
 from veridex.plans import oracles as o
 from veridex.plans.binding import table
+from veridex.scratch import cut
 from veridex.shipping import ship
 from veridex.sources import connectors
 
@@ -117,7 +118,8 @@ _TOKENS = f"""
 @query("abbreviation_scores", f"WITH {_TOKENS} SELECT type, n, periods, CASE WHEN abs(score) < 0.0000005 THEN 0 ELSE round(score, 6) END AS score FROM s WHERE periods > 0")
 def _(spark, sf_dir):
     """How likely each word that is followed by a period is an abbreviation."""
-    d = sentences.counts(sentences._facts(abbreviated(spark, sf_dir), "text"))
+    facts = cut(sentences._facts(abbreviated(spark, sf_dir), "text", before=False), "facts")
+    d = sentences.counts(facts)
     return d.where("periods > 0").withColumn("score", F.expr("if(abs(score) < 0.0000005D, 0.0D, round(score, 6))"))
 
 
@@ -151,7 +153,7 @@ def _(spark, sf_dir):
 @query("topk_chunks_learned")
 def _(spark, sf_dir):
     """The best chunks of sources, of sentences whose boundaries are learned from these sources."""
-    c = dataset_queries._candidates(spark, sf_dir)
+    c = cut(dataset_queries._candidates(spark, sf_dir), "candidates")
     clean = c.select("doc_id", F.expr(text.clean_text("coalesce(text, '')")).alias("text")).distinct()
     chosen = finding.best_chunks(c, ["entry_id", "doc_id"], boundaries=sentences.fit(clean))
     return chosen.select("entry_id", "doc_id", F.md5("chosen").alias("value"))
