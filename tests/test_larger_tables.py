@@ -61,3 +61,14 @@ def test_a_collection_is_complete_by_all_its_sources(spark):
     assert "score" not in ORACLES["collection_complete"].split("AS complete FROM")[1]
     rows = QUERIES["collection_complete"](spark, SF).collect()
     assert len(rows) == 4 and all(r["complete"] for r in rows)
+
+
+def test_articles_of_more_pages_than_are_read_at_once(spark):
+    from veridex.functions import content
+    from veridex.shipping import ship
+
+    ship(spark)
+    n = 2 * content.PAGES_AT_ONCE + 3
+    rows = [(i, None if i == 5 else f"<title>The title {i}</title><body><article><p>Some words, and more of number {i}.</p></article></body>") for i in range(n)]
+    got = {r["i"]: (r["title"], r["text"]) for r in content.with_article(spark.createDataFrame(rows, "i int, html string").coalesce(1)).collect()}
+    assert got == {i: (p["title"], p["main_text"] or p["text"]) for i, h in rows for p in [content.page_parts(h)]}
