@@ -107,3 +107,51 @@ def test_parts_give_the_same(spark):
     key = lambda r: (repr(r["doc_id"]), r["lang_pred"], round(r["score"], 6), round(r["cross_entropy"], 6), r["rejected"])
     a, b = (sorted(map(key, language.identify_languages(docs, m).collect())) for m in (one, parts))
     assert a == b and {x[1] for x in a} == {"a", "b", "c", "und"}
+
+
+def test_every_document_calibrates(spark, monkeypatch):
+    """Each document is judged once, by a model that lacks it; sharpness and limits are of all of them."""
+    calls = []
+    real = language._calibrated
+
+    def watched(apart, model, most):
+        calls.append(([(r["lang"], r["text"]) for r in apart.collect()], model))
+        return real(apart, model, most)
+
+    monkeypatch.setattr(language, "_calibrated", watched)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(("abcdefgh ", "efghijkl ")[i % 2]) for _ in range(rng.randrange(4, 50))), "pq"[i % 2]) for i in range(300)]
+    rows += [(None, "abc abd", "p"), (300, "... 12", "p"), (301, "zzz yyy", "single"), (302, None, "p")]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "doc_id", "text", "lang")
+    judged = sorted(x for docs, _ in calls for x in docs)
+    assert judged == sorted((lang, t) for _, t, lang in rows if t is not None and lang != "single")
+    mine, loss = {"p": [], "q": []}, Counter()
+    for docs, others in calls:
+        apart = {t for _, t in docs}
+        keys = lambda kinds: {g for _, _, k in slices([t for _, t, lang in rows if t is not None and t not in apart and lang in kinds]) for g in k.tolist()}  # noqa: B023, E731
+        assert keys("pq") <= set(others.keys[-1].tolist()) <= keys(("p", "q", "single"))
+        h, n = others.entropies([t for _, t in docs])
+        for (lang, t), x, k in zip(docs, h, n, strict=True):
+            if k:
+                own = x[model.langs.index(lang)]
+                mine[lang].append(own)
+                for s in language.SHARPS:
+                    loss[s] += np.log(np.exp(((own - x) * s).clip(-50, 50)).sum())
+    assert model.sharp == min(language.SHARPS, key=lambda s: (loss[s], s))
+    for lang, values in mine.items():
+        x = np.sort(values)
+        at = x[int(0.99 * (len(x) - 1))]
+        np.testing.assert_allclose(model.limits[model.langs.index(lang)], at + 0.5 * (at - x[len(x) // 2]))
+    assert np.isinf(model.limits[model.langs.index("single")])
+
+
+def test_unseen_letters_in_parts(spark):
+    """A text of letters that no document has is judged by a model in parts as by one in one part."""
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh ") for _ in range(60)), "xy"[i % 2]) for i in range(100)], "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(1, "жжж"), (2, "aжbж abc"), (3, "12")], "doc_id long, text string")
+    one, parts = (fit(docs, "doc_id", "text", "lang", folds=2, part_bytes=b) for b in (1 << 28, 8_000))
+    assert len(parts.parts) > 1
+    key = lambda r: (r["doc_id"], r["lang_pred"], round(r["score"], 6), round(r["cross_entropy"], 6), r["rejected"])
+    a, b = (sorted(map(key, language.identify_languages(new, m).collect())) for m in (one, parts))
+    assert a == b and [x[1] == "und" for x in a] == [False, False, True]
