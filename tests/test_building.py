@@ -212,3 +212,29 @@ def test_progress_without_a_file(spark, tmp_path):
 def test_targets_follow_the_tables(spark):
     assert {r["topic"] for r in QUERIES["quota_remaining"](spark, SF).collect()} == {f"t{i}" for i in range(8)}
     assert cq.most(cq._done(spark, SF)) == 29
+
+
+def shuffled(spark, run):
+    """Bytes written to shuffles by what ``run`` does."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for s, n in stages().items() if s not in before)
+
+
+def test_entries_leave_texts_in_the_scan(spark):
+    """Only texts of what was chosen are shuffled, when no table is small enough to be broadcast."""
+    size, key = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    text = spark.read.parquet(f"{size}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        rows, written = shuffled(spark, lambda: QUERIES["entry_build"](spark, size).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert rows and 0 < written < text / 2, (written, text)

@@ -35,20 +35,34 @@ def gold_queries(proposals: DataFrame, recent: DataFrame) -> DataFrame:
 def gold_passages(articles: DataFrame, trust: DataFrame) -> DataFrame:
     """(entry, gold_passage): the first article of a trusted address (or with gov or edu anywhere in it) that is
     long enough."""
-    a = articles.withColumn("_a", F.expr(g.article("text", GOLD_CHARS))).where(f"length(_a) > {ARTICLE_CHARS}").withColumn("_site", F.expr(retrieval.netloc("url")))
-    known = curation.classify_domains(a, trust.where("trust = 'reliable'"), "_site")
+    a = articles.withColumn("text", F.expr(g.article("text", GOLD_CHARS))).where(f"length(text) > {ARTICLE_CHARS}")
+    return as_passages(chosen_gold(a, trust))
+
+
+def chosen_gold(articles: DataFrame, trust: DataFrame) -> DataFrame:
+    """Of articles long enough, with or without their texts, each entry's first of a trusted address."""
+    known = curation.classify_domains(articles.withColumn("_site", F.expr(retrieval.netloc("url"))), trust.where("trust = 'reliable'"), "_site")
     # of the classification only the list counts here: other hosts have gov or edu in the address or not
     ok = known.where("trust = 'reliable' OR contains(url, 'gov') OR contains(url, 'edu')")
-    first = curation.first_of_each(ok, ["entry"], ["place", "url"])
-    return first.select("entry", F.struct(F.col("_site").alias("title"), "url", F.lit(None).cast("string").alias("date"), F.col("_a").alias("text")).alias("gold_passage"))
+    return curation.first_of_each(ok, ["entry"], ["place", "url"]).drop("_site", "trust")
+
+
+def as_passages(chosen: DataFrame) -> DataFrame:
+    """(entry, gold_passage) from (entry, url, text)."""
+    return chosen.select("entry", F.struct(F.expr(retrieval.netloc("url")).alias("title"), "url", F.lit(None).cast("string").alias("date"), "text").alias("gold_passage"))
 
 
 def distractions(articles: DataFrame, most: int = 2) -> DataFrame:
     """(entry, url, text, n): the first two articles long enough, of entries that have two."""
     a = articles.withColumn("text", F.expr(g.article("text", DISTRACTION_CHARS))).where(f"length(text) > {ARTICLE_CHARS}")
+    return chosen_distractions(a, most).select("entry", "url", "text", "n")
+
+
+def chosen_distractions(articles: DataFrame, most: int = 2) -> DataFrame:
+    """Of articles long enough, with or without their texts, the first two of entries that have two; ``n`` is added."""
     w = Window.partitionBy("entry")
-    a = a.withColumn("n", F.row_number().over(w.orderBy("place", "url"))).where(f"n <= {most}").withColumn("_all", F.count("*").over(w))
-    return a.where(f"_all = {most}").select("entry", "url", "text", "n")
+    a = articles.withColumn("n", F.row_number().over(w.orderBy("place", "url"))).where(f"n <= {most}").withColumn("_all", F.count("*").over(w))
+    return a.where(f"_all = {most}").drop("_all")
 
 
 def assemble(entries: DataFrame, gold: DataFrame, replies: DataFrame, sets: DataFrame, spare: DataFrame) -> DataFrame:
