@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegralType
 
@@ -18,6 +21,8 @@ BLANK_CHARS = r" \t\n\u000B\u000C\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: No side larger than this is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: What goes to a Python worker at once where rows are whole texts: so many rows, and a batch ends once it has so many bytes.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,3 +65,31 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             give_back()
 
     return wrapped
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends rows to Python in small batches: the JVM, outside of its heap, and Python each hold a
+    batch of whole texts for every task. A lower bound of rows stays."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        if not 0 < int(before[rows]) <= BATCH_ROWS:  # no positive number: no bound
+            spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def slices(batch: pa.RecordBatch, texts: list[int], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows, and of ``size`` bytes in its columns ``texts`` or one row."""
+    upto = np.zeros(batch.num_rows + 1, dtype=np.int64)
+    for c in texts:
+        upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = min(a + rows, max(a + 1, int(np.searchsorted(upto, upto[a] + size, side="right")) - 1))
+        yield batch.slice(a, b - a)
+        a = b

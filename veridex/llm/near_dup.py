@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veridex.llm.common import BROADCAST_BYTES, cut, integral, ship, tidy
+from veridex.llm.common import BROADCAST_BYTES, cut, integral, ship, slices, text_batches, tidy
 from veridex.scratch import new_path, remove, settled
 
-SLICE_ROWS = 1024
+#: Rows and bytes of text that are split into words at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
 #: Buckets of the counts that bound differences, rows of a region that are compared at once, and blocks of
 #: the classes outside a region's largest component that meet the region in one task.
 BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
@@ -112,8 +113,7 @@ def _signatures(docs: DataFrame, key: str, text: str, shingle: int, n: int) -> D
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(n)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(i, SLICE_ROWS)
+            for rows in slices(batch, [1], SLICE_ROWS, SLICE_BYTES):
                 sets = shingle_sets(rows.column(1), shingle)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([minhash(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())],
@@ -180,8 +180,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(i, SLICE_ROWS)
+            for rows in slices(batch, [4, 5], SLICE_ROWS, SLICE_BYTES):
                 spelled = pa.concat_arrays([rows.column(4), rows.column(5)]).dictionary_encode()
                 sets = shingle_sets(spelled.dictionary, shingle)
                 fps = [digest(s) for s in sets]
@@ -271,8 +270,7 @@ def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(i, SLICE_ROWS)
+            for rows in slices(batch, [1], SLICE_ROWS, SLICE_BYTES):
                 # of rows with one key, only the class's own
                 kept = [(fp, bucket_counts(x)) for x, fp in zip(shingle_sets(rows.column(1), shingle), rows.column(0).to_pylist(), strict=True) if digest(x) == fp]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in kept], pa.binary()) for j in (0, 1)], names=["v", "counts"])
@@ -303,8 +301,7 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame, key: str, text: str,
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(i, SLICE_ROWS)
+            for rows in slices(batch, [4], SLICE_ROWS, SLICE_BYTES):
                 sets = shingle_sets(rows.column(4), shingle)
                 # of rows with one key, only the class's own
                 own = [k for k, (x, fp) in enumerate(zip(sets, rows.column(0).to_pylist(), strict=True)) if digest(x) == fp]
@@ -382,7 +379,8 @@ def near_duplicates(
     """One row per document: key, n_shingles, component_id and kept (key = component_id)."""
     ship(docs.sparkSession)
     integral(docs, key)
-    return settled(docs.sparkSession, "components", lambda: _near_duplicates(docs, key, text, shingle, percent, trees, depth, least, sorted_trees))
+    with text_batches(docs.sparkSession):
+        return settled(docs.sparkSession, "components", lambda: _near_duplicates(docs, key, text, shingle, percent, trees, depth, least, sorted_trees))
 
 
 def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, percent: int, trees: int, depth: int, least: int, sorted_trees: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridex.llm import simple8b
-from veridex.llm.common import BROADCAST_BYTES, give_back, integral, new_path, ship, tidy
+from veridex.llm.common import BROADCAST_BYTES, give_back, integral, new_path, ship, text_batches, tidy
 from veridex.llm.tokens import KEPT_CHARS, PLAIN, marked, pretoken, tokenizer
 
 #: What a worker's memory of words may take.
@@ -246,7 +246,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, k
     ordered = ordered.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h")
     images = ordered.mapInArrow(tidy(encode), "part int, seq int, n_docs long, n_tokens long, image binary")
     # images are large rows: the writer looks at its buffer after each
-    images.write.option("compression", "none").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(path)
+    with text_batches(docs.sparkSession):
+        images.write.option("compression", "none").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -263,6 +264,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     placed = files.select("part", "seq", "image").join(side, ["part", "seq"]).select("first", "image")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids.cache_clear()  # a worker lives on, and what it kept for encoding with it
         for batch in batches:
             for first, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, lengths, values = simple8b.unpack(image.as_py())
