@@ -52,9 +52,19 @@ BUCKETS, BLOCK_ROWS, RUN_BLOCKS = 256, 256, 16
 MOST_PAIRS = 1 << 26
 #: Buckets of hashes by which rare shingles are told from others.
 RARITY = 1 << 18
+#: Bytes of rows that a task writes where their number is known, and tasks at least, whatever the partitions of shuffles.
+TASK_BYTES, LEAST_TASKS = 8 << 20, 12
+#: Comparisons that a task makes of blocks.
+TASK_PAIRS = 1 << 22
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def dense(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``df``, which has that many rows at most, in no more tasks than these ask for: a shuffle's partitions cost
+    a task and a file each, however empty they are."""
+    return df.coalesce(max(LEAST_TASKS, rows * row_bytes // TASK_BYTES))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _ODD[3]
     return h ^ (h >> np.uint64(29))
@@ -127,8 +137,9 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataF
     """Pairs (a, fa, b, fb) of classes next to each other in a sorted order, with ``least`` values in common."""
     part, prefix = 4 * depth, 4 * least
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), "sig", "fp", "rep", "n")
-    rows = rows.select("t", F.expr(f"substring(sig, t * {part} + 1, {part})").alias("k"), "fp", "rep", "n")
-    rows = rows.repartitionByRange("t", "k", "fp").sortWithinPartitions("t", "k", "fp")
+    # equals stand in another order in each tree: in one order for all, they'd be a path as long as they are many
+    rows = rows.select("t", F.expr(f"substring(sig, t * {part} + 1, {part})").alias("k"), "fp", "rep", "n", F.xxhash64("t", "fp").alias("tie"))
+    rows = rows.repartitionByRange("t", "k", "tie").sortWithinPartitions("t", "k", "tie", "fp").drop("tie")
     schema = "kind int, pid int, t int, k binary, a long, fa binary, an int, b long, fb binary, bn int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +181,11 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = cut(pairs, "candidates")
-    texts = _texts(docs, pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))), key, text)
+def _confirmed(docs: DataFrame, pairs: DataFrame, most: int | None, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b), ``most`` ones if that is known, whose full sets are similar enough."""
+    pairs = cut(pairs if most is None else dense(pairs, most), "candidates")
+    most = pairs.count()
+    texts = _texts(docs, pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))), 2 * most, key, text)
     a = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
     both = pairs.join(a, F.col("a") == F.col("ia")).select("a", "fa", "b", "fb", "ta").join(b, F.col("b") == F.col("ib")).select("a", "fa", "b", "fb", "ta", "tb")
@@ -196,28 +208,34 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle:
                     keep.append(100 * (both_n - union) >= percent * union)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(tidy(confirm), "a long, b long").where("a <> b").distinct()
+    return dense(both.mapInArrow(tidy(confirm), "a long, b long").where("a <> b").distinct(), most)
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b). (id, label): the smallest vertex that each vertex of a link can reach.
 
-    Each round a vertex takes the least label of its neighbours, then the label of its label, so long
-    paths shrink by halves. Every round is cut to the shared folder."""
+    Each round a vertex takes the least label of its neighbours, and so does the vertex that is its own label;
+    then each takes the label of its label. So whole trees of labels are hung up at once, and paths shrink by
+    halves whatever the order of their vertices. Every round is cut to the shared folder. links: a table that
+    was cut."""
     spark = links.sparkSession
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    most = 2 * links.count()
+    edges = cut(dense(links.select("a", "b").union(links.select("b", "a")).distinct(), most), "links")
     labels, path = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), new_path(spark, "labels")
-    labels.write.parquet(path)
+    dense(labels, most).write.parquet(path)
     labels = spark.read.schema(labels.schema).parquet(path)
     # each vertex's label is asked for by its neighbours, and once more by whoever takes it
-    few = labels.count() * 32 <= BROADCAST_BYTES
+    n = labels.count()
+    few = n * 32 <= BROADCAST_BYTES
     while True:
         at = labels.select(F.col("id").alias("v"), F.col("label").alias("l"))
         at = F.broadcast(at) if few else at
-        heard = edges.join(at, F.col("b") == F.col("v")).select(F.col("a").alias("id"), F.col("l").alias("label"), F.lit(None).cast("long").alias("own"))
+        mine = at.select(F.col("v").alias("u"), F.col("l").alias("own"))
+        heard = edges.join(at, F.col("b") == F.col("v")).join(F.broadcast(mine) if few else mine, F.col("a") == F.col("u")).where("l < own")
+        heard = heard.select(F.explode(F.array("a", "own")).alias("id"), F.col("l").alias("label"), F.lit(None).cast("long").alias("own"))
         low = heard.union(labels.select("id", "label", F.col("label").alias("own"))).groupBy("id").agg(F.max("own").alias("old"), F.min("label").alias("near"))
         new, next_path = low.join(at, F.col("near") == F.col("v"), "left").select("id", "old", F.least("near", F.coalesce("l", "near")).alias("label")), new_path(spark, "labels")
-        new.write.parquet(next_path)
+        dense(new, n).write.parquet(next_path)
         new = spark.read.schema(new.schema).parquet(next_path)
         # the round before is in no plan any more
         remove(spark, path)
@@ -231,6 +249,7 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     to = lambda c: labels.select(F.col("id").alias(f"v{c}"), F.col("label").alias(f"l{c}"))
     j = more.join(to("a"), F.col("a") == F.col("va"), "left").join(to("b"), F.col("b") == F.col("vb"), "left")
     between = j.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    between = cut(dense(between, more.count()), "between")
     if between.isEmpty():
         return labels
     over = components(between)
@@ -239,11 +258,11 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.union(over.join(labels.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti")), "labels")
 
 
-def _regions(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame | None:
-    """(region, fp, rep, n, comp) of the regions in which components differ."""
+def _regions(classes: DataFrame, most: int, trees: int, depth: int, least: int) -> DataFrame | None:
+    """(region, fp, rep, n, comp) of the regions in which components of ``most`` classes differ."""
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), "sig", "fp", "rep", "n", "comp")
     at = rows.withColumn("region", F.expr(f"xxhash64(t, substring(sig, t * {4 * depth} + 1, {4 * least}))"))
-    mixed = cut(at.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region"), "regions")
+    mixed = cut(dense(at.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region"), most * trees, 16), "regions")
     n = mixed.count()
     if not n:
         return None
@@ -251,9 +270,9 @@ def _regions(classes: DataFrame, trees: int, depth: int, least: int) -> DataFram
     return at.join(side, "region", "left_semi").select("region", "fp", "rep", "n", "comp")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of the rows whose key is among ids (i)."""
-    ids = cut(ids.distinct(), "ids")
+def _texts(docs: DataFrame, ids: DataFrame, most: int, key: str, text: str) -> DataFrame:
+    """(id, text) of the rows whose key is among ids (i), ``most`` ones."""
+    ids = cut(dense(ids.distinct(), most, 16), "ids")
     side = F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return texts.join(side, F.col("id") == F.col("i"), "left_semi")
@@ -263,10 +282,10 @@ def bucket_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.uint8), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def _with_counts(docs: DataFrame, regions: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """The regions' rows with the bucket counts of their sets."""
+def _with_counts(docs: DataFrame, regions: DataFrame, most: int, key: str, text: str, shingle: int) -> DataFrame:
+    """The regions' rows, of ``most`` classes, with the bucket counts of their sets."""
     play = regions.select("fp", "rep").distinct()
-    texts = _texts(docs, play.select(F.col("rep").alias("i")), key, text)
+    texts = _texts(docs, play.select(F.col("rep").alias("i")), most, key, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +316,7 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame, key: str, text: str,
     ``RARITY`` buckets of hashes, so what a template brings to all its pages meets nothing. The counts, which are of
     one size whatever the members, are broadcast; what is shuffled are the first shingles alone."""
     spark, members = docs.sparkSession, cut(members.dropDuplicates(["fp"]), "members-of-large")
-    texts = _texts(docs, members.select(F.col("rep").alias("i")), key, text)
+    texts = _texts(docs, members.select(F.col("rep").alias("i")), members.count(), key, text)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,11 +363,15 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame, key: str, text: str,
 def _across(r: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a region and that the bucket counts allow: those outside
     a region's largest component with all others."""
-    r = cut(r, "mixed").withColumn("runs", F.expr(f"1 + outside div {BLOCK_ROWS * RUN_BLOCKS}"))
+    r = cut(r, "mixed")
+    # a region's rows have its number of rows outside its largest component each
+    n, work = r.agg(F.count("*"), F.coalesce(F.sum("outside"), F.lit(0))).first()
+    r = r.withColumn("runs", F.expr(f"1 + outside div {BLOCK_ROWS * RUN_BLOCKS}"))
     block = lambda df, n, p: df.withColumn("block", F.expr(f"pmod(xxhash64(fp), 1 + {n} div {BLOCK_ROWS})")).groupBy("region", "runs", "block").agg(F.collect_list(F.struct("rep", "fp", "n", "comp", "counts", "own", (F.col("comp") == F.col("major")).alias("is_major"))).alias(p))
     x = block(r.where("comp <> major"), "outside", "x").select("region", F.expr("pmod(block, runs)").alias("run"), "x")
     y = block(r, "rows", "y").select(F.col("region").alias("ry"), "y", F.explode(F.expr("sequence(0L, runs - 1)")).alias("turn"))
     both = x.join(y, (F.col("region") == F.col("ry")) & (F.col("run") == F.col("turn"))).select("x", "y", "region")
+    both = both.coalesce(max(4 * LEAST_TASKS, work // TASK_PAIRS, n * 2 * BUCKETS // TASK_BYTES))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(col: pa.Array, i: int) -> tuple:
@@ -385,26 +408,29 @@ def near_duplicates(
 
 def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, percent: int, trees: int, depth: int, least: int, sorted_trees: int) -> DataFrame:
     rows = cut(_signatures(docs, key, text, shingle, trees * depth), "signatures")
-    classes = cut(rows.where("id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    d = rows.count()
+    classes = rows.where("id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(dense(classes, d, 64 + 4 * trees * depth), "classes")
+    n = classes.count()
     member = rows.where("id IS NOT NULL AND fp IS NOT NULL").select("id", "fp").join(classes.select(F.col("fp").alias("f"), "rep"), F.col("fp") == F.col("f")).select("id", "rep")
-    member = cut(member.distinct(), "members")
+    member = cut(dense(member.distinct(), d, 16), "members")
     # a key with several sets ties their classes together
     tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select(F.col("id").alias("i"), "a")
     tied = member.join(tied, F.col("id") == F.col("i")).where("rep <> a").select("a", F.col("rep").alias("b"))
 
-    first = _confirmed(docs, _ordered(_neighbours(classes, sorted_trees, depth, least), percent), key, text, shingle, percent)
-    links = cut(first.union(tied).distinct(), "links-1")
+    first = _confirmed(docs, _ordered(_neighbours(classes, sorted_trees, depth, least), percent), sorted_trees * n, key, text, shingle, percent)
+    links = cut(dense(first.union(tied).distinct(), sorted_trees * n + d, 16), "links-1")
     labels = components(links)
     placed = classes.join(labels, F.col("rep") == F.col("id"), "left").select("fp", "rep", "n", "sig", F.coalesce("label", "rep").alias("comp"))
-    regions = _regions(cut(placed, "placed"), trees, depth, least)
+    regions = _regions(cut(placed, "placed"), n, trees, depth, least)
     if regions is not None:
-        sized = cut(_sized(regions), "sized")
+        sized = cut(dense(_sized(regions), n * trees), "sized")
         small, large = sized.where(f"outside * rows <= {MOST_PAIRS}"), sized.where(f"outside * rows > {MOST_PAIRS}")
-        pairs = _across(_with_counts(docs, small, key, text, shingle), percent)
+        pairs = _across(_with_counts(docs, small, n, key, text, shingle), percent)
         if not large.isEmpty():
             pairs = pairs.union(_by_rare_shingles(docs, large.select("fp", "rep", "n", "comp"), key, text, shingle, percent))
         pairs = _ordered(pairs, percent)
-        more = cut(_confirmed(docs, pairs, key, text, shingle, percent), "links-2")
+        more = cut(_confirmed(docs, pairs, None, key, text, shingle, percent), "links-2")
         if not more.isEmpty():
             labels = merged(labels, more)
     final = member.groupBy("id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
