@@ -107,7 +107,7 @@ def marked(path: str, sign: str, at_end: bool) -> np.ndarray:
 
 class Encoded:
     """The encoding of ``text[begin:end]``. The library is asked for the few places in an overlap alone: a list of
-    all offsets takes a third of the time that encoding does."""
+    all offsets, with what is made of it, takes a fifth of the time that encoding does."""
 
     def __init__(self, tok, text: str, begin: int, end: int):
         self.e = tok.encode(text[begin:end], add_special_tokens=False)
