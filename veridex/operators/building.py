@@ -18,6 +18,8 @@ from veridex.operators import curation
 #: Characters that an article needs, and what is kept of a gold one, a distraction and its row.
 ARTICLE_CHARS, GOLD_CHARS, DISTRACTION_CHARS, DISTRACTION_ROW_CHARS = 300, 5000, 2000, 1000
 ATTEMPTS, RETRIES = 5, 3
+#: White space between a gold query's words: the SQL's, which is ASCII's.
+SPACE = r"\s+"
 
 
 def gold_queries(proposals: DataFrame, recent: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def gold_queries(proposals: DataFrame, recent: DataFrame) -> DataFrame:
     recent: (topic, queries). Entries of one round of a topic don't see each other's queries."""
     r = recent.select(F.col("topic").alias("_t"), "queries")
     p = proposals.where(f"attempt <= {ATTEMPTS}").withColumn("_q", F.expr(g.query_line("response"))).join(r, F.col("topic") == F.col("_t"), "left")
-    ok = f"NOT ({g.names_a_date('_q')}) AND NOT exists(coalesce(queries, cast(array() AS array<string>)), o -> {text.same_question('_q', 'o')})"
+    ok = f"NOT ({g.names_a_date('_q')}) AND {text.query_diverse('_q', 'queries', space=SPACE)}"
     d = p.groupBy("entry", "topic", "subdomain").agg(F.min(F.when(F.expr(ok), F.struct("attempt", "_q")))["_q"].alias("_own"))
     return d.select("entry", "topic", "subdomain", F.coalesce("_own", F.expr(g.fallback_query("topic", "subdomain"))).alias("query"), F.col("_own").isNull().alias("fallback"))
 
